@@ -9,7 +9,11 @@ from vectrail.schema import DOC_ID, DOC_VECTOR
 
 
 def masked_mean_pool(
-    tokens: DataFrame, vector: str = "vec", mask: str | None = "mask", key: str = DOC_ID
+    tokens: DataFrame,
+    vector: str = "vec",
+    mask: str | None = "mask",
+    key: str = DOC_ID,
+    dtype: str = "float32",
 ) -> DataFrame:
     """Average the token vectors of each document over the tokens whose mask is 1.
 
@@ -22,7 +26,7 @@ def masked_mean_pool(
         Summarizer.mean(array_to_vector(F.col(vector))).alias("mean_vector")
     )
     pooled = pooled.select(
-        key, vector_to_array(F.col("mean_vector"), dtype="float32").alias(DOC_VECTOR)
+        key, vector_to_array(F.col("mean_vector"), dtype=dtype).alias(DOC_VECTOR)
     )
     if mask is None:
         return pooled

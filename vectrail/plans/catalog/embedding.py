@@ -42,9 +42,8 @@ def _non_zero(table):
     SELECT doc_id, dim, round(value, 6) AS value FROM h WHERE round(value, 6) <> 0"""
 )
 def embed_documents(spark, sf_dir):
-    return _non_zero(
-        embedding.embed_articles(articles(spark, sf_dir), embedding.hashing_model(DIM))
-    )
+    model = embedding.hashing_model(DIM)
+    return _non_zero(embedding.embed_articles(articles(spark, sf_dir), model, rebalance=True))
 
 
 @query(
@@ -72,16 +71,17 @@ def _pooled(mask: str) -> str:
     return f"""WITH {TOKENS_SQL},
         e AS (SELECT doc_id, generate_subscripts(vec, 1) - 1 AS dim, unnest(vec)::DOUBLE AS x
               FROM t WHERE {mask}),
-        m AS (SELECT doc_id, dim::INTEGER AS dim, round((avg(x)::FLOAT)::DOUBLE, 6) AS value
+        m AS (SELECT doc_id, dim::INTEGER AS dim, round(avg(x), 6) AS value
               FROM e GROUP BY doc_id, dim)
         SELECT doc_id, dim, value FROM (SELECT DISTINCT doc_id FROM t) LEFT JOIN m USING (doc_id)"""
 
 
 @query(_pooled("mask = 1"))
 def masked_mean_pool(spark, sf_dir):
-    return long_form(pooling.masked_mean_pool(token_vectors(spark, sf_dir)))
+    return long_form(pooling.masked_mean_pool(token_vectors(spark, sf_dir), dtype="float64"))
 
 
 @query(_pooled("true"))
 def mean_pool(spark, sf_dir):
-    return long_form(pooling.masked_mean_pool(token_vectors(spark, sf_dir), mask=None))
+    tokens = token_vectors(spark, sf_dir)
+    return long_form(pooling.masked_mean_pool(tokens, mask=None, dtype="float64"))

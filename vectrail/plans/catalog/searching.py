@@ -170,7 +170,7 @@ def retrieve_documents(spark, sf_dir):
     """Every benchmark text against all articles: embed both, search, look the articles up."""
     table = articles(spark, sf_dir)
     model = hashing_model(DIM)
-    stored = build_vectors(table, model, new_path(spark, "vectors"))
+    stored = build_vectors(table, model, new_path(spark, "vectors"), rebalance=True)
     queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts = queries.select(F.col("item_id").alias("query_id"), "text")
     return _rounded(Retriever(stored, table, model).search_many(texts, 5))

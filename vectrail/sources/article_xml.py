@@ -102,13 +102,13 @@ def to_articles(fields: DataFrame) -> DataFrame:
 
 
 def read_articles(
-    spark: SparkSession, path: str, pattern: str = FILE_PATTERN, spread: int | None = None
+    spark: SparkSession, path: str, pattern: str = FILE_PATTERN, rebalance: bool = False
 ) -> DataFrame:
     """The valid articles of all XML files below ``path``, repeated ids included.
 
     Each comes with ``source_file, source_block, source_row``, its place in the source. A compressed
-    file can only be unpacked by one task; if a few hold most of the data, ``spread`` deals their
-    records out to that many tasks before parsing.
+    file can only be unpacked by one task; if a few hold most of the data, ``rebalance`` evens out
+    their records among tasks before parsing.
     """
     records = read_records(spark, path, pattern)
-    return parse_records(records.repartition(spread) if spread else records)
+    return parse_records(records.hint("rebalance") if rebalance else records)

@@ -40,7 +40,7 @@ def ingest_new_files(
     *,
     pattern: str = FILE_PATTERN,
     max_files_per_batch: int | None = None,
-    spread: int | None = None,
+    rebalance: bool = False,
     clean_source: str = "off",
     archive: str | None = None,
 ) -> None:
@@ -61,7 +61,7 @@ def ingest_new_files(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         records = positioned(batch)
-        articles = parse_records(records.repartition(spread) if spread else records)
+        articles = parse_records(records.hint("rebalance") if rebalance else records)
         earlier = _stored(batch.sparkSession, table).where(f"{_BATCH} < {batch_id}")
         added = insert_or_ignore(earlier, articles, "pmid", SOURCE_ORDER)
         added.select(*ARTICLE_COLUMNS).write.mode("overwrite").parquet(
