@@ -16,11 +16,23 @@ _PIECE = 1 << 20
 
 
 def as_matrix(vectors: pa.Array, dim: int) -> np.ndarray:
-    """The rows of a list column without NULLs as a matrix, sharing the Arrow buffer."""
-    lengths = pc.list_value_length(vectors)
-    if len(vectors) and pc.min_max(lengths) != pa.scalar({"min": dim, "max": dim}, pc.min_max(lengths).type):
-        raise ValueError(f"every vector must have {dim} values, found {pc.min_max(lengths).as_py()}")
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dim)
+    """The rows of a vector column without NULLs as a matrix, sharing the Arrow buffer.
+
+    The column holds lists of numbers, or packed vectors of float32 or int8.
+    """
+    if not len(vectors):
+        return np.empty((0, dim))
+    packed = pa.types.is_binary(vectors.type) or pa.types.is_large_binary(vectors.type)
+    sizes = pc.min_max(pc.binary_length(vectors) if packed else pc.list_value_length(vectors))
+    low, high = sizes["min"].as_py(), sizes["max"].as_py()
+    if low != high or low not in ((dim, 4 * dim) if packed else (dim,)):
+        raise ValueError(f"every vector must have {dim} values, found sizes {low} to {high}")
+    if not packed:
+        return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dim)
+    offsets = np.int64 if pa.types.is_large_binary(vectors.type) else np.int32
+    first = int(np.frombuffer(vectors.buffers()[1], offsets)[vectors.offset])
+    values = np.frombuffer(vectors.buffers()[2], np.uint8, len(vectors) * low, first)
+    return values.view("<f4" if low > dim else np.int8).reshape(len(vectors), dim)
 
 
 def similarities(
@@ -60,12 +72,17 @@ def check_metric(metric: str, clamp: str) -> None:
 
 
 def query_scorer(
-    query: Sequence[float], metric: str = "cosine", clamp: str = "product", eps: float = EPSILON
+    query: Sequence[float],
+    metric: str = "cosine",
+    clamp: str = "product",
+    eps: float = EPSILON,
+    filtered: bool = False,
 ) -> Callable[..., Column]:
     """A column function that scores a vector column against ``query``.
 
     Call it with the vector column, and with a column of stored norms if there is one. A NULL
-    vector scores NULL.
+    vector scores NULL. ``filtered=True`` says that rows will be filtered by score; it keeps Spark
+    from moving the filter below the projection and scoring everything twice.
     """
     check_metric(metric, clamp)
     q = np.asarray(query, dtype=np.float64)
@@ -94,6 +111,9 @@ def query_scorer(
     def score_with_norms(vectors: pa.Array, norms: pa.Array) -> pa.Array:
         return score(vectors, norms)
 
+    if filtered:
+        score_vectors = score_vectors.asNondeterministic()
+        score_with_norms = score_with_norms.asNondeterministic()
     return lambda v, norm=None: score_vectors(v) if norm is None else score_with_norms(v, norm)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from vectrail.functions.scorers import as_matrix, check_metric, similarities
 from vectrail.functions.similarity import EPSILON
 from vectrail.schema import DOC_ID, DOC_VECTOR, QUERY_ID, QUERY_VECTOR, RANK, SIMILARITY
-from vectrail.scratch import new_path
+from vectrail.scratch import new_path, written
 
 # Query vectors sent to every executor at a time; more queries are searched in several scans.
 MAX_QUERY_BYTES = 64 << 20
@@ -148,7 +148,7 @@ def search_batch(
 ) -> DataFrame:
     """The k most similar rows of ``vectors`` for each row of ``queries``, with their ranks.
 
-    ``queries`` has ``(query_id, query_vector)``, ids unique. Query vectors go to the executors in
+    ``queries`` has ``(query_id, query_vector)``, ids unique, and is evaluated once. Query vectors go to the executors in
     blocks of at most ``max_query_bytes``. Each task scores its rows against the block as a matrix
     product and returns only its own k best per query, so no row meets a query in a join. One block
     is searched lazily; several are searched one after another, each in one scan of ``vectors``,
@@ -160,7 +160,7 @@ def search_batch(
     if k < 1:
         raise ValueError("k must be positive")
     spark = vectors.sparkSession
-    queries = queries.select(QUERY_ID, QUERY_VECTOR)
+    queries = written(queries.select(QUERY_ID, QUERY_VECTOR), "queries")
     count, dim = _query_profile(queries)
     key_type = queries.schema[QUERY_ID].dataType
     result_type = T.StructType(
@@ -213,7 +213,7 @@ def _blocks_of_queries(
     numbering is a count per partition and the blocks are exact whatever the ids look like.
     """
     spark = queries.sparkSession
-    path = new_path(spark, "queries")
+    path = new_path(spark, "query-blocks")
     (
         queries.repartitionByRange(blocks, QUERY_ID)
         .sortWithinPartitions(QUERY_ID)

@@ -22,8 +22,13 @@ def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def insert_or_ignore(
     existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]
 ) -> DataFrame:
-    """The incoming rows to append: the first of each key that ``existing`` does not have yet."""
-    return first_wins(incoming, key, order).join(existing.select(key), key, "left_anti")
+    """The incoming rows to append: the first of each key that ``existing`` does not have yet.
+
+    Stored keys are first reduced to those that come in again, so that a small batch meets a large
+    table in one scan of its keys. ``incoming`` is read twice; persist it if that is costly.
+    """
+    known = existing.select(key).join(incoming.select(key), key, "left_semi")
+    return first_wins(incoming, key, order).join(known, key, "left_anti")
 
 
 def upsert_ignore(

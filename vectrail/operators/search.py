@@ -34,7 +34,7 @@ def score_table(
         raise ValueError(f"on_nan must be 'error' or 'drop', not {on_nan!r}")
     present = vectors.where(F.col(DOC_VECTOR).isNotNull())
     if engine == "arrow":
-        scorer = query_scorer(query, metric, clamp, eps)
+        scorer = query_scorer(query, metric, clamp, eps, filtered=on_nan == "drop")
         score = scorer(F.col(DOC_VECTOR), *([F.col(norm_column)] if norm_column else []))
     elif engine == "expr":
         score = _score_expression(query, metric, clamp, eps, norm_column)

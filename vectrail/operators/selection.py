@@ -22,7 +22,7 @@ def nth_key(df: DataFrame, key: str, n: int) -> tuple[int, int] | None:
         width = -(-(high - low + 1) // _INTERVALS)
         counted = (
             keys.where(F.col("key").between(low, high))
-            .groupBy(F.expr(f"(key - ({low}L)) div {width}L").alias("interval"))
+            .groupBy(F.expr(f"key div {width}L - if(key % {width}L < 0, 1, 0)").alias("interval"))
             .count()
             .collect()
         )
@@ -30,7 +30,7 @@ def nth_key(df: DataFrame, key: str, n: int) -> tuple[int, int] | None:
             if below + count >= n:
                 break
             below += count
-        low, high = low + interval * width, min(high, low + (interval + 1) * width - 1)
+        low, high = max(low, interval * width), min(high, (interval + 1) * width - 1)
     return low, below
 
 

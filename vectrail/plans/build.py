@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vectrail.operators.dedup import first_wins
 from vectrail.operators.embedding import MakeModel, embed_articles, not_embedded
 from vectrail.operators.quantize import quantize_table, range_stats
-from vectrail.schema import SOURCE_ORDER, VECTORS
+from vectrail.schema import DOC_ID, SOURCE_ORDER, VECTORS
 from vectrail.sources.article_xml import read_articles
 from vectrail.sources.tables import article_texts, write_articles, write_vectors
 
@@ -37,8 +37,12 @@ def build_vectors(
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             done = spark.createDataFrame([], VECTORS)
-        part = F.pmod(F.xxhash64("pmid"), F.lit(slices)) == number
-        todo = not_embedded(article_texts(articles).where(part), done)
+
+        def in_slice(doc_id):
+            return F.pmod(F.xxhash64(doc_id), F.lit(slices)) == number
+
+        part = article_texts(articles).where(in_slice(F.col("pmid").cast("bigint")))
+        todo = not_embedded(part, done.where(in_slice(F.col(DOC_ID))))
         write_vectors(embed_articles(todo, model, **options), table, mode="append")
     return spark.read.schema(VECTORS).parquet(table)
 

@@ -19,6 +19,7 @@ from vectrail.plans.catalog.standins import (
 )
 from vectrail.plans.retriever import Retriever
 from vectrail.scratch import new_path
+from vectrail.sources.tables import read_vectors, write_vectors
 
 _K = 10
 # The dimension of the built-in model in these queries.
@@ -42,6 +43,16 @@ def topk_search(spark, sf_dir):
     return _rounded(search(table, first_vector(table), _K))
 
 
+@query(
+    f"WITH {_hits(PRODUCT_CLAMP)} SELECT doc_id, label, round(s, 6) AS similarity FROM h",
+)
+def topk_packed(spark, sf_dir):
+    """The same search over a stored table of packed vectors."""
+    table, path = stretched_vectors(spark, sf_dir), new_path(spark, "packed")
+    write_vectors(table, path, packed=True)
+    return _rounded(search(read_vectors(spark, path), first_vector(table), _K))
+
+
 @query(f"WITH {_hits(DOC_CLAMP)} SELECT doc_id, label, round(s, 6) AS similarity FROM h")
 def topk_doc_clamp(spark, sf_dir):
     table = stretched_vectors(spark, sf_dir)

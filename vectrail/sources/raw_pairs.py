@@ -78,7 +78,8 @@ def _records(spark: SparkSession, paths: list[str], record_bytes: int) -> DataFr
         )
         return keyed.map(lambda record: (file_no, record[0], record[1]))
 
-    return spark.createDataFrame(context.union([one(n, p) for n, p in enumerate(paths)]), _RECORDS)
+    records = context.union([one(n, p) for n, p in enumerate(paths)])
+    return spark.createDataFrame(records, _RECORDS, verifySchema=False)
 
 
 def read_raw_pair(spark: SparkSession, vectors_path: str, ids_path: str, dim: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vectrail.functions.packing import pack_codes, pack_floats
 from vectrail.schema import ARTICLE_COLUMNS, DOC_ID, DOC_VECTOR
 
 # Rows of one vector file.
@@ -17,16 +19,30 @@ def read_vectors(
     return spark.read.parquet(path).withColumnsRenamed(renamed)
 
 
+def pack_vectors(vectors: DataFrame) -> DataFrame:
+    """The vector table with its arrays, of floats or of int8 codes, as packed binary values."""
+    element = vectors.schema[DOC_VECTOR].dataType.elementType
+    pack = pack_codes if element == T.ByteType() else pack_floats
+    return vectors.withColumn(DOC_VECTOR, pack(F.col(DOC_VECTOR)))
+
+
 def write_vectors(
-    vectors: DataFrame, path: str, mode: str = "error", records_per_file: int = RECORDS_PER_FILE
+    vectors: DataFrame,
+    path: str,
+    mode: str = "error",
+    records_per_file: int = RECORDS_PER_FILE,
+    packed: bool = False,
 ) -> None:
     """Write a vector table where its rows are, without a shuffle.
 
-    Vector elements hardly repeat, so they are stored without a dictionary.
+    Vector elements hardly repeat, so they are stored without a dictionary. ``packed=True`` stores
+    binary values instead of arrays, which are scanned about twice as fast.
     """
     (
-        vectors.write.mode(mode)
+        (pack_vectors(vectors) if packed else vectors)
+        .write.mode(mode)
         .option("maxRecordsPerFile", records_per_file)
+        .option(f"parquet.enable.dictionary#{DOC_VECTOR}", "false")
         .option(f"parquet.enable.dictionary#{DOC_VECTOR}.list.element", "false")
         .parquet(path)
     )

@@ -61,12 +61,13 @@ def ingest_new_files(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         records = positioned(batch)
-        articles = parse_records(records.hint("rebalance") if rebalance else records)
+        articles = parse_records(records.hint("rebalance") if rebalance else records).persist()
         earlier = _stored(batch.sparkSession, table).where(f"{_BATCH} < {batch_id}")
         added = insert_or_ignore(earlier, articles, "pmid", SOURCE_ORDER)
         added.select(*ARTICLE_COLUMNS).write.mode("overwrite").parquet(
             f"{table}/{_BATCH}={batch_id}"
         )
+        articles.unpersist()
 
     stream = (
         lines.writeStream.foreachBatch(store)
