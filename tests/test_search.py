@@ -66,6 +66,7 @@ def test_smallest_keys_with_one_dominant_key(spark):
     df = spark.range(900).selectExpr("if(id < 600, 5L, id - 700) AS key")
     kept = sorted(r[0] for r in smallest_by_key(df, "key", 300).collect())
     assert kept == sorted(([5] * 600 + [i - 700 for i in range(600, 900)]))[:300]
+    assert nth_key(df, "key", 301) == (5, 105, 601)
     assert nth_key(df, "key", 901) is None
     assert smallest_by_key(df, "key", 0).count() == 0
 

@@ -13,7 +13,7 @@ from vectrail.functions import similarity
 from vectrail.operators.profile import check_dim, with_norm
 from vectrail.operators.search import score_table, search
 from vectrail.schema import VECTORS
-from vectrail.sources.tables import pack_vectors
+from vectrail.sources.tables import pack_vectors, read_vectors, write_vectors
 
 ENGINES = ["arrow", "expr"]
 
@@ -119,6 +119,20 @@ def test_int8_and_packed_vectors(spark):
     assert all(r == results[0] for r in results)
 
 
+def test_packed_floats_are_not_taken_for_codes(spark):
+    packed = pack_vectors(table(spark, [[1.0, 2.0]]))
+    with pytest.raises(PySparkException, match="8 values, found 2 to 2"):
+        score_table(packed, [1.0] * 8).collect()
+
+
+def test_stored_codes_keep_their_element_type(spark, tmp_path):
+    codes = table(spark, [[1, 2, -3, 4], [5, 0, 0, 1]], "array<tinyint>")
+    write_vectors(codes, str(tmp_path / "codes"), packed=True)
+    stored = read_vectors(spark, str(tmp_path / "codes"))
+    query = [1.0, 0.0, 2.0, 0.5]
+    assert scores(score_table(stored, query)) == scores(score_table(codes, query))
+
+
 def test_columns_on_both_sides(spark):
     df = spark.createDataFrame(
         [([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0, 1.0], [0.0, 0.0])],

@@ -7,9 +7,15 @@ takes about half the time. The searches take either form.
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, ByteType, FloatType
 
+from vectrail.schema import DOC_VECTOR
+
+# The element type of a packed column stands in its metadata, which parquet files keep.
+ELEMENT_KEY = "element"
+
 
 def _packed(vectors: pa.Array, element: str) -> pa.Array:
     lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
@@ -32,6 +38,11 @@ def _unpacked(packed: pa.Array, element: str) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=absent)
 
 
+def packed_element(vectors: DataFrame) -> str:
+    """The element type of the packed vectors of a table, float32 unless it says otherwise."""
+    return vectors.schema[DOC_VECTOR].metadata.get(ELEMENT_KEY, "float32")
+
+
 @arrow_udf(BinaryType())
 def pack_floats(vectors: pa.Array) -> pa.Array:
     """An array of floats as packed float32."""

@@ -15,24 +15,25 @@ from vectrail.functions.similarity import EPSILON, SCORE_DECIMALS
 _PIECE = 1 << 20
 
 
-def as_matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+def as_matrix(vectors: pa.Array, dim: int, element: str = "float32") -> np.ndarray:
     """The rows of a vector column without NULLs as a matrix, sharing the Arrow buffer.
 
-    The column holds lists of numbers, or packed vectors of float32 or int8.
+    The column holds lists of numbers, or packed vectors of the given element type.
     """
     if not len(vectors):
         return np.empty((0, dim))
     packed = pa.types.is_binary(vectors.type) or pa.types.is_large_binary(vectors.type)
+    kind = np.dtype(element).newbyteorder("<")
     sizes = pc.min_max(pc.binary_length(vectors) if packed else pc.list_value_length(vectors))
-    low, high = sizes["min"].as_py(), sizes["max"].as_py()
-    if low != high or low not in ((dim, 4 * dim) if packed else (dim,)):
-        raise ValueError(f"every vector must have {dim} values, found sizes {low} to {high}")
+    low, high = (sizes[end].as_py() / (kind.itemsize if packed else 1) for end in ("min", "max"))
+    if not low == high == dim:
+        raise ValueError(f"every vector must have {dim} values, found {low:g} to {high:g}")
     if not packed:
         return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dim)
     offsets = np.int64 if pa.types.is_large_binary(vectors.type) else np.int32
     first = int(np.frombuffer(vectors.buffers()[1], offsets)[vectors.offset])
-    values = np.frombuffer(vectors.buffers()[2], np.uint8, len(vectors) * low, first)
-    return values.view("<f4" if low > dim else np.int8).reshape(len(vectors), dim)
+    values = np.frombuffer(vectors.buffers()[2], kind, len(vectors) * dim, first)
+    return values.reshape(len(vectors), dim)
 
 
 def similarities(
@@ -76,12 +77,13 @@ def query_scorer(
     metric: str = "cosine",
     clamp: str = "product",
     eps: float = EPSILON,
+    element: str = "float32",
     filtered: bool = False,
 ) -> Callable[..., Column]:
     """A column function that scores a vector column against ``query``.
 
     Call it with the vector column, and with a column of stored norms if there is one. A NULL
-    vector scores NULL. ``filtered=True`` says that rows will be filtered by score; it keeps Spark
+    vector scores NULL. ``element`` is the element type of packed vectors. ``filtered=True`` says that rows will be filtered by score; it keeps Spark
     from moving the filter below the projection and scoring everything twice.
     """
     check_metric(metric, clamp)
@@ -95,7 +97,7 @@ def query_scorer(
     def score(vectors: pa.Array, norms: pa.Array | None = None) -> pa.Array:
         present = vectors.drop_null()
         known = None if norms is None else norms.filter(vectors.is_valid()).to_numpy(zero_copy_only=False)
-        values = similarities(as_matrix(present, len(q)), column, metric, clamp, eps, known)[:, 0]
+        values = similarities(as_matrix(present, len(q), element), column, metric, clamp, eps, known)[:, 0]
         if not vectors.null_count:
             return pa.array(values)
         scattered = np.zeros(len(vectors))

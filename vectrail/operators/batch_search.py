@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from vectrail.functions.packing import packed_element
 from vectrail.functions.scorers import as_matrix, check_metric, similarities
 from vectrail.functions.similarity import EPSILON
 from vectrail.schema import DOC_ID, DOC_VECTOR, QUERY_ID, QUERY_VECTOR, RANK, SIMILARITY
@@ -75,6 +76,7 @@ def _search_block(
 ) -> tuple[DataFrame, object]:
     """Every task's k best hits per query of one block, and the broadcast they need."""
     shared = vectors.sparkSession.sparkContext.broadcast(matrix)
+    element = packed_element(vectors)
 
     def local_best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = np.ascontiguousarray(shared.value.T, dtype=np.float64)
@@ -82,7 +84,7 @@ def _search_block(
         step = max(1, _MAX_SCORES // count)
         best = _Best(count, k)
         for batch in batches:
-            rows = as_matrix(batch.column(1), dim)
+            rows = as_matrix(batch.column(1), dim, element)
             docs = batch.column(0).to_numpy()
             for start in range(0, len(docs), step):
                 scores = similarities(rows[start : start + step], queries, metric, clamp, eps)
@@ -109,18 +111,21 @@ def _search_block(
 
 
 def _query_profile(queries: DataFrame) -> tuple[int, int]:
-    """Number and dimension of the queries, after checking that ids and vectors are usable."""
+    """Number and dimension of the queries, after checking that all have one dimension."""
     size = F.array_size(QUERY_VECTOR)
-    count, distinct, low, high = queries.agg(
-        F.count("*"), F.countDistinct(QUERY_ID), F.min(size), F.max(size)
+    count, sized, low, high = queries.agg(
+        F.count("*"), F.count(size), F.min(size), F.max(size)
     ).head()
-    if distinct != count:
-        raise ValueError("query ids must be unique and not NULL")
-    if count and (low != high or low <= 0):
+    if count and (sized != count or low != high or low <= 0):
         raise ValueError(f"query vectors must have one dimension, found {low} to {high}")
     return count, high
 
 
+def _check_ids(n_distinct: int, count: int) -> None:
+    if n_distinct != count:
+        raise ValueError("query ids must be unique and not NULL")
+
+
 def _merge(found: DataFrame, k: int, merge_groups: int) -> DataFrame:
     """The k best of all tasks' hits per query, ranked."""
 
@@ -171,8 +176,9 @@ def search_batch(
     blocks = -(-count * dim * 8 // max_query_bytes)
 
     def run(block: DataFrame):
-        table = block.orderBy(QUERY_ID).toArrow()
+        table = block.toArrow()
         ids = table.column(QUERY_ID).to_pylist()
+        _check_ids(len(set(ids) - {None}), len(ids))
         matrix = as_matrix(table.column(QUERY_VECTOR).combine_chunks(), dim).astype(np.float64)
         if not np.isfinite(matrix).all():
             raise ValueError("query vectors must be finite")
@@ -184,6 +190,7 @@ def search_batch(
 
     if blocks == 1:
         return run(queries)[0]
+    _check_ids(queries.agg(F.countDistinct(QUERY_ID)).head()[0], count)
     numbered, bounds = _blocks_of_queries(queries, count, blocks)
     path = new_path(spark, "batch-search")
     for low, high in bounds:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 _INTERVALS = 4096
 
 
-def nth_key(df: DataFrame, key: str, n: int) -> tuple[int, int] | None:
-    """The ``n``-th smallest integer key and how many rows below it there are; None if fewer rows.
+def nth_key(df: DataFrame, key: str, n: int) -> tuple[int, int, int] | None:
+    """The ``n``-th smallest integer key, and how many rows are below it and at it.
+
+    None if there are fewer rows.
 
     Each pass reads the key column only, counts it in a fixed number of intervals and goes on in
     the interval that holds the n-th row.
@@ -17,7 +19,7 @@ def nth_key(df: DataFrame, key: str, n: int) -> tuple[int, int] | None:
     low, high, rows = keys.agg(F.min("key"), F.max("key"), F.count("key")).head()
     if n > rows:
         return None
-    below = 0
+    below, count = 0, rows
     while low < high:
         width = -(-(high - low + 1) // _INTERVALS)
         counted = (
@@ -31,7 +33,7 @@ def nth_key(df: DataFrame, key: str, n: int) -> tuple[int, int] | None:
                 break
             below += count
         low, high = max(low, interval * width), min(high, (interval + 1) * width - 1)
-    return low, below
+    return low, below, count
 
 
 def smallest_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -41,6 +43,8 @@ def smallest_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
     found = nth_key(df, key, n)
     if found is None:
         return df
-    last, below = found
+    last, below, at_last = found
+    if below + at_last == n:
+        return df.where(F.col(key) <= last)
     ties = df.where(F.col(key) == last).limit(n - below)
     return df.where(F.col(key) < last).unionByName(ties)

@@ -8,7 +8,6 @@ from vectrail.operators.embedding import MakeModel, embed_queries
 from vectrail.operators.lookup import attach_documents
 from vectrail.operators.search import search, with_rank
 from vectrail.schema import DOC_ID, DOCUMENT_COLUMNS, QUERY_ID, RANK, SIMILARITY
-from vectrail.scratch import written
 
 RESULT_COLUMNS = [QUERY_ID, RANK, DOC_ID, SIMILARITY, *DOCUMENT_COLUMNS]
 
@@ -51,11 +50,9 @@ class Retriever:
 
     def search_many(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """The ``k`` best articles for each ``(query_id, text)``, by query and rank."""
-        embedded = written(
-            embed_queries(queries, self.model, prefix=self.query_prefix), "query-vectors"
-        )
+        embedded = embed_queries(queries, self.model, prefix=self.query_prefix)
         hits = search_batch(self.vectors, embedded, k, **self.scoring)
-        return self._result(hits, embedded.count() * k)
+        return self._result(hits, queries.count() * k)
 
     def _result(self, hits: DataFrame, max_hits: int) -> DataFrame:
         found = attach_documents(hits, self.articles, max_hits)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.functions.packing import pack_codes, pack_floats
+from vectrail.functions.packing import ELEMENT_KEY, pack_codes, pack_floats
 from vectrail.schema import ARTICLE_COLUMNS, DOC_ID, DOC_VECTOR
 
 # Rows of one vector file.
@@ -21,9 +21,10 @@ def read_vectors(
 
 def pack_vectors(vectors: DataFrame) -> DataFrame:
     """The vector table with its arrays, of floats or of int8 codes, as packed binary values."""
-    element = vectors.schema[DOC_VECTOR].dataType.elementType
-    pack = pack_codes if element == T.ByteType() else pack_floats
-    return vectors.withColumn(DOC_VECTOR, pack(F.col(DOC_VECTOR)))
+    codes = vectors.schema[DOC_VECTOR].dataType.elementType == T.ByteType()
+    packed = (pack_codes if codes else pack_floats)(F.col(DOC_VECTOR))
+    element = {ELEMENT_KEY: "int8" if codes else "float32"}
+    return vectors.withColumn(DOC_VECTOR, packed).withMetadata(DOC_VECTOR, element)
 
 
 def write_vectors(
