@@ -1,6 +1,7 @@
 """Arrow-batched kernels: one fixed query, or one fixed range, against a column of vectors."""
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.types import ArrayType, ByteType, DoubleType
 from vectrail.functions.similarity import EPSILON, SCORE_DECIMALS
 
 # Widening a batch to double is done in pieces of about this many elements, to stay in cache.
-_PIECE = 1 << 20
+_PIECE = 1 << 17
 
 
 def as_matrix(vectors: pa.Array, dim: int, element: str = "float32") -> np.ndarray:
@@ -36,33 +37,49 @@ def as_matrix(vectors: pa.Array, dim: int, element: str = "float32") -> np.ndarr
     return values.reshape(len(vectors), dim)
 
 
+class Queries(NamedTuple):
+    """Query vectors ready for scoring."""
+
+    # One column per query; of length one for cosine.
+    columns: np.ndarray
+    # The smallest norm of a row to divide by, per query; None for the dot product.
+    least_norms: np.ndarray | None
+
+
+def prepare_queries(queries: np.ndarray, metric: str, clamp: str, eps: float) -> Queries:
+    """Queries in the rows of a matrix, with all that does not depend on the document done."""
+    queries = np.asarray(queries, dtype=np.float64)
+    if metric == "dot":
+        return Queries(np.ascontiguousarray(queries.T), None)
+    norms = np.linalg.norm(queries, axis=1)
+    if clamp == "doc" and not norms.all():
+        raise ValueError("a zero query has no direction; use clamp='product' to score it 0")
+    norms[norms == 0] = 1.0
+    # A product of norms of at least eps is a document norm of at least eps / query norm.
+    least = np.full(len(norms), eps) if clamp == "doc" else eps / norms
+    return Queries(np.ascontiguousarray((queries / norms[:, None]).T), least)
+
+
 def similarities(
-    rows: np.ndarray,
-    queries: np.ndarray,
-    metric: str,
-    clamp: str,
-    eps: float,
-    row_norms: np.ndarray | None = None,
+    rows: np.ndarray, queries: Queries, row_norms: np.ndarray | None = None
 ) -> np.ndarray:
-    """Scores of every row against every query; ``queries`` is ``(dim, n)`` in double."""
-    scores = np.empty((len(rows), queries.shape[1]))
-    query_norms = np.linalg.norm(queries, axis=0)
+    """Unrounded scores of every row against every query."""
+    scores = np.empty((len(rows), queries.columns.shape[1]))
     step = max(1, _PIECE // max(1, rows.shape[1]))
     for start in range(0, len(rows), step):
         piece = rows[start : start + step].astype(np.float64)
-        out = scores[start : start + step]
-        np.matmul(piece, queries, out=out)
-        if metric == "cosine":
-            if row_norms is None:
-                norms = np.sqrt(np.einsum("ij,ij->i", piece, piece))
-            else:
-                norms = row_norms[start : start + step]
-            if clamp == "product":
-                out /= np.maximum(np.outer(norms, query_norms), eps)
-            else:
-                out /= query_norms
-                out /= np.maximum(norms, eps)[:, None]
-    return np.round(scores, SCORE_DECIMALS, out=scores)
+        out = np.matmul(piece, queries.columns, out=scores[start : start + step])
+        if queries.least_norms is None:
+            continue
+        if row_norms is None:
+            norms = np.sqrt(np.einsum("ij,ij->i", piece, piece))
+        else:
+            norms = row_norms[start : start + step]
+        if norms.min() >= queries.least_norms.max():
+            out /= norms[:, None]
+        else:
+            out /= np.maximum(norms[:, None], queries.least_norms)
+    return scores
 
 
 def check_metric(metric: str, clamp: str) -> None:
@@ -90,14 +107,13 @@ def query_scorer(
     q = np.asarray(query, dtype=np.float64)
     if q.ndim != 1 or not len(q):
         raise ValueError("the query must be one non-empty vector")
-    if metric == "cosine" and clamp == "doc" and not q.any():
-        raise ValueError("a zero query has no direction; use clamp='product' to score it 0")
-    column = q[:, None]
+    prepared = prepare_queries(q[None, :], metric, clamp, eps)
 
     def score(vectors: pa.Array, norms: pa.Array | None = None) -> pa.Array:
         present = vectors.drop_null()
         known = None if norms is None else norms.filter(vectors.is_valid()).to_numpy(zero_copy_only=False)
-        values = similarities(as_matrix(present, len(q), element), column, metric, clamp, eps, known)[:, 0]
+        scores = similarities(as_matrix(present, len(q), element), prepared, known)[:, 0]
+        values = np.round(scores, SCORE_DECIMALS)
         if not vectors.null_count:
             return pa.array(values)
         scattered = np.zeros(len(vectors))

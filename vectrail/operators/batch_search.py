@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vectrail.functions.packing import packed_element
-from vectrail.functions.scorers import as_matrix, check_metric, similarities
-from vectrail.functions.similarity import EPSILON
+from vectrail.functions.scorers import as_matrix, check_metric, prepare_queries, similarities
+from vectrail.functions.similarity import EPSILON, SCORE_DECIMALS
 from vectrail.schema import DOC_ID, DOC_VECTOR, QUERY_ID, QUERY_VECTOR, RANK, SIMILARITY
 from vectrail.scratch import new_path, written
 
@@ -44,16 +44,19 @@ class _Best:
         self.bar_doc = np.full(queries, np.iinfo(np.int64).max)
 
     def add(self, docs: np.ndarray, scores: np.ndarray) -> None:
-        bar, bar_doc = self.bar_score, self.bar_doc
+        bar = self.bar_score
         if len(docs) > self.k and np.isneginf(bar).any():
             place = len(docs) - self.k
             bar = np.maximum(bar, np.partition(scores, place, axis=0)[place])
-            bar_doc = np.where(bar > self.bar_score, np.iinfo(np.int64).max, bar_doc)
-        better = (scores > bar) | ((scores == bar) & (docs[:, None] <= bar_doc))
-        row, query = np.nonzero(better)
-        query = np.concatenate([self.query, query])
-        doc = np.concatenate([self.doc, docs[row]])
-        score = np.concatenate([self.score, scores[row, query[len(self.query) :]]])
+        # Only what may reach the bar is rounded and compared exactly.
+        row, query = np.nonzero(scores >= bar - 10.0**-SCORE_DECIMALS)
+        score = np.round(scores[row, query], SCORE_DECIMALS)
+        doc = docs[row]
+        least = self.bar_score[query]
+        kept = (score > least) | ((score == least) & (doc <= self.bar_doc[query]))
+        query = np.concatenate([self.query, query[kept]])
+        doc = np.concatenate([self.doc, doc[kept]])
+        score = np.concatenate([self.score, score[kept]])
         order = np.lexsort((doc, -score, query))
         query = query[order]
         first = np.searchsorted(query, query)
@@ -79,18 +82,18 @@ def _search_block(
     element = packed_element(vectors)
 
     def local_best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = np.ascontiguousarray(shared.value.T, dtype=np.float64)
-        dim, count = queries.shape
+        queries = prepare_queries(shared.value, metric, clamp, eps)
+        dim, count = queries.columns.shape
         step = max(1, _MAX_SCORES // count)
         best = _Best(count, k)
         for batch in batches:
             rows = as_matrix(batch.column(1), dim, element)
             docs = batch.column(0).to_numpy()
             for start in range(0, len(docs), step):
-                scores = similarities(rows[start : start + step], queries, metric, clamp, eps)
-                undefined = np.isnan(scores)
-                if undefined.any():
-                    if on_nan == "error":
+                scores = similarities(rows[start : start + step], queries)
+                if np.isnan(scores.sum()):
+                    undefined = np.isnan(scores)
+                    if on_nan == "error" and undefined.any():
                         raise ValueError("undefined similarity")
                     scores[undefined] = -np.inf
                 best.add(docs[start : start + step], scores)
@@ -182,8 +185,7 @@ def search_batch(
         matrix = as_matrix(table.column(QUERY_VECTOR).combine_chunks(), dim).astype(np.float64)
         if not np.isfinite(matrix).all():
             raise ValueError("query vectors must be finite")
-        if metric == "cosine" and clamp == "doc" and not matrix.any(axis=1).all():
-            raise ValueError("a zero query has no direction; use clamp='product' to score it 0")
+        prepare_queries(matrix, metric, clamp, eps)
         found, shared = _search_block(vectors, matrix, k, metric, clamp, eps, on_nan)
         hits = _merge(found, k, merge_groups)
         return _with_query_ids(spark, hits, ids, key_type).select(result_type.names), shared
