@@ -16,8 +16,10 @@ from vectrail.plans.catalog.standins import (
 from vectrail.scratch import new_path
 from vectrail.sources.article_xml import (
     SOURCE_ORDER,
+    positioned,
     read_articles,
-    read_records,
+    record_columns,
+    record_options,
 )
 from vectrail.sources.tables import article_texts, read_articles_table, write_articles
 from vectrail.streaming.incremental import ingest_new_files, read_ingested
@@ -59,18 +61,11 @@ def file_select(spark, sf_dir):
     write_xml(fields, path, compression="gzip", by="lang")
     decoys = fields.select("lang", F.concat(F.lit("<PubmedArticle>"), "title").alias("value"))
     decoys.write.mode("append").partitionBy("lang").text(path)
-    # The language is the name of the folder, so each record is counted by its file.
-    suffix = F.regexp_extract("source_file", r"\.(xml|xml\.gz)$", 1)
-    files = [
-        read_records(spark, f"{path}/lang={lang}").select(
-            F.lit(lang).alias("lang"), suffix.alias("suffix")
-        )
-        for (lang,) in fields.select("lang").distinct().orderBy("lang").collect()
-    ]
-    union = files[0]
-    for other in files[1:]:
-        union = union.unionByName(other)
-    return union.groupBy("lang", "suffix").agg(F.count("*").alias("n_records"))
+    # The folders make the language a column beside the text of each record.
+    lines = spark.read.options(**record_options()).text(path).select("lang", *record_columns())
+    suffix = F.regexp_extract("source_file", r"\.(xml|xml\.gz)$", 1).alias("suffix")
+    records = positioned(lines).select("lang", suffix)
+    return records.groupBy("lang", "suffix").agg(F.count("*").alias("n_records"))
 
 
 @query(f"WITH {ARTICLES_SQL} SELECT pmid, title, abstract FROM a")
