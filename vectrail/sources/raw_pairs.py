@@ -114,21 +114,26 @@ def read_raw_pair(spark: SparkSession, vectors_path: str, ids_path: str, dim: in
 def write_raw_pair(vectors: DataFrame, vectors_path: str, ids_path: str) -> DataFrame:
     """Write a vector table as a folder of raw pairs, one pair of files per task.
 
-    Returns ``(stem, n_rows)`` of the files. The paths must be reachable by every executor. A
-    repeated task writes the same files again.
+    Returns ``(stem, n_rows)`` of the files. The paths must be reachable by every executor. Each
+    attempt of a task writes beside the folders and moves its files there when they are complete.
     """
 
     def store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        stem = f"part-{TaskContext.get().partitionId():05d}"
+        task = TaskContext.get()
+        stem = f"part-{task.partitionId():05d}"
         rows = 0
-        outputs = []
+        outputs, moves = [], []
         for folder, suffix in ((ids_path, "i64"), (vectors_path, "f32")):
             system, root = fs.FileSystem.from_uri(folder)
-            system.create_dir(root, recursive=True)
-            outputs.append(system.open_output_stream(f"{root}/{stem}.{suffix}"))
+            attempts = f"{root}-attempts"
+            for needed in (root, attempts):
+                system.create_dir(needed, recursive=True)
+            attempt = f"{attempts}/{stem}-{task.taskAttemptId()}.{suffix}"
+            outputs.append(system.open_output_stream(attempt))
+            moves.append((system, attempt, f"{root}/{stem}.{suffix}"))
         for batch in batches:
             rows += len(batch)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -137,6 +142,8 @@ def write_raw_pair(vectors: DataFrame, vectors_path: str, ids_path: str) -> Data
             outputs[1].write(values.astype("<f4").tobytes())
         for output in outputs:
             output.close()
+        for system, attempt, final in moves:
+            system.move(attempt, final)
         yield pa.RecordBatch.from_pydict({"stem": [stem], "n_rows": [rows]})
 
     written = vectors.select(DOC_ID, DOC_VECTOR).mapInArrow(store, "stem string, n_rows bigint")

@@ -64,10 +64,11 @@ def ingest_new_files(
         articles = parse_records(records.hint("rebalance") if rebalance else records).persist()
         earlier = _stored(batch.sparkSession, table).where(f"{_BATCH} < {batch_id}")
         added = insert_or_ignore(earlier, articles, "pmid", SOURCE_ORDER)
-        added.select(*ARTICLE_COLUMNS).write.mode("overwrite").parquet(
-            f"{table}/{_BATCH}={batch_id}"
-        )
-        articles.unpersist()
+        folder = f"{table}/{_BATCH}={batch_id}"
+        try:
+            added.select(*ARTICLE_COLUMNS).write.mode("overwrite").parquet(folder)
+        finally:
+            articles.unpersist()
 
     stream = (
         lines.writeStream.foreachBatch(store)
