@@ -58,12 +58,12 @@ def embed_queries(spark, sf_dir):
 
 @query(
     f"""WITH {ARTICLES_SQL} SELECT pmid, doc_id FROM a
-    WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)"""
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 )
 def embed_resume(spark, sf_dir):
-    """What remains to do when the vectors of even ids are there."""
-    done = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS doc_id")
-    todo = embedding.not_embedded(articles(spark, sf_dir), done.where("doc_id % 2 = 0"))
+    """What remains to do when the articles that have labels are done."""
+    done = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    todo = embedding.not_embedded(articles(spark, sf_dir), done)
     return todo.select("pmid", "doc_id")
 
 
