@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, ByteType, DoubleType
 
 from vectrail.functions.similarity import EPSILON, SCORE_DECIMALS
 
-# Widening a batch to double is done in pieces of about this many elements, to stay in cache.
+# Batches are worked on in pieces of about this many elements, to stay in cache.
 _PIECE = 1 << 17
 
 
@@ -144,11 +144,15 @@ def vector_quantizer(min_val: float, max_val: float) -> Callable[[Column], Colum
     def codes(vectors: pa.Array) -> pa.Array:
         present = vectors.drop_null()
         values = present.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-        if width > 0:
-            scaled = np.trunc((values - low) / width * np.float32(255) - np.float32(128))
-            whole = np.clip(scaled, -128, 127).astype(np.int8)
-        else:
-            whole = np.full(len(values), -128, dtype=np.int8)
+        whole = np.full(len(values), -128, dtype=np.int8)
+        for start in range(0, len(values) if width > 0 else 0, _PIECE):
+            piece = values[start : start + _PIECE] - low
+            piece /= width
+            piece *= np.float32(255)
+            piece -= np.float32(128)
+            np.clip(piece, -128, 127, out=piece)
+            # Conversion to integers truncates toward zero.
+            whole[start : start + _PIECE] = piece
         lengths = pc.list_value_length(vectors)
         ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False), dtype=np.int32)
         offsets = pa.array(np.concatenate([np.zeros(1, np.int32), ends]))
