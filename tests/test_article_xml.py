@@ -39,8 +39,8 @@ def write(folder: Path, name: str, *records: str) -> None:
 
 
 RECORDS = [
-    record("1", title("Role of <i>TEAD</i> in cells"), authors=AUTHORS),
-    record("2", title("<i>TEAD</i> first"), "<Abstract><AbstractText>Kept.</AbstractText></Abstract>"),
+    record("1", title("Role of <i>ABC1</i> in cells"), authors=AUTHORS),
+    record("2", title("<i>ABC1</i> first"), "<Abstract><AbstractText>Kept.</AbstractText></Abstract>"),
     record("3", title("<i>only markup</i>")),
     record("4", title("p &lt; 0.05 &amp; more"), "<AbstractText Label='A'>One</AbstractText><AbstractText>Two</AbstractText>"),
     record("5", title("long date"), date="<MedlineDate>1998 Dec-1999 Jan</MedlineDate>"),
