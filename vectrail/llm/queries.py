@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import best_fit, chat_format, cube_mix
+from vectrail.llm import best_fit, chat_format, cube_mix, lang_cnn, quality_fm, toxicity_pu
 from vectrail.llm.registry import ORACLES, QUERIES, query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,26 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def label_column(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the labels, as ``(doc_id, label)``."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.col(name).alias("label"))
+
+
+@query()
+def op2_quality_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    labels = label_column(spark, sf_dir, "quality")
+    return quality_fm.classify_quality(table(spark, sf_dir, "documents"), labels)
+
+
+@query()
+def op3_language_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = lang_cnn.predict_languages(docs)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens."""
@@ -64,6 +84,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digest(examples)
 
 
+@query()
+def op9_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    labels = label_column(spark, sf_dir, "toxic")
+    return toxicity_pu.classify_toxicity(table(spark, sf_dir, "documents"), labels)
+
+
 @query()
 def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets."""
