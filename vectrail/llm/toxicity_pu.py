@@ -19,7 +19,7 @@ from vectrail.scratch import written
 
 #: Beginnings of words that stand for all words with them, in code points.
 BEGINNINGS = (4, 5, 6)
-INPUTS = 9
+INPUTS = 11
 THRESHOLD = 0.7
 CACHED = 200_000
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -53,7 +53,16 @@ def text_inputs(text: str, weights: _Weights) -> list[float]:
     top = (found + [0.0] * 4)[:4]
     size = np.log1p(len(words)) / 10
     rate = sum(found) / (5 + len(words)) ** 0.5
-    return top + [np.log1p(sum(found)), np.log1p(len(found)), rate, size, 1.0]
+    dense = 10 / (20 + len(words))
+    return top + [
+        np.log1p(sum(found)),
+        np.log1p(len(found)),
+        rate,
+        dense * sum(found),
+        dense * len(found),
+        size,
+        1.0,
+    ]
 
 
 def _lexicon(sample: DataFrame, n_positive: int, n_other: int, sure: float, most: int) -> dict[str, float]:
