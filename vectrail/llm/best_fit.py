@@ -6,6 +6,7 @@ sequences that follow each other. Each piece then finds its slot by its rank wit
 """
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from vectrail.scratch import written
 
-#: Distinct words whose ids a Python worker keeps, and the longest word it keeps.
-CACHED_WORDS, CACHED_BYTES = 200_000, 64
+#: Distinct words, and distinct parts of words, whose ids a Python worker keeps; the longest it keeps.
+CACHED_WORDS, CACHED_BYTES = 600_000, 64
 RANK_BITS = 44
 
 
@@ -29,29 +30,97 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Words(dict):
-    """Ids of words between ASCII white space as packed unsigned 32-bit numbers.
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: a printable one stands for itself,
+    the others take the next free code points in turn (fixed values of the format)."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(free)) for b in range(256)}
 
-    The tokenizer drops white space and never joins what it separates, so the ids of a text are
-    those of its words in turn.
+
+class _Parts(dict):
+    """Ids of parts of words, each of which the tokenizer would merge on its own."""
+
+    def __init__(self, path: str):
+        self.model = _tokenizer(path).model
+        self.letters = _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        said = part.encode().decode("latin-1").translate(self.letters)
+        packed = np.array([t.id for t in self.model.tokenize(said)], dtype="<u4").tobytes()
+        if len(part) <= CACHED_BYTES and len(self) < CACHED_WORDS:
+            self[part] = packed
+        return packed
+
+
+#: Letters and numbers below U+0180, where every text is in normal form (fixed values of Unicode).
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: How the vocabulary's rules cut a text into parts (a fixed pattern of its file).
+_CUT = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+"
+).findall
+#: The same for texts without apostrophes: blanks go around numbers and runs of marks.
+_APART = re.compile(f"([{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+)").sub
+#: What other rules apply to: control tokens, control characters, other blanks, other scripts.
+_OTHER = re.compile("<[|]|[\0-\x08\x0e-\x1f\x7f-\xa0\xad\u0180-\U0010ffff]").search
+#: The same for texts of one byte a character: what is left of them without these is other.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *(c for c in range(161, 256) if c != 173)])
+#: Bytes that are cut at once; a longer text is cut at a blank behind each so many.
+_STRETCH = 1 << 20
+
+
+class _Ids:
+    """Ids of texts as packed unsigned 32-bit numbers.
+
+    The tokenizer lower-cases, drops white space, and merges the parts between on their own. Texts
+    of Latin letters, digits and marks are cut by the vocabulary's pattern, and only parts not seen
+    before are merged. Words of all other texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.encode = _tokenizer(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode(), add_special_tokens=False).ids
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = packed
+        self.parts = _Parts(path)
+        self.words: dict[bytes, bytes] = {}
+
+    def word(self, word: bytes) -> bytes:
+        packed = self.words.get(word)
+        if packed is None:
+            ids = self.encode(word.decode(), add_special_tokens=False).ids
+            packed = np.array(ids, dtype="<u4").tobytes()
+            if len(word) <= CACHED_BYTES and len(self.words) < CACHED_WORDS:
+                self.words[word] = packed
         return packed
 
+    def of(self, data: bytes) -> bytes:
+        out, at = [], 0
+        while at < len(data):
+            end = _BLANK(data, at + _STRETCH)
+            stretch = data[at : end.start() if end else len(data)]
+            at += len(stretch)
+            low = stretch.decode().lower()
+            if _is_other(low):
+                out.extend(map(self.word, stretch.split()))
+            elif "'" in low:
+                out.extend(map(self.parts.__getitem__, _CUT(low)))
+            else:
+                out.extend(map(self.parts.__getitem__, _APART(r" \1 ", low).split()))
+        return b"".join(out)
+
+
+def _is_other(low: str) -> bool:
+    """Whether a lower-cased text needs the whole tokenizer."""
+    try:
+        return "<|" in low or bool(low.encode("latin-1").translate(None, _PLAIN))
+    except UnicodeEncodeError:
+        return bool(_OTHER(low))
+
+
+_BLANK = re.compile(rb"[ \t-\r]").search
+
 
 @lru_cache(maxsize=1)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _ids(path: str) -> _Ids:
+    return _Ids(path)
 
 
 def token_pieces(
@@ -72,13 +141,13 @@ def token_pieces(
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words = _words(tokenizer_path)
+        tokens = _ids(tokenizer_path)
         for batch in batches:
             # One text at a time: a batch of very long texts would hold many ids at once.
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = b"" if not text.is_valid else text.as_buffer().to_pybytes()
-                ids = b"".join(map(words.__getitem__, data.split())) + end
+                ids = tokens.of(data) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     row = (doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut))
