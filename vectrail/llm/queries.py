@@ -3,7 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import best_fit, chat_format, cube_mix, lang_cnn, quality_fm, toxicity_pu
+from vectrail.llm import (
+    ann_scan,
+    best_fit,
+    chat_format,
+    cube_mix,
+    itq_dedup,
+    lang_cnn,
+    quality_fm,
+    toxicity_pu,
+)
 from vectrail.llm.registry import ORACLES, QUERIES, query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +30,12 @@ def label_column(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.col(name).alias("label"))
 
 
+@query()
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return ann_scan.search(table(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
+
+
 @query()
 def op2_quality_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
@@ -36,6 +51,12 @@ def op3_language_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query()
+def op5_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links of cosine 0.9 or more."""
+    return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens."""
