@@ -9,6 +9,7 @@ from vectrail.llm import (
     chat_format,
     cube_mix,
     itq_dedup,
+    jaccard_join,
     lang_cnn,
     quality_fm,
     toxicity_pu,
@@ -51,6 +52,12 @@ def op3_language_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query()
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies by three-word shingles."""
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its links of cosine 0.9 or more."""
