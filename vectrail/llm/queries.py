@@ -12,6 +12,7 @@ from vectrail.llm import (
     jaccard_join,
     lang_cnn,
     quality_fm,
+    suffix_dedup,
     toxicity_pu,
 )
 from vectrail.llm.registry import ORACLES, QUERIES, query, table
@@ -112,6 +113,14 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digest(examples)
 
 
+@query()
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings that earlier ones hold."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query()
 def op9_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
