@@ -1,13 +1,71 @@
-"""The corpus pipeline: stages over documents, each with one operator of vectrail.llm."""
+"""The corpus pipeline: stages over documents, each with one operator of vectrail.llm.
 
-from pyspark.sql import DataFrame, SparkSession
+Every stage but the last returns the columns of the documents it was given. Rows are told apart by a
+hash of id and text, and equal rows by their number, so repeated ids and rows do not multiply.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from vectrail.deploy import ship
-from vectrail.llm import best_fit, cube_mix
+from vectrail.llm import best_fit, cube_mix, jaccard_join, lang_cnn, suffix_dedup
 from vectrail.llm.queries import tokenizer_path
 from vectrail.llm.registry import table
 from vectrail.scratch import new_path
 
+#: Documents whose language is less sure go.
+SURE_LANGUAGE = 0.5
+
+
+def _row_name(text: Column) -> Column:
+    """What suffix_dedup calls text_hash."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without letters, or unsure, go."""
+    ship(spark)
+    whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
+    found = lang_cnn.predict_languages(whole)
+    told = (F.col("lang_pred") != lang_cnn.UNDETERMINED) & (F.col("score") >= SURE_LANGUAGE)
+    return found.where(told).select("row.*")
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each class of near copies, and rows without an id."""
+    ship(spark)
+    classes = jaccard_join.similarity_classes(docs)
+    copies = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # Ids that are there more than once are few; of equal rows one stays.
+    again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
+    several = left.join(again, "doc_id", "left_semi").select(*docs.columns)
+    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what documents with smaller ids hold too; n_chars is counted anew."""
+    ship(spark)
+    left = suffix_dedup.remove_repeats(docs).select(F.col("text_hash").alias("_row"), "kept")
+    rest = docs.withColumn("_row", _row_name(F.col("text"))).drop("text")
+    joined = rest.join(left.dropDuplicates(["_row"]), "_row")
+    texts = joined.withColumn("text", suffix_dedup.whole_characters(F.col("kept")))
+    return texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    ship(spark)
+    named = docs.withColumn("_row", _row_name(F.col("text")))
+    mixed = cube_mix.mix(named.select(F.col("_row").alias("doc_id"), "source", "text"))
+    taken = mixed.select(F.col("doc_id").alias("_row"), "copies")
+    number = F.row_number()
+    taken = taken.withColumn("_nth", number.over(Window.partitionBy("_row").orderBy("copies")))
+    rows = named.withColumn("_nth", number.over(Window.partitionBy("_row").orderBy(F.lit(0))))
+    joined = rows.join(taken.where("copies > 0"), ["_row", "_nth"])
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
 
 def pack_best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, packed into sequences of 4096 tokens."""
@@ -15,7 +73,13 @@ def pack_best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return best_fit.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("pack_best_fit", pack_best_fit)]
+STAGES = [
+    ("keep_known_languages", keep_known_languages),
+    ("keep_one_of_each_class", keep_one_of_each_class),
+    ("remove_repeated_passages", remove_repeated_passages),
+    ("mix_sources", mix_sources),
+    ("pack_best_fit", pack_best_fit),
+]
 
 #: Training, suffix sorting, balanced sampling and tokenizing cannot be said in SQL.
 ORACLE_SQL = None

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm.folds import bounded_sample
@@ -449,3 +449,14 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
     again = in_units.select("unit", "doc_id", "rid", "text").groupBy("unit").cogroup(spans.groupBy("unit"))
     schema = "doc_id long, rid long, n_bytes long, n_removed long, n_spans long, kept binary"
     return again.applyInPandas(cut, schema).withColumnRenamed("rid", "text_hash")
+
+
+def whole_characters(kept: Column) -> Column:
+    """The text of kept bytes. A removed string may begin or end within a character; what is left of
+    such a character goes too."""
+
+    def decode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield text.map(lambda data: bytes(data).decode("utf-8", "ignore"))
+
+    return F.pandas_udf(decode, "string")(kept)
