@@ -246,20 +246,24 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = pieces.sparkSession.sparkContext.broadcast(plan_slots(counts, capacity))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<sequence_id:long,offset:long>")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         length, first_rank, first, each, offset = plan.value.T
         keys = (length << RANK_BITS) + first_rank
-        for rows in batches:
-            at = np.searchsorted(keys, (rows["length"].to_numpy() << RANK_BITS) + rows["rank"], "right") - 1
-            nth = rows.pop("rank").to_numpy() - first_rank[at]
-            rows["sequence_id"] = first[at] + nth // each[at]
-            rows["offset"] = offset[at] + nth % each[at] * length[at]
-            yield rows
+        for own, rank in batches:
+            own, rank = own.to_numpy(np.int64), rank.to_numpy(np.int64)
+            at = np.searchsorted(keys, (own << RANK_BITS) + rank, "right") - 1
+            nth = rank - first_rank[at]
+            yield pd.DataFrame(
+                {
+                    "sequence_id": first[at] + nth // each[at],
+                    "offset": offset[at] + nth % each[at] * length[at],
+                }
+            )
 
     ranked = rank_within(pieces, ["doc_id", "piece"])
-    kept = ranked.select(*pieces.columns, "rank")
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return kept.mapInPandas(place, schema)
+    placed = ranked.withColumn("slot", place("length", "rank"))
+    return placed.select(*pieces.columns, "slot.sequence_id", "slot.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:

@@ -118,7 +118,7 @@ def _fly(rows: DataFrame, level: int, blocks: Column, last: bool, seed: int) ->
     """One level: each block of a source moves on its own."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "copies", "chance"], kind="stable")
+        rows = rows.sort_values(["size", "doc_id", "no_id", "chance"], kind="stable")
         sizes = rows["size"].to_numpy()
         key = [seed, level, int(rows["block"].iloc[0]), len(rows), int(sizes.sum())]
         chance = flight(sizes, rows["chance"].to_numpy(), np.random.default_rng(key))
@@ -148,7 +148,15 @@ def mix(
     """
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    # pandas would make fractions of whole numbers beside nulls.
+    no_id = F.col("doc_id").isNull()
+    named = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
+        no_id.alias("no_id"),
+        "source",
+        word_count(F.col("text")).alias("size"),
+    )
+    sizes = written(named, "sizes")
     targets = written(source_targets(sizes, weights, most, share), "targets")
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     # One row per source and share of its documents, so that a large source meets many tasks.
@@ -162,7 +170,7 @@ def mix(
         .join(dealt, F.col("source").eqNullSafe(F.col("of")) & (F.col("here") == F.col("part")))
         .withColumn("copies", F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("int"))
         .withColumn("chance", F.when(F.col("size") > 0, rate - F.col("copies")).otherwise(0.0))
-        .select("doc_id", "source", "size", "source_size", "n_docs", "target", "copies", "chance")
+        .select("doc_id", "no_id", "source", "size", "source_size", "n_docs", "target", "copies", "chance")
     )
     settled: list[DataFrame] = []
     level, blocks = 0, -(-largest // block)
@@ -183,7 +191,7 @@ def mix(
         out = out.unionByName(more)
     copies = F.col("copies") + F.round("chance").cast("int")
     return out.withColumn("copies", copies).select(
-        "doc_id",
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"),
         "size",
         "source_size",
         "target",

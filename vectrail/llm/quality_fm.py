@@ -162,19 +162,19 @@ def score_quality(docs: DataFrame, model: tuple) -> DataFrame:
     """``(doc_id, score)`` of every document; a null text is scored as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         slots = _Slots()
         for rows in batches:
             out = np.empty(len(rows))
             for at in range(0, len(rows), 64):
-                texts = [text_features((t or "").encode(), slots) for t in rows["text"].iloc[at : at + 64]]
+                texts = [text_features((t or "").encode(), slots) for t in rows.iloc[at : at + 64]]
                 starts = np.cumsum([0] + [len(i) for i, _ in texts[:-1]])
                 index, value = (np.concatenate(x) for x in zip(*texts))
                 out[at : at + 64] = fm_scores(shared.value, index, value, starts)[0]
-            yield rows[["doc_id"]].assign(score=1 / (1 + np.exp(-np.clip(out, -30, 30))))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, score double")
+    return docs.select("doc_id", score("text").alias("score"))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:

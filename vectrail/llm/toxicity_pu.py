@@ -155,15 +155,15 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], np.ndarray])
     """``(doc_id, score)`` of every document; a null text is scored as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_forms
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon, weight = shared.value
         weights = _Weights(lexicon)
-        for rows in batches:
-            found = np.array([text_inputs(t or "", weights) for t in rows["text"]]).reshape(-1, INPUTS)
-            yield rows[["doc_id"]].assign(score=1 / (1 + np.exp(-np.clip(found @ weight, -30, 30))))
+        for texts in batches:
+            found = np.array([text_inputs(t or "", weights) for t in texts]).reshape(-1, INPUTS)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(found @ weight, -30, 30))))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, score double")
+    return docs.select("doc_id", score("text").alias("score"))
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
