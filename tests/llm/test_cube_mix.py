@@ -1,0 +1,89 @@
+"""Mixing: targets, bounds, balance, equal reruns."""
+
+import re
+
+import numpy as np
+
+from vectrail.llm import cube_mix
+
+SCHEMA = "doc_id long, text string, source string, size string, target string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def targets(sizes, weights=(5, 2, 1), most=3):
+    """Shares by weight; what is above the bound is shared anew until nothing is."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    fixed, free, left = {}, set(names), float(sum(sizes.values()))
+    while free:
+        share = {s: left * weight[s] / sum(weight[t] for t in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return fixed | share
+        for s in over:
+            fixed[s] = most * sizes[s]
+            left -= fixed[s]
+        free -= over
+    return fixed
+
+
+def rows(seed, n):
+    some = np.random.default_rng(seed)
+    made = []
+    for i in range(n):
+        source = None if i % 17 == 0 else f"s{int(some.integers(0, 7)) if i % 3 else 0}"
+        text = None if i % 41 == 0 else "w " * int(some.integers(0, 30) if i % 50 else 2000)
+        made.append((i, text, source, "x", "y"))
+    return made
+
+
+def check(made, found):
+    size = [len(WORD.findall(r[1] or "")) for r in made]
+    total = {}
+    for r, n in zip(made, size):
+        total[r[2]] = total.get(r[2], 0) + n
+    want = targets(total)
+    taken = dict.fromkeys(total, 0)
+    by_id = {r[0]: (r[2], n) for r, n in zip(made, size)}
+    largest = {}
+    for r in found:
+        source, n = by_id[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (n, total[source])
+        assert abs(r["target"] - want[source]) < 1e-6
+        assert r["taken"] == r["copies"] * n and 0 <= r["copies"] <= 3
+        assert n == 0 or int(want[source] // total[source]) <= r["copies"]
+        taken[source] += r["taken"]
+        largest[source] = max(largest.get(source, 0), n)
+    for source in total:
+        assert abs(taken[source] - want[source]) <= largest[source] / 2 + 1, source
+    return taken
+
+
+def test_targets_balance_and_reruns(spark):
+    made = rows(1, 800)
+    df = spark.createDataFrame(made, SCHEMA)
+    first = cube_mix.mix(df, block=16).collect()
+    assert len(first) == len(made)
+    check(made, first)
+    again = cube_mix.mix(df.repartition(5), block=16).collect()
+    assert sorted(first) == sorted(again)
+
+
+def test_one_source_and_repeated_rows(spark):
+    made = [(1, "a b", "s", "", "")] * 3 + [(None, "c", "s", "", "")]
+    found = cube_mix.mix(spark.createDataFrame(made, SCHEMA)).collect()
+    assert len(found) == 4 and sum(r["taken"] for r in found) == 7
+
+
+def test_no_rows_and_no_words(spark):
+    assert cube_mix.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+    found = cube_mix.mix(spark.createDataFrame([(1, " ", "s", "", ""), (2, None, None, "", "")], SCHEMA)).collect()
+    assert [r["taken"] for r in found] == [0, 0] and [r["target"] for r in found] == [0.0, 0.0]
+
+
+def test_flight_keeps_both_sums():
+    some = np.random.default_rng(4)
+    sizes, chance = some.integers(1, 500, 300), some.random(300)
+    out = cube_mix.flight(sizes, chance, some)
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert abs(out.sum() - chance.sum()) < 1e-6 and abs(out @ sizes - chance @ sizes) < 1e-3
