@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vectrail.plans.build import build_articles
 from vectrail.schema import SOURCE_ORDER
-from vectrail.sources.article_xml import read_articles, source_files
+from vectrail.sources.article_xml import bad_records, read_articles, read_records, source_files
 from vectrail.streaming.incremental import ingest_new_files, read_ingested
 
 HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<PubmedArticleSet>\n'
@@ -130,21 +130,81 @@ def test_incremental_runs(spark, tmp_path):
         return {r["pmid"]: r["title"] for r in read_ingested(spark, str(table)).collect()}
 
     assert run() == {"1": "first", "2": "two"}
-    batches = sorted(p.name for p in table.glob("batch_id=*"))
-    assert run() == {"1": "first", "2": "two"}
-    assert sorted(p.name for p in table.glob("batch_id=*")) == batches
+    batches = sorted(p.name for p in table.glob("ledger=*/batch_id=*"))
+    assert run() == {"1": "first", "2": "two"} and batches
+    assert sorted(p.name for p in table.glob("ledger=*/batch_id=*")) == batches
     write(source, "n3.xml", record("2", title("changed")), record("3", title("three")))
     assert run(max_files_per_batch=1) == {"1": "first", "2": "two", "3": "three"}
 
 
+def test_two_ledgers_of_one_table_lose_and_change_nothing(spark, tmp_path):
+    table = str(tmp_path / "table")
+    write(tmp_path / "a", "n1.xml", record("1", title("one")), record("2", title("two")))
+    write(tmp_path / "b", "n1.xml", record("3", title("three")), record("2", title("two again")))
+
+    def run(source, ledger):
+        ingest_new_files(spark, str(tmp_path / source), table, str(tmp_path / ledger))
+        rows = read_ingested(spark, table).select("pmid", "title").orderBy("pmid").collect()
+        return [tuple(r) for r in rows]
+
+    assert run("a", "ledger-a") == [("1", "one"), ("2", "two")]
+    stored = [("1", "one"), ("2", "two"), ("3", "three")]
+    assert run("b", "ledger-b") == stored
+    write(tmp_path / "a", "n2.xml", record("3", title("three again")))
+    assert run("a", "ledger-a") == stored
+    # A lost ledger reads all files anew and finds everything stored.
+    assert run("a", "new-ledger-a") == stored
+
+
 def test_repeated_batch_replaces_its_own_rows(spark, tmp_path):
-    source, table = tmp_path / "in", str(tmp_path / "table")
+    source, table, ledger = tmp_path / "in", tmp_path / "table", tmp_path / "ledger"
     write(source, "n1.xml", record("1", title("one")), record("2", title("two")))
-    # A second ledger knows of no file, so its first batch is the first batch once more.
-    for ledger in ("a", "b"):
-        ingest_new_files(spark, str(source), table, str(tmp_path / ledger))
-    rows = read_ingested(spark, table).select("pmid").orderBy("pmid").collect()
+    ingest_new_files(spark, str(source), str(table), str(ledger))
+    # The batch ran, but its commit was lost.
+    for commit in [p for p in (ledger / "commits").iterdir() if "0" in p.name]:
+        commit.unlink()
+    ingest_new_files(spark, str(source), str(table), str(ledger))
+    rows = read_ingested(spark, str(table)).select("pmid").orderBy("pmid").collect()
     assert [r[0] for r in rows] == ["1", "2"]
+    assert len(list(table.glob("ledger=*/batch_id=*"))) == 1
+
+
+def test_sources_can_be_deleted(spark, tmp_path):
+    source = tmp_path / "in"
+    for n in (1, 2, 3):
+        write(source, f"n{n}.xml", record(str(n), title("t")))
+        ingest_new_files(
+            spark, str(source), str(tmp_path / "table"), str(tmp_path / "ledger"), clean_source="delete"
+        )
+    assert read_ingested(spark, str(tmp_path / "table")).count() == 3
+    assert len(list(source.rglob("*.xml"))) < 3
+
+
+def test_records_are_parsed_once(spark, tmp_path, capsys):
+    write(tmp_path / "in", "a.xml", record("1", title("t")))
+    read_articles(spark, str(tmp_path / "in")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("_parse(") == 1
+
+
+def test_namespaces_and_entities_of_the_file(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.xml").write_text(
+        '<!DOCTYPE x [<!ENTITY drug "a &lt; b">]><Set xmlns:m="urn:math">'
+        "<PubmedArticle><PMID>1</PMID><ArticleTitle>&drug; &eacute; &amp;<m:b/>x</ArticleTitle></PubmedArticle>"
+        '<PubmedArticle><PMID m:k="v">2</PMID><ArticleTitle>&nbsp;&alpha;</ArticleTitle></PubmedArticle></Set>'
+    )
+    rows = read_articles(spark, str(folder)).orderBy("pmid").collect()
+    assert [(r["pmid"], r["title"]) for r in rows] == [("1", "a < b é &"), ("2", "\xa0α")]
+
+
+def test_bad_records_are_set_aside(spark, tmp_path):
+    write(tmp_path / "in", "a.xml", record("1", title("t")), "<PubmedArticle><PMID>2</PubmedArticle>")
+    path = str(tmp_path / "in")
+    assert [r["pmid"] for r in read_articles(spark, path, on_bad_record="skip").collect()] == ["1"]
+    bad = bad_records(read_records(spark, path)).collect()
+    assert len(bad) == 1 and "mismatched" in bad[0]["error"] and "<PMID>2" in bad[0]["value"]
 
 
 def test_sources_can_be_archived(spark, tmp_path):

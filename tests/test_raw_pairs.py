@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from vectrail.operators.profile import pair_counts
+from vectrail.sources import raw_pairs
 from vectrail.sources.raw_pairs import pair_files, read_raw_pair, write_raw_pair
 
 
@@ -36,6 +37,35 @@ def test_folders_of_pairs_and_writing(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, table.collect()))
 
 
+def test_rewriting_replaces_all_files(spark, tmp_path):
+    table = spark.range(500).selectExpr("id AS doc_id", "array(float(id), 1.0f) AS doc_vector")
+    folders = [str(tmp_path / n) for n in ("v", "i")]
+    write_raw_pair(table.repartition(4), *folders)
+    with pytest.raises(ValueError, match="not empty"):
+        write_raw_pair(table.coalesce(1), *folders)
+    write_raw_pair(table.coalesce(1), *folders, mode="overwrite")
+    assert read_raw_pair(spark, *folders, 2).count() == 500
+
+
+def test_folders_with_one_file_each_pair_by_name(spark, tmp_path):
+    folders = files(tmp_path / "p", range(3), np.zeros((3, 4)))
+    (tmp_path / "p" / "ids" / "part.i64").rename(tmp_path / "p" / "ids" / "other.i64")
+    with pytest.raises(ValueError, match="differ in number"):
+        read_raw_pair(spark, *folders, 4)
+
+
+def test_ranges_and_pieces_cover_every_row(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(raw_pairs, "RANGE_BYTES", 7 * 16)
+    monkeypatch.setattr(raw_pairs, "PIECE_BYTES", 3 * 16)
+    vectors = np.random.default_rng(1).normal(size=(50, 4)).astype("f4")
+    table = read_raw_pair(spark, *files(tmp_path / "p", range(50), vectors), 4)
+    assert dict(table.collect()) == {n: v.tolist() for n, v in enumerate(vectors)}
+    table.explain()
+    # Lists of files are joined, vectors are not.
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" not in plan and "Scan ExistingRDD" not in plan
+
+
 def test_unequal_counts_fail(spark, tmp_path):
     folders = files(tmp_path / "p", range(9), np.zeros((10, 4)))
     with pytest.raises(ValueError, match="differ in number"):

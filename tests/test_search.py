@@ -152,11 +152,15 @@ def test_documents_stay_with_their_scores(spark):
         [(3, 0.9), (100_000, 0.8), (1, 0.7)], "doc_id bigint, similarity double"
     )
     table = articles(spark, SMALL)
-    for max_hits in (3, 5_000, None):
-        rows = {r["doc_id"]: r for r in attach_documents(hits, table, max_hits).collect()}
-        assert {i: r["pmid"] for i, r in rows.items()} == {3: "3", 1: "1", 100_000: None}
-        assert rows[3]["similarity"] == 0.9
-    for found in (lookup_ids(table, [3, 100_000, 1]), lookup(table, hits), lookup(table, hits, 3)):
+    rows = {r["doc_id"]: r for r in attach_documents(hits, table).collect()}
+    assert {i: r["pmid"] for i, r in rows.items()} == {3: "3", 1: "1", 100_000: None}
+    assert rows[3]["similarity"] == 0.9
+    for found in (lookup_ids(table, [3, 100_000, 1]), lookup(table, hits)):
         assert sorted(r["doc_id"] for r in found.collect()) == [1, 3]
-    with pytest.raises(ValueError):
-        lookup_ids(table, range(1001))
+
+
+def test_lookups_take_any_number_of_ids(spark):
+    table = articles(spark, SMALL)
+    assert lookup_ids(table, range(5_000)).count() == table.count()
+    hits = spark.range(5_000).selectExpr("id AS doc_id", "1.0D AS similarity")
+    assert attach_documents(hits, table).where("pmid IS NOT NULL").count() == table.count()

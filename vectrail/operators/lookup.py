@@ -3,51 +3,35 @@
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectrail.schema import DOC_ID, DOCUMENT_COLUMNS
 from vectrail.scratch import written
 
-# Ids up to this number are sent into the scan as a filter, and up to that are broadcast.
-MAX_FILTER_IDS = 1_000
-MAX_BROADCAST_IDS = 1_000_000
+_IDS = T.StructType([T.StructField(DOC_ID, T.LongType())])
 
 
 def lookup_ids(articles: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """The articles of a short list of ids, in no particular order; unknown ids are left out.
+    """The articles of a list of ids, in no particular order; unknown ids are left out."""
+    rows = [(int(i),) for i in ids]
+    return lookup(articles, articles.sparkSession.createDataFrame(rows, _IDS))
 
-    The list reaches the parquet scan, which skips row groups without any of the ids. That pays off
-    when the table is written in id order, see :func:`vectrail.sources.tables.write_articles`.
-    """
-    if len(ids) > MAX_FILTER_IDS:
-        raise ValueError(f"more than {MAX_FILTER_IDS} ids; use lookup() with a DataFrame of ids")
-    wanted = F.col(DOC_ID).isin([int(i) for i in ids])
-    return articles.where(wanted).select(DOC_ID, *DOCUMENT_COLUMNS)
 
+def lookup(articles: DataFrame, ids: DataFrame) -> DataFrame:
+    """The articles whose id is in ``ids``, which may be of any size and repeat.
 
-def lookup(articles: DataFrame, ids: DataFrame, max_ids: int | None = None) -> DataFrame:
-    """The articles whose id is in ``ids``; ``max_ids`` is a known upper bound of its rows."""
+    One plan for all: a semi join, of which Spark broadcasts the ids if their size allows.
+    """
     wanted = ids.select(DOC_ID)
-    if max_ids is not None and max_ids <= MAX_BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
     return articles.select(DOC_ID, *DOCUMENT_COLUMNS).join(wanted, DOC_ID, "left_semi")
 
 
-def attach_documents(
-    hits: DataFrame, articles: DataFrame, max_hits: int | None = None
-) -> DataFrame:
+def attach_documents(hits: DataFrame, articles: DataFrame) -> DataFrame:
     """Add the article columns to each hit by id; a hit without an article keeps NULLs.
 
-    A score always stands beside the article it belongs to, whatever the order of either side.
-    ``max_hits`` is a known upper bound of the number of hits. When it is small the search is run
-    right away, once, and only the articles hit take part in the join.
+    A score always stands beside the article it belongs to, whatever the order of either side. The
+    hits are written once, so the search runs once and Spark knows their size: only the articles
+    hit take part in the join, and few hits are broadcast to the scan of the articles.
     """
-    if max_hits is None or max_hits > MAX_BROADCAST_IDS:
-        return hits.join(articles.select(DOC_ID, *DOCUMENT_COLUMNS), DOC_ID, "left")
     hits = written(hits, "hits")
-    if max_hits <= MAX_FILTER_IDS:
-        ids = sorted({row[0] for row in hits.select(DOC_ID).collect()})
-        documents = lookup_ids(articles, ids)
-    else:
-        documents = lookup(articles, hits, max_hits)
-    return hits.join(documents, DOC_ID, "left")
+    return hits.join(lookup(articles, hits), DOC_ID, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions.quantization import affine_code
 from vectrail.functions.scorers import vector_quantizer
-from vectrail.schema import DOC_ID, DOC_VECTOR, RANGE_STATS
+from vectrail.schema import DOC_ID, DOC_VECTOR, QUERY_ID, RANGE_STATS
 
 
 def vector_range(vectors: DataFrame) -> DataFrame:
@@ -64,12 +64,16 @@ def quantize_table(vectors: DataFrame, stats: DataFrame, engine: str = "arrow")
     return vectors.withColumn(DOC_VECTOR, codes)
 
 
-def recall_at_k(exact: DataFrame, other: DataFrame) -> DataFrame:
-    """The share of the exact hits that another search found too, as ``(hits, found, recall)``."""
-    marked = exact.select(DOC_ID).join(
-        other.select(DOC_ID, F.lit(1).alias("also")), DOC_ID, "left"
-    )
-    return marked.agg(
+def recall_at_k(exact: DataFrame, other: DataFrame, per_query: bool = False) -> DataFrame:
+    """The share of the exact hits that another search found too, as ``(hits, found, recall)``.
+
+    Hits of many queries are compared within each query. ``per_query`` gives a row for each of
+    them, with its ``query_id``; otherwise there is one row over all.
+    """
+    keys = [c for c in (QUERY_ID, DOC_ID) if c in exact.columns]
+    also = other.select(*keys).distinct().withColumn("also", F.lit(1))
+    marked = exact.select(*keys).join(also, keys, "left")
+    return marked.groupBy(*([QUERY_ID] if per_query else [])).agg(
         F.count("*").alias("hits"),
         F.count("also").alias("found"),
         F.try_divide(F.count("also"), F.count("*")).alias("recall"),

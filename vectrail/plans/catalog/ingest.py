@@ -186,6 +186,42 @@ def incremental_ingest(spark, sf_dir):
     return _trimmed(read_ingested(spark, table).select("pmid", "title", "abstract"))
 
 
+@query(
+    f"""WITH {RAW_FIELDS_SQL}, w AS (
+        SELECT pmid, title, abstract FROM r
+        UNION ALL SELECT 'new' || pmid, 'other source', abstract FROM r)
+    SELECT pmid, rtrim(title, ' ' || chr(10)) AS title, abstract FROM w
+    WHERE title <> '' OR coalesce(abstract, '') <> ''"""
+)
+def incremental_two_sources(spark, sf_dir):
+    """Two sources with ledgers of their own fill one table, then one of them loses its ledger."""
+    names = ("source", "source", "ingested", "ledger", "ledger", "ledger")
+    here, there, table, one, two, three = (new_path(spark, n) for n in names)
+    first = raw_fields(spark, sf_dir).drop("doc_id", "lang")
+    again = first.withColumn("title", F.lit("other source"))
+    write_xml(first, here)
+    write_xml(again.unionByName(again.withColumn("pmid", F.concat(F.lit("new"), "pmid"))), there)
+    for source, ledger in ((here, one), (there, two), (here, three)):
+        ingest_new_files(spark, source, table, ledger)
+    return _trimmed(read_ingested(spark, table).select("pmid", "title", "abstract"))
+
+
+@query(
+    f"""WITH {RAW_FIELDS_SQL}, w AS (
+        SELECT pmid, title, abstract FROM r UNION ALL SELECT 'new' || pmid, title, abstract FROM r)
+    SELECT pmid, rtrim(title, ' ' || chr(10)) AS title, abstract FROM w
+    WHERE title <> '' OR coalesce(abstract, '') <> ''"""
+)
+def ingest_clean_source(spark, sf_dir):
+    """Files are deleted once their batch is committed; the table keeps what they held."""
+    source, table, ledger = (new_path(spark, n) for n in ("source", "ingested", "ledger"))
+    first = raw_fields(spark, sf_dir).drop("doc_id", "lang")
+    for wave in (first, first.withColumn("pmid", F.concat(F.lit("new"), "pmid"))):
+        write_xml(wave, source)
+        ingest_new_files(spark, source, table, ledger, clean_source="delete")
+    return _trimmed(read_ingested(spark, table).select("pmid", "title", "abstract"))
+
+
 @query(
     f"""WITH {RAW_FIELDS_SQL}, w AS (SELECT pmid, doc_id, title, abstract, authors FROM r)
     SELECT pmid, doc_id, {_TITLE} AS title, authors, abstract FROM w

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vectrail.operators import quantize
+from vectrail.operators.batch_search import search_batch
 from vectrail.operators.search import search
 from vectrail.plans.build import build_codes
 from vectrail.plans.catalog.registry import query
@@ -83,6 +84,32 @@ def topk_int8(spark, sf_dir):
     return _code_hits(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
 
 
+_BATCH_SQL = f"""{_CODES_SQL},
+    w AS (SELECT doc_id, codes::DOUBLE[] AS doc_vector FROM c),
+    q AS (SELECT doc_id AS query_id, doc_vector AS qv FROM v WHERE doc_id % 50 = 0),
+    es AS (SELECT query_id, doc_id, round({PRODUCT_CLAMP}, 12) AS s FROM v, q),
+    cs AS (SELECT query_id, doc_id, round({PRODUCT_CLAMP}, 12) AS s FROM w, q),
+    er AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r FROM es),
+    cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r FROM cs)"""
+
+
+@query(
+    f"""WITH {_BATCH_SQL}
+    SELECT er.query_id, count(*) AS hits, count(cr.doc_id) AS found,
+           count(cr.doc_id) / count(*) AS recall
+    FROM er LEFT JOIN (SELECT * FROM cr WHERE r <= {_K}) cr USING (query_id, doc_id)
+    WHERE er.r <= {_K} GROUP BY er.query_id"""
+)
+def batch_recall(spark, sf_dir):
+    """Of every fiftieth vector's hits, the share that a search over codes finds, for each of them."""
+    table = stretched_vectors(spark, sf_dir)
+    codes = quantize.quantize_table(table, quantize.vector_range(table))
+    queries = table.where("doc_id % 50 = 0").selectExpr("doc_id AS query_id", "doc_vector AS query_vector")
+    return quantize.recall_at_k(
+        search_batch(table, queries, _K), search_batch(codes, queries, _K), per_query=True
+    )
+
+
 @query(
     f"""WITH {_CODE_HITS},
     fs AS (SELECT doc_id, round({PRODUCT_CLAMP}, 12) AS s FROM v, q),

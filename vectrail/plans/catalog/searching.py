@@ -124,7 +124,7 @@ def batch_topk(spark, sf_dir):
 def document_lookup(spark, sf_dir):
     table = stretched_vectors(spark, sf_dir)
     hits = search(table, first_vector(table), _K)
-    return lookup(articles(spark, sf_dir), hits, max_ids=_K).drop("doc_id")
+    return lookup(articles(spark, sf_dir), hits).drop("doc_id")
 
 
 _WITH_DOCUMENTS = f"""WITH {_hits(PRODUCT_CLAMP)}, {ARTICLES_SQL}
@@ -137,7 +137,7 @@ _WITH_DOCUMENTS = f"""WITH {_hits(PRODUCT_CLAMP)}, {ARTICLES_SQL}
 def search_with_documents(spark, sf_dir):
     table = stretched_vectors(spark, sf_dir)
     hits = with_rank(search(table, first_vector(table), _K))
-    return _rounded(attach_documents(hits, articles(spark, sf_dir), max_hits=_K))
+    return _rounded(attach_documents(hits, articles(spark, sf_dir)))
 
 
 def hashed_sql(name: str, source: str, key: str) -> str:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vectrail.operators.profile import pair_counts
+from vectrail.operators.profile import check_dim, pair_counts
 from vectrail.plans.catalog.registry import query
 from vectrail.plans.catalog.standins import VECTORS_SQL, long_form, vectors
 from vectrail.scratch import new_path
@@ -36,8 +36,7 @@ def _raw_pair(spark, sf_dir):
     """The vector table written as raw pairs, in as many files as its scan has tasks."""
     folders = new_path(spark, "raw-vectors"), new_path(spark, "raw-ids")
     write_raw_pair(vectors(spark, sf_dir), *folders)
-    dim = vectors(spark, sf_dir).select(F.array_size("doc_vector")).head()[0]
-    return *folders, dim
+    return *folders, check_dim(vectors(spark, sf_dir))
 
 
 @query(_LONG)

@@ -46,14 +46,14 @@ class Retriever:
             self.vectors, self.embed_query(text), k, num_records=num_records, **self.scoring
         )
         hits = with_rank(found).selectExpr(f"0L AS {QUERY_ID}", RANK, DOC_ID, SIMILARITY)
-        return self._result(hits, k)
+        return self._result(hits)
 
     def search_many(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """The ``k`` best articles for each ``(query_id, text)``, by query and rank."""
         embedded = embed_queries(queries, self.model, prefix=self.query_prefix)
         hits = search_batch(self.vectors, embedded, k, **self.scoring)
-        return self._result(hits, queries.count() * k)
+        return self._result(hits)
 
-    def _result(self, hits: DataFrame, max_hits: int) -> DataFrame:
-        found = attach_documents(hits, self.articles, max_hits)
+    def _result(self, hits: DataFrame) -> DataFrame:
+        found = attach_documents(hits, self.articles)
         return found.select(*RESULT_COLUMNS).orderBy(QUERY_ID, RANK)

@@ -2,10 +2,13 @@
 
 import re
 import xml.etree.ElementTree as ET
+from html.entities import html5
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -17,7 +20,13 @@ FILE_PATTERN = "*.{xml,xml.gz}"
 RECORD_END = "</PubmedArticle>"
 _RECORD_START = re.compile(r"<PubmedArticle[\s>]")
 
-_ARROW_TYPE = to_arrow_type(RAW_ARTICLE)
+_XML_ENTITIES = {"amp", "lt", "gt", "quot", "apos"}
+_ENTITY = re.compile(r"""<!ENTITY\s+([\w.-]+)\s+["']([^"']*)["']""")
+_REFERENCE = re.compile(r"&([A-Za-z][\w.-]*);")
+_PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+
+_PARSED = T.StructType([*RAW_ARTICLE.fields, T.StructField("error", T.StringType())])
+_ARROW_TYPE = to_arrow_type(_PARSED)
 
 
 def source_files(spark: SparkSession, path: str, pattern: str = FILE_PATTERN) -> DataFrame:
@@ -58,14 +67,53 @@ def positioned(lines: DataFrame) -> DataFrame:
     return numbered.where(F.col("value").rlike(_RECORD_START.pattern))
 
 
-@arrow_udf(RAW_ARTICLE)
+@arrow_udf(_PARSED)
 def _parse(records: pa.Array) -> pa.Array:
-    return pa.array([_fields(record.as_py()) for record in records], type=_ARROW_TYPE)
+    parsed = []
+    for record in records:
+        try:
+            parsed.append({**_fields(record.as_py()), "error": None})
+        except ET.ParseError as error:
+            parsed.append({"error": str(error)})
+    return pa.array(parsed, type=_ARROW_TYPE)
+
+
+# Spark would otherwise parse once for the rows and once more to filter them.
+_parse = _parse.asNondeterministic()
+
+
+def _element(record: str) -> ET.Element:
+    """One record as an element, on its own.
+
+    The record is cut out of its file, so it may use namespace prefixes and entities that the file
+    declares before it. Prefixes are declared anew, as no element that is read has one, and
+    entities of HTML, and those declared in the part before the record if it is there, are replaced.
+    """
+    start = _RECORD_START.search(record).start()
+    text = record[start:] + RECORD_END
+    try:
+        return ET.fromstring(text)
+    except ET.ParseError:
+        declared = dict(_ENTITY.findall(record[:start]))
+        text = _REFERENCE.sub(lambda m: _resolved(m, declared), text)
+        prefixes = sorted(set(_PREFIX.findall(text)) - {"xml", "xmlns"})
+        names = " ".join(f'xmlns:{p}="urn:{p}"' for p in prefixes)
+        return ET.fromstring(f"<records {names}>{text}</records>")[0]
+
+
+def _resolved(reference: re.Match, declared: dict[str, str]) -> str:
+    name = reference[1]
+    if name in _XML_ENTITIES:
+        return reference[0]
+    if name in declared:
+        return declared[name]
+    return escape(html5[f"{name};"]) if f"{name};" in html5 else reference[0]
 
 
 def _fields(record: str) -> dict:
     """The text fields of one record: of each element the first match, up to its first child."""
-    root = ET.fromstring(record[_RECORD_START.search(record).start() :] + RECORD_END)
+    root = _element(record)
+    # The paths of the fields in the input format.
     return {
         "pmid": root.findtext(".//PMID"),
         "title": root.findtext(".//ArticleTitle"),
@@ -79,12 +127,29 @@ def _fields(record: str) -> dict:
     }
 
 
-def parse_records(records: DataFrame) -> DataFrame:
-    """The valid articles among record texts, with their position in the source."""
-    fields = records.select(_parse(F.col("value")).alias("r"), *SOURCE_ORDER).select(
-        "r.*", *SOURCE_ORDER
-    )
-    return to_articles(fields)
+def parse_records(records: DataFrame, on_bad_record: str = "error") -> DataFrame:
+    """The valid articles among record texts, with their position in the source.
+
+    A record that is not well-formed fails the job, or with ``on_bad_record='skip'`` is left out;
+    :func:`bad_records` has those.
+    """
+    if on_bad_record not in ("error", "skip"):
+        raise ValueError(f"on_bad_record must be 'error' or 'skip', not {on_bad_record!r}")
+    parsed = records.select(_parse(F.col("value")).alias("r"), *SOURCE_ORDER)
+    error = F.col("r.error")
+    if on_bad_record == "error":
+        # The guard stands in the id, which every row needs, so that it is never pruned away.
+        pmid = F.when(error.isNotNull(), F.raise_error(error)).otherwise(F.col("r.pmid"))
+        parsed = parsed.withColumn("r", F.col("r").withField("pmid", pmid))
+    else:
+        parsed = parsed.where(error.isNull())
+    return to_articles(parsed.select("r.*", *SOURCE_ORDER).drop("error"))
+
+
+def bad_records(records: DataFrame) -> DataFrame:
+    """The records that are not well-formed, as ``(value, error)`` with their position."""
+    parsed = records.select("value", _parse(F.col("value"))["error"].alias("error"), *SOURCE_ORDER)
+    return parsed.where(F.col("error").isNotNull())
 
 
 def to_articles(fields: DataFrame) -> DataFrame:
@@ -102,7 +167,11 @@ def to_articles(fields: DataFrame) -> DataFrame:
 
 
 def read_articles(
-    spark: SparkSession, path: str, pattern: str = FILE_PATTERN, rebalance: bool = False
+    spark: SparkSession,
+    path: str,
+    pattern: str = FILE_PATTERN,
+    rebalance: bool = False,
+    on_bad_record: str = "error",
 ) -> DataFrame:
     """The valid articles of all XML files below ``path``, repeated ids included.
 
@@ -111,4 +180,4 @@ def read_articles(
     their records among tasks before parsing.
     """
     records = read_records(spark, path, pattern)
-    return parse_records(records.hint("rebalance") if rebalance else records)
+    return parse_records(records.hint("rebalance") if rebalance else records, on_bad_record)

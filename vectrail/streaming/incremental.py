@@ -2,6 +2,7 @@
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrail.operators.dedup import insert_or_ignore
@@ -13,9 +14,19 @@ from vectrail.sources.article_xml import (
     record_columns,
     record_options,
 )
+from vectrail.sources.tables import write_articles
 
-_BATCH = "batch_id"
-_STORED = T.StructType([*ARTICLES.fields, T.StructField(_BATCH, T.LongType())])
+_LEDGER, _BATCH = "ledger", "batch_id"
+_STORED = T.StructType(
+    [
+        *ARTICLES.fields,
+        T.StructField(_LEDGER, T.StringType()),
+        T.StructField(_BATCH, T.LongType()),
+    ]
+)
+# Files of one micro-batch unless the caller says otherwise, so that a first run over a large
+# folder is cut into pieces that can be repeated.
+MAX_FILES_PER_BATCH = 1_000
 
 
 def read_ingested(spark: SparkSession, table: str) -> DataFrame:
@@ -32,6 +43,11 @@ def _stored(spark: SparkSession, table: str) -> DataFrame:
         return spark.createDataFrame([], _STORED)
 
 
+def _ledger_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint from its first run on."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").head()[0]
+
+
 def ingest_new_files(
     spark: SparkSession,
     source: str,
@@ -39,34 +55,36 @@ def ingest_new_files(
     checkpoint: str,
     *,
     pattern: str = FILE_PATTERN,
-    max_files_per_batch: int | None = None,
+    max_files_per_batch: int = MAX_FILES_PER_BATCH,
     rebalance: bool = False,
     clean_source: str = "off",
     archive: str | None = None,
 ) -> None:
     """Append the articles of all files not seen before to ``table``, then stop.
 
-    The stream's checkpoint is the ledger of files. Each micro-batch keeps the first copy of every
-    id by file name and place in the file, drops ids that earlier batches stored, and overwrites a
-    folder of its own, so that a batch repeated after a failure replaces what it left behind.
-    ``clean_source`` is ``off``, ``archive`` (with a folder) or ``delete``, and is applied to files
+    The stream's checkpoint is the ledger of files, and one table may have several. Each
+    micro-batch keeps the first copy of every id by file name and place in the file, drops ids that
+    are stored already, whichever ledger brought them, and overwrites a folder named after its
+    ledger and its number, so that a batch repeated after a failure replaces what it left behind
+    and nothing else. Ledgers of one table must not run at the same time. ``clean_source`` is ``off``, ``archive`` (with a folder) or ``delete``, and is applied to files
     whose batch is committed.
     """
     options = {**record_options(pattern), "cleanSource": clean_source}
     if archive:
         options["sourceArchiveDir"] = archive
-    if max_files_per_batch:
-        options["maxFilesPerTrigger"] = str(max_files_per_batch)
+    options["maxFilesPerTrigger"] = str(max_files_per_batch)
     lines = spark.readStream.options(**options).text(source).select(*record_columns())
 
     def store(batch: DataFrame, batch_id: int) -> None:
         records = positioned(batch)
         articles = parse_records(records.hint("rebalance") if rebalance else records).persist()
-        earlier = _stored(batch.sparkSession, table).where(f"{_BATCH} < {batch_id}")
-        added = insert_or_ignore(earlier, articles, "pmid", SOURCE_ORDER)
-        folder = f"{table}/{_BATCH}={batch_id}"
+        ledger = _ledger_id(batch.sparkSession, checkpoint)
+        own = (F.col(_LEDGER) == ledger) & (F.col(_BATCH) == batch_id)
+        others = _stored(batch.sparkSession, table).where(~own)
+        added = insert_or_ignore(others, articles, "pmid", SOURCE_ORDER)
+        folder = f"{table}/{_LEDGER}={ledger}/{_BATCH}={batch_id}"
         try:
-            added.select(*ARTICLE_COLUMNS).write.mode("overwrite").parquet(folder)
+            write_articles(added, folder, mode="overwrite")
         finally:
             articles.unpersist()
 
