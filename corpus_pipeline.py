@@ -47,24 +47,30 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what documents with smaller ids hold too; n_chars is counted anew."""
     ship(spark)
-    left = suffix_dedup.remove_repeats(docs).select(F.col("text_hash").alias("_row"), "kept")
-    rest = docs.withColumn("_row", _row_name(F.col("text"))).drop("text")
-    joined = rest.join(left.dropDuplicates(["_row"]), "_row")
-    texts = joined.withColumn("text", suffix_dedup.whole_characters(F.col("kept")))
-    return texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = suffix_dedup.remove_repeats(docs).select("text_hash", "kept")
+    # The other columns travel as one, so that their names cannot clash with those used here.
+    rest = docs.select(
+        _row_name(F.col("text")).alias("text_hash"),
+        F.struct(*(c for c in docs.columns if c != "text")).alias("row"),
+    )
+    joined = rest.join(left.dropDuplicates(["text_hash"]), "text_hash")
+    texts = joined.select("row", suffix_dedup.whole_characters(F.col("kept")).alias("text"))
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return texts.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     ship(spark)
-    named = docs.withColumn("_row", _row_name(F.col("text")))
-    mixed = cube_mix.mix(named.select(F.col("_row").alias("doc_id"), "source", "text"))
-    taken = mixed.select(F.col("doc_id").alias("_row"), "copies")
+    named = docs.select(_row_name(F.col("text")).alias("name"), F.struct(*docs.columns).alias("row"))
+    mixed = cube_mix.mix(named.select(F.col("name").alias("doc_id"), "row.source", "row.text"))
+    taken = mixed.select(F.col("doc_id").alias("name"), "copies")
     number = F.row_number()
-    taken = taken.withColumn("_nth", number.over(Window.partitionBy("_row").orderBy("copies")))
-    rows = named.withColumn("_nth", number.over(Window.partitionBy("_row").orderBy(F.lit(0))))
-    joined = rows.join(taken.where("copies > 0"), ["_row", "_nth"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    taken = taken.withColumn("nth", number.over(Window.partitionBy("name").orderBy("copies")))
+    rows = named.withColumn("nth", number.over(Window.partitionBy("name").orderBy(F.lit(0))))
+    joined = rows.join(taken.where("copies > 0"), ["name", "nth"])
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def pack_best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
