@@ -90,3 +90,17 @@ def test_pooling_equals_numpy(spark, masked):
         kept = [v for m, v in members if m or not masked]
         assert np.allclose(found[doc], np.mean(kept, axis=0), atol=1e-7) if kept else found[doc] is None
     assert found[10**6] == (None if masked else [1.0] * 64)
+
+
+def test_another_model_fails_before_any_work(spark, tmp_path):
+    table = articles(spark, SMALL).where("doc_id < 5")
+    build_vectors(table, hashing_model(8), str(tmp_path / "v"))
+    with pytest.raises(ValueError, match="16 dimensions, the table has 8"):
+        build_vectors(articles(spark, SMALL), hashing_model(16), str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 5
+
+
+def test_pooling_scans_its_tokens_once(spark, capsys):
+    masked_mean_pool(token_vectors(spark, SMALL)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange") == 1

@@ -6,7 +6,9 @@ from pyspark.errors import PySparkException
 
 from tests.conftest import SMALL
 from vectrail.functions.packing import unpack_codes, unpack_floats
+from vectrail.operators.profile import check_dim, table_profile, with_norm
 from vectrail.operators.quantize import quantize_table, range_stats, vector_range
+from vectrail.operators.search import search
 from vectrail.plans.catalog.standins import stretched_vectors
 from vectrail.schema import RANGE_STATS, VECTORS
 from vectrail.sources.tables import pack_vectors
@@ -70,3 +72,18 @@ def test_packing_there_and_back(spark):
     small = table.withColumn("doc_vector", table.doc_vector.cast("array<tinyint>"))
     back = pack_vectors(small).select("doc_id", unpack_codes("doc_vector"))
     assert dict(back.collect()) == {1: [0, -1], 2: None, 3: [], 4: [3]}
+
+
+def test_packed_tables_are_taken_everywhere(spark):
+    table = stretched_vectors(spark, SMALL)
+    packed = pack_vectors(table)
+    assert vector_range(packed).head() == vector_range(table).head()
+    for engine in ENGINES:
+        found = codes(quantize_table(packed, vector_range(table), engine=engine))
+        assert found == codes(quantize_table(table, vector_range(table), engine=engine))
+    assert check_dim(packed) == 64
+    assert table_profile(packed).head() == table_profile(table).head()
+    norms = lambda t: sorted(map(tuple, with_norm(t).select("doc_id", "norm").collect()))
+    assert norms(packed) == norms(table)
+    one = lambda t: [tuple(r) for r in search(t, [1.0] * 64, 5, engine="expr").collect()]
+    assert one(packed) == one(table)

@@ -164,3 +164,21 @@ def test_lookups_take_any_number_of_ids(spark):
     assert lookup_ids(table, range(5_000)).count() == table.count()
     hits = spark.range(5_000).selectExpr("id AS doc_id", "1.0D AS similarity")
     assert attach_documents(hits, table).where("pmid IS NOT NULL").count() == table.count()
+
+
+def test_null_ids_are_found_by_both_searches(spark):
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "doc_id bigint, doc_vector array<float>")
+    one = [(r["doc_id"], r["similarity"]) for r in search(table, [1.0, 0.0], 2).collect()]
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id bigint, query_vector array<float>")
+    many = search_batch(table, queries, 2).orderBy("rank").collect()
+    assert one == [(r["doc_id"], r["similarity"]) for r in many] == [(None, 1.0), (1, 1.0)]
+
+
+def test_many_hits_per_query_in_blocks(spark):
+    table = spark.range(1500).selectExpr("id AS doc_id", "array(float(id), 1.0f) AS doc_vector")
+    queries = spark.range(6).selectExpr("id AS query_id", "array(1.0f, float(id)) AS query_vector")
+    whole = search_batch(table, queries, 1000, metric="dot")
+    cut = search_batch(table, queries, 1000, metric="dot", max_query_bytes=2 * 1000 * 72)
+    assert whole.count() == 6000
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))

@@ -7,7 +7,8 @@ takes about half the time. The searches take either form.
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, ByteType, FloatType
 
@@ -65,3 +66,17 @@ def unpack_floats(packed: pa.Array) -> pa.Array:
 def unpack_codes(packed: pa.Array) -> pa.Array:
     """The array of codes of packed int8."""
     return _unpacked(packed, "i1")
+
+
+def array_of(vectors: DataFrame) -> Column:
+    """The vectors of a table as arrays, whether they are stored as such or packed."""
+    if vectors.schema[DOC_VECTOR].dataType != BinaryType():
+        return F.col(DOC_VECTOR)
+    return (unpack_codes if packed_element(vectors) == "int8" else unpack_floats)(F.col(DOC_VECTOR))
+
+
+def with_arrays(vectors: DataFrame) -> DataFrame:
+    """The same table with its vectors as arrays."""
+    if vectors.schema[DOC_VECTOR].dataType != BinaryType():
+        return vectors
+    return vectors.withColumn(DOC_VECTOR, array_of(vectors)).withMetadata(DOC_VECTOR, {})

@@ -95,13 +95,13 @@ def query_scorer(
     clamp: str = "product",
     eps: float = EPSILON,
     element: str = "float32",
-    filtered: bool = False,
 ) -> Callable[..., Column]:
     """A column function that scores a vector column against ``query``.
 
     Call it with the vector column, and with a column of stored norms if there is one. A NULL
-    vector scores NULL. ``element`` is the element type of packed vectors. ``filtered=True`` says that rows will be filtered by score; it keeps Spark
-    from moving the filter below the projection and scoring everything twice.
+    vector scores NULL. ``element`` is the element type of packed vectors. The function is
+    non-deterministic to Spark, which keeps it from moving a later filter by score below the
+    projection and scoring everything twice.
     """
     check_metric(metric, clamp)
     q = np.asarray(query, dtype=np.float64)
@@ -129,9 +129,8 @@ def query_scorer(
     def score_with_norms(vectors: pa.Array, norms: pa.Array) -> pa.Array:
         return score(vectors, norms)
 
-    if filtered:
-        score_vectors = score_vectors.asNondeterministic()
-        score_with_norms = score_with_norms.asNondeterministic()
+    score_vectors = score_vectors.asNondeterministic()
+    score_with_norms = score_with_norms.asNondeterministic()
     return lambda v, norm=None: score_vectors(v) if norm is None else score_with_norms(v, norm)
 
 

@@ -4,6 +4,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,10 @@ from vectrail.scratch import new_path, written
 
 # Query vectors sent to every executor at a time; more queries are searched in several scans.
 MAX_QUERY_BYTES = 64 << 20
+# Stands for a NULL id within a task.
+_NO_ID = np.iinfo(np.int64).min
+# Bytes of a hit in a task: query, id and score, and their sorted copies.
+_HIT_BYTES = 72
 # Scores held at a time by one task, as a matrix of rows by queries.
 _MAX_SCORES = 4 << 20
 # Each query's hits are first merged in this many groups, then across them.
@@ -88,7 +93,8 @@ def _search_block(
         best = _Best(count, k)
         for batch in batches:
             rows = as_matrix(batch.column(1), dim, element)
-            docs = batch.column(0).to_numpy()
+            # A NULL id ranks before all others, as it does in a search for one query.
+            docs = pc.fill_null(batch.column(0), _NO_ID).to_numpy()
             for start in range(0, len(docs), step):
                 scores = similarities(rows[start : start + step], queries)
                 if np.isnan(scores.sum()):
@@ -101,7 +107,7 @@ def _search_block(
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(best.query[real].astype(np.int32)),
-                pa.array(best.doc[real]),
+                pa.array(best.doc[real], mask=best.doc[real] == _NO_ID),
                 pa.array(best.score[real]),
             ],
             _FOUND.names,
@@ -157,7 +163,7 @@ def search_batch(
     """The k most similar rows of ``vectors`` for each row of ``queries``, with their ranks.
 
     ``queries`` has ``(query_id, query_vector)``, ids unique, and is evaluated once. Query vectors go to the executors in
-    blocks of at most ``max_query_bytes``. Each task scores its rows against the block as a matrix
+    blocks of at most ``max_query_bytes``, with the hits that a task holds of them. Each task scores its rows against the block as a matrix
     product and returns only its own k best per query, so no row meets a query in a join. One block
     is searched lazily; several are searched one after another, each in one scan of ``vectors``,
     and their hits written below the shared folder, so that the driver holds one block at a time.
@@ -176,7 +182,8 @@ def search_batch(
     )
     if not count:
         return spark.createDataFrame([], result_type)
-    blocks = -(-count * dim * 8 // max_query_bytes)
+    # A task holds k hits of each query beside its vector.
+    blocks = -(-count * (dim * 8 + k * _HIT_BYTES) // max_query_bytes)
 
     def run(block: DataFrame):
         table = block.toArrow()

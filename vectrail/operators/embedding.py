@@ -2,7 +2,7 @@
 
 import hashlib
 from collections.abc import Callable
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from vectrail.functions import text as X
 from vectrail.schema import DOC_ID, DOC_VECTOR, QUERY_ID, QUERY_VECTOR
+from vectrail.scratch import written
 
 # A model is a function without arguments, called once per Python worker. It loads what it needs
 # and returns the function that maps an array of texts to a float32 matrix, one row per text.
@@ -26,22 +27,24 @@ def hashing_model(dim: int) -> MakeModel:
     """
 
     def make() -> Callable[[np.ndarray], np.ndarray]:
-        @lru_cache(maxsize=1 << 19)
         def place(token: bytes) -> int:
             # Tokens counted with a plus come first, those with a minus dim places later.
             digest = hashlib.md5(token, usedforsecurity=False).digest()
             return int.from_bytes(digest[:4], "big") % dim + (digest[4] >> 4) % 2 * dim
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for row, text in zip(out, texts):
-                # Bytes are split at ASCII whitespace only.
-                tokens = text.lower().encode().split()
-                if tokens:
-                    places = np.fromiter(map(place, tokens), np.int64, len(tokens))
-                    counts = np.bincount(places, minlength=2 * dim)
-                    row[:] = (counts[:dim] - counts[dim:]) / len(tokens)
-            return out
+            # Bytes are split at ASCII whitespace only. Each distinct token of the batch is hashed
+            # once, and one count over all tokens serves all texts.
+            words = [text.lower().encode().split() for text in texts]
+            sizes = np.array([len(w) for w in words], dtype=np.int64)
+            tokens = list(chain.from_iterable(words))
+            known = {token: place(token) for token in set(tokens)}
+            places = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+            rows = np.repeat(np.arange(len(words)), sizes)
+            counts = np.bincount(rows * 2 * dim + places, minlength=len(words) * 2 * dim)
+            counts = counts.reshape(len(words), 2, dim)
+            signed = counts[:, 0] - counts[:, 1]
+            return (signed / np.maximum(sizes, 1)[:, None]).astype(np.float32)
 
         return predict
 
@@ -99,7 +102,13 @@ def embed_queries(
 
 
 def not_embedded(articles: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The articles that have no vector yet, whatever the order either table is read in."""
-    done = vectors.select(DOC_ID)
-    keyed = articles.withColumn(DOC_ID, F.col("pmid").cast("bigint"))
-    return keyed.join(done, DOC_ID, "left_anti").select(*articles.columns)
+    """The articles that have no vector yet, whatever the order either table is read in.
+
+    Ids alone are compared first, so that only the texts of what is missing meet a join; Spark
+    broadcasts the missing ids if they are few.
+    """
+    key = F.col("pmid").cast("bigint")
+    missing = articles.select(key.alias(DOC_ID)).join(vectors.select(DOC_ID), DOC_ID, "left_anti")
+    missing = written(missing.distinct(), "not-embedded")
+    keyed = articles.withColumn(DOC_ID, key)
+    return keyed.join(missing, DOC_ID, "left_semi").select(*articles.columns)

@@ -21,13 +21,15 @@ def masked_mean_pool(
     are summed on the map side first: one partial sum per document and task is shuffled, so the
     tokens of a document are never brought together.
     """
-    counted = tokens if mask is None else tokens.where(F.col(mask) == 1)
-    pooled = counted.groupBy(key).agg(
-        Summarizer.mean(array_to_vector(F.col(vector))).alias("mean_vector")
+    counts = F.lit(True) if mask is None else F.coalesce(F.col(mask) == 1, F.lit(False))
+    # Masked tokens add zeros, so one pass finds all documents, those without any token too.
+    zeros = F.transform(vector, lambda x: F.lit(0.0))
+    content = array_to_vector(F.when(counts, F.col(vector).cast("array<double>")).otherwise(zeros))
+    pooled = tokens.groupBy(key).agg(
+        Summarizer.sum(content).alias("total"), F.count_if(counts).alias("n_counted")
     )
-    pooled = pooled.select(
-        key, vector_to_array(F.col("mean_vector"), dtype=dtype).alias(DOC_VECTOR)
-    )
-    if mask is None:
-        return pooled
-    return tokens.select(key).distinct().join(pooled, key, "left")
+    number = F.nullif(F.col("n_counted"), F.lit(0))
+    total = vector_to_array("total")
+    element = "float" if dtype == "float32" else "double"
+    mean = F.transform(total, lambda x: (x / number).cast(element))
+    return pooled.select(key, F.when(number.isNotNull(), mean).alias(DOC_VECTOR))

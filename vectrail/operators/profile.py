@@ -3,12 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectrail.functions.packing import array_of, with_arrays
 from vectrail.functions.similarity import l2_norm
 from vectrail.schema import DOC_VECTOR
 
 
 def table_profile(vectors: DataFrame) -> DataFrame:
     """One row: number of rows, of rows without a vector, and the range of dimensions."""
+    vectors = with_arrays(vectors)
     dim = F.array_size(DOC_VECTOR)
     return vectors.agg(
         F.count("*").alias("n_rows"),
@@ -38,4 +40,4 @@ def pair_counts(ids: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def with_norm(vectors: DataFrame, name: str = "norm") -> DataFrame:
     """Add the length of each vector, to be stored with it and reused by every search."""
-    return vectors.withColumn(name, l2_norm(F.col(DOC_VECTOR)))
+    return vectors.withColumn(name, l2_norm(array_of(vectors)))

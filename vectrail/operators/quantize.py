@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectrail.functions.packing import with_arrays
 from vectrail.functions.quantization import affine_code
 from vectrail.functions.scorers import vector_quantizer
 from vectrail.schema import DOC_ID, DOC_VECTOR, QUERY_ID, RANGE_STATS
@@ -14,6 +15,7 @@ def vector_range(vectors: DataFrame) -> DataFrame:
 
     ``array_max`` puts NaN above every number, so one pass finds both the range and any NaN.
     """
+    vectors = with_arrays(vectors)
     high = F.max(F.array_max(DOC_VECTOR)).cast("double")
     return vectors.agg(
         F.min(F.array_min(DOC_VECTOR)).cast("double").alias("min_val"), high.alias("max_val")
@@ -55,6 +57,7 @@ def quantize_table(vectors: DataFrame, stats: DataFrame, engine: str = "arrow")
     low, high = stats.select(*RANGE_STATS.names).head()
     if low is None or high is None:
         raise ValueError("the range is empty: there are no vectors")
+    vectors = with_arrays(vectors)
     if engine == "arrow":
         codes = vector_quantizer(low, high)(F.col(DOC_VECTOR))
     elif engine == "expr":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions import similarity
-from vectrail.functions.packing import packed_element
+from vectrail.functions.packing import packed_element, with_arrays
 from vectrail.functions.scorers import check_metric, query_scorer
 from vectrail.operators.selection import smallest_by_key
 from vectrail.schema import DOC_ID, DOC_VECTOR, RANK, SIMILARITY
@@ -35,11 +35,10 @@ def score_table(
         raise ValueError(f"on_nan must be 'error' or 'drop', not {on_nan!r}")
     present = vectors.where(F.col(DOC_VECTOR).isNotNull())
     if engine == "arrow":
-        scorer = query_scorer(
-            query, metric, clamp, eps, packed_element(vectors), filtered=on_nan == "drop"
-        )
+        scorer = query_scorer(query, metric, clamp, eps, packed_element(vectors))
         score = scorer(F.col(DOC_VECTOR), *([F.col(norm_column)] if norm_column else []))
     elif engine == "expr":
+        present = with_arrays(present)
         score = _score_expression(query, metric, clamp, eps, norm_column)
     else:
         raise ValueError(f"engine must be 'arrow' or 'expr', not {engine!r}")

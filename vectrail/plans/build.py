@@ -5,9 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.operators.dedup import first_wins
-from vectrail.operators.embedding import MakeModel, embed_articles, not_embedded
+from vectrail.operators.embedding import MakeModel, embed_articles, embed_texts, not_embedded
 from vectrail.operators.quantize import quantize_table, range_stats
-from vectrail.schema import DOC_ID, SOURCE_ORDER, VECTORS
+from vectrail.schema import DOC_ID, DOC_VECTOR, SOURCE_ORDER, VECTORS
 from vectrail.sources.article_xml import read_articles
 from vectrail.sources.tables import article_texts, write_articles, write_vectors
 
@@ -21,6 +21,17 @@ def build_articles(
     return spark.read.parquet(table)
 
 
+def _check_model(vectors: DataFrame, model: MakeModel) -> None:
+    """Fail before any work if the stored vectors have another dimension than the model's."""
+    stored = vectors.where(F.col(DOC_VECTOR).isNotNull()).select(F.array_size(DOC_VECTOR)).head()
+    if stored is None:
+        return
+    probe = vectors.sparkSession.createDataFrame([("",)], "text string")
+    own = len(embed_texts(probe, model).head()[0])
+    if own != stored[0]:
+        raise ValueError(f"the model gives {own} dimensions, the table has {stored[0]}")
+
+
 def build_vectors(
     articles: DataFrame, model: MakeModel, table: str, slices: int = 1, **options
 ) -> DataFrame:
@@ -41,6 +52,8 @@ def build_vectors(
         def in_slice(doc_id):
             return F.pmod(F.xxhash64(doc_id), F.lit(slices)) == number
 
+        if number == 0:
+            _check_model(done, model)
         part = article_texts(articles).where(in_slice(F.col("pmid").cast("bigint")))
         todo = not_embedded(part, done.where(in_slice(F.col(DOC_ID))))
         write_vectors(embed_articles(todo, model, **options), table, mode="append")
