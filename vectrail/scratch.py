@@ -18,9 +18,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# What this process has named below the shared folder and not removed yet.
+_named: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing exists there yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete all folders that this process wrote for intermediate results; returns their number.
+
+    For the end of a job: results that were returned but not stored yet still need them.
+    """
+    removed = 0
+    while _named:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_named.pop())
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        removed += system.delete(path, True)
+    return removed
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
