@@ -2,9 +2,9 @@
 
 Sets are banded by size into tiles, so that any two that can link lie in one tile together. In a tile
 two sets that link differ in at most k shingles; dealt by hash to k + 1 parts, they must agree in one
-part at least, so equal parts make candidates without losing any. Candidates are grouped, and within
-a group hashed bitmaps bound the overlap from above by counting bits before sorted arrays are
-intersected. Documents with equal sets are compared once.
+part at least, so equal parts make candidates without losing any. Among the sets that share a part,
+counting the bits of their hashed bitmaps bounds the overlap from above and leaves the pairs that can
+link; groups of those are compared by intersecting sorted arrays. Equal sets are compared once.
 """
 
 import hashlib
@@ -19,8 +19,11 @@ from vectrail.llm.components import stars
 from vectrail.llm.hashing import mix, word_hashes
 from vectrail.scratch import written
 
-#: Bytes of text that are shingled at once, and documents of a group that one task compares.
-CHUNK, TILE = 1 << 20, 1024
+#: Bytes of text that are shingled at once, documents of a group that one task compares, and rows or
+#: shingles of small groups that share a task.
+CHUNK, TILE, SHARED_ROWS, SHARED_SHINGLES = 1 << 20, 1024, 5_000, 500_000
+#: Bits of the bitmap that goes with each set.
+BITS = 2048
 _TURN = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -125,13 +128,13 @@ def _bytes_of(column) -> Iterator[bytes | None]:
 
 
 def shingled(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_id, keys)``: equal sets have equal ids, empty ones none."""
+    """``(doc_id, n_shingles, set_id, bitmap, keys)``: equal sets have equal ids, empty ones none."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            counts, ids, values, ends = [], [], [], [np.zeros(1, dtype=np.int64)]
+            counts, ids, maps, values, ends = [], [], [], [], [np.zeros(1, dtype=np.int64)]
             for texts in _chunks(_bytes_of(batch.column(1))):
                 hashes, bounds = shingle_sets(texts, width)
                 keys, key_bounds = part_keys(hashes, bounds, percent)
@@ -139,6 +142,7 @@ def shingled(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     digest = hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest()
                     ids.append(digest if b > a else None)
+                maps += [row.tobytes() for row in _bitmaps(hashes, bounds, BITS)]
                 values.append(keys.view(np.int64))
                 ends.append(key_bounds[1:] + ends[-1][-1])
             lists = pa.ListArray.from_arrays(
@@ -147,12 +151,18 @@ def shingled(docs: DataFrame, width: int, percent: int) -> DataFrame:
             )
             sizes = np.concatenate(counts) if counts else np.array([], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(ids, pa.binary()), lists],
-                names=["doc_id", "n_shingles", "set_id", "keys"],
+                [
+                    batch.column(0),
+                    pa.array(sizes.astype(np.int64)),
+                    pa.array(ids, pa.binary()),
+                    pa.array(maps, pa.binary()),
+                    lists,
+                ],
+                names=["doc_id", "n_shingles", "set_id", "bitmap", "keys"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_id binary, keys array<long>"
+        run, "doc_id long, n_shingles long, set_id binary, bitmap binary, keys array<long>"
     )
 
 
@@ -165,14 +175,18 @@ def _bitmaps(hashes: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(flags, axis=1).view(np.uint64)
 
 
-def linked_roots(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
+def linked_roots(
+    sizes: np.ndarray,
+    maps: np.ndarray,
+    percent: int,
+    hashes: np.ndarray | None = None,
+    bounds: np.ndarray | None = None,
+) -> np.ndarray:
     """For each set the first set that it reaches over links, by a search that compares a set only
-    with those that no link has reached yet."""
-    n, sizes = len(bounds) - 1, np.diff(bounds)
-    bits = 1 << min(max(8, int(sizes.max(initial=1)).bit_length()), 14)
-    maps = _bitmaps(hashes, bounds, bits)
-    root, left = np.full(n, -1), np.arange(n)
-    for first in range(n):
+    with those that no link has reached yet. Without ``hashes`` two sets link if their bitmaps do
+    not rule it out."""
+    root, left = np.full(len(sizes), -1), np.arange(len(sizes))
+    for first in range(len(sizes)):
         if root[first] >= 0:
             continue
         root[first] = first
@@ -189,21 +203,57 @@ def linked_roots(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> np.nda
             only_a = np.bitwise_count(maps[one] & ~maps[near]).sum(axis=1, dtype=np.int64)
             only_b = np.bitwise_count(~maps[one] & maps[near]).sum(axis=1, dtype=np.int64)
             most = np.minimum(a - only_a, b - only_b)
-            near = near[most * 100 >= (a + b - most) * percent]
-            if not len(near):
-                continue
-            mine = hashes[bounds[one] : bounds[one + 1]]
-            theirs = np.concatenate([hashes[bounds[i] : bounds[i + 1]] for i in near])
-            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-            begin = np.concatenate([[0], np.cumsum(sizes[near])[:-1]])
-            common = np.add.reduceat(hit.astype(np.int64), begin)
-            found = near[common * 100 >= (a + sizes[near] - common) * percent]
-            root[found] = first
-            queue.extend(found.tolist())
-            left = left[root[left] < 0]
+            found = near[most * 100 >= (a + b - most) * percent]
+            if hashes is not None and len(found):
+                mine = hashes[bounds[one] : bounds[one + 1]]
+                theirs = np.concatenate([hashes[bounds[i] : bounds[i + 1]] for i in found])
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                begin = np.concatenate([[0], np.cumsum(sizes[found])[:-1]])
+                common = np.add.reduceat(hit.astype(np.int64), begin)
+                found = found[common * 100 >= (a + sizes[found] - common) * percent]
+            if len(found):
+                root[found] = first
+                queue.extend(found.tolist())
+                left = left[root[left] < 0]
     return root
 
 
+def _dealt(rows: DataFrame, tile: int, tasks: int) -> DataFrame:
+    """Rows with a ``group`` and a ``name`` to tasks ``(task, low, high)``: small groups share one, of
+    a group larger than ``tile`` each two blocks meet in one of their own."""
+    large = rows.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > tile)
+    blocks = F.coalesce(2 * F.ceil(F.col("size") / tile), F.lit(1)).cast("int")
+    cut = (
+        rows.join(large, "group", "left")
+        .withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .where("blocks = 1 or block <> with")
+    )
+    alone = F.col("blocks") == 1
+    return cut.select(
+        *rows.columns,
+        F.when(alone, F.pmod("group", F.lit(max(1, tasks)))).otherwise(F.col("group")).alias("task"),
+        F.when(alone, -1).otherwise(F.least("block", "with")).alias("low"),
+        F.when(alone, -1).otherwise(F.greatest("block", "with")).alias("high"),
+    )
+
+
+def _links_in_groups(rows: pd.DataFrame, roots_of) -> pd.DataFrame:
+    """Links of the rows of each group to the first one that they reach, by ``roots_of`` the rows."""
+    rows = rows.sort_values(["group", "name"], ignore_index=True)
+    group, name = rows["group"].to_numpy(), rows["name"].to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    a, b = [], []
+    for first, last in zip(edges[:-1], edges[1:]):
+        if last - first > 1:
+            root = roots_of(rows.iloc[first:last])
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            a.append(name[first:last][moved])
+            b.append(name[first:last][root[moved]])
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": [], "b": []})
+
+
 def similarity_classes(
     docs: DataFrame, width: int = 3, percent: int = 90, tile: int = TILE
 ) -> DataFrame:
@@ -224,59 +274,57 @@ def similarity_classes(
         usable.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")), "first-copies"
     )
     # A set is named by 64 bits of its id here; if two meet in one name, they become candidates.
-    short = F.xxhash64("set_id").alias("name")
-    keyed = usable.select(short, F.explode("keys").alias("part"))
-    least = F.first("name").over(Window.partitionBy("part").orderBy("name"))
-    pairs = keyed.withColumn("least", least).where("name <> least")
-    groups = stars(pairs.select(F.col("name").alias("a"), F.col("least").alias("b")))
+    name = F.xxhash64("set_id").alias("name")
+    keyed = usable.select(name, F.explode("keys").alias("part"))
+    same = Window.partitionBy("part")
+    shared = (
+        keyed.withColumn("least", F.min("name").over(same))
+        .withColumn("most", F.max("name").over(same))
+        .where("least <> most")
+        .withColumn("one", F.sum(F.hash("name").cast("long")).over(same))
+        .withColumn("two", F.sum(F.hash("name", F.lit(2)).cast("long")).over(same))
+    )
+    # Parts that the same sets share make one group.
+    group = F.xxhash64("least", "most", "one", "two").alias("group")
+    sharing = written(shared.select(group, "name").distinct(), "sharing")
+    tasks = sharing.count() // SHARED_ROWS
+    maps = usable.join(firsts, "set_id").where("doc_id = first").select(name, "n_shingles", "bitmap")
+
+    def bounded(rows: pd.DataFrame) -> pd.DataFrame:
+        def roots(some: pd.DataFrame) -> np.ndarray:
+            maps = np.frombuffer(b"".join(some["bitmap"]), dtype=np.uint64).reshape(len(some), -1)
+            return linked_roots(some["n_shingles"].to_numpy(), maps, percent)
+
+        return _links_in_groups(rows, roots)
+
+    mapped = _dealt(sharing, tile, tasks).join(maps.dropDuplicates(["name"]), "name")
+    near = mapped.groupBy("task", "low", "high").applyInPandas(bounded, "a long, b long")
+    groups = stars(near)
     both = groups.select(F.col("node").alias("name"), F.col("component_id").alias("group"))
     heads = both.select(F.col("group").alias("name"), "group").distinct()
     candidates = written(
-        firsts.select(short, F.col("first").alias("doc_id"), "n").join(both.unionByName(heads), "name"),
+        firsts.select(name, F.col("first").alias("doc_id"), "n")
+        .join(both.unionByName(heads), "name")
+        .select(F.col("doc_id").alias("name"), "group", "n"),
         "candidates",
     )
-    large = candidates.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > tile)
     weight = candidates.agg(F.sum("n")).first()[0] or 0
-    chunks = max(1, weight // 500_000)
-    blocks = F.coalesce(2 * F.ceil(F.col("size") / tile), F.lit(1)).cast("int")
-    cut = (
-        candidates.join(large, "group", "left")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    )
-    # Small groups share a task; of a large one, each two blocks meet.
-    dealt = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(
-        "blocks = 1 or block <> with"
-    )
-    placed = dealt.select(
-        "doc_id",
-        "group",
-        F.when(F.col("blocks") == 1, F.pmod("group", F.lit(chunks))).otherwise(F.col("group")).alias("task"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "with")).alias("low"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "with")).alias("high"),
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    met = texts.join(placed, "doc_id").groupBy("task", "low", "high")
+    placed = _dealt(candidates.drop("n"), tile, weight // SHARED_SHINGLES)
+    texts = docs.select(F.col("doc_id").cast("long").alias("name"), F.col("text").cast("binary").alias("text"))
+    # Candidates grow with the table, so they are never broadcast, however few they are.
+    met = texts.join(placed.hint("merge"), "name").groupBy("task", "low", "high")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         # A repeated id may bring another text; each row is compared, and the id stands for all.
-        rows = rows.sort_values(["group", "doc_id"], ignore_index=True)
-        docs, roots = [], []
-        group = rows["group"].to_numpy()
-        edges = np.flatnonzero(np.diff(group, prepend=group[0] - 1, append=group[-1] + 1))
-        for first, last in zip(edges[:-1], edges[1:]):
-            if last - first > 1:
-                parts = [shingle_sets(c, width) for c in _chunks(rows["text"].iloc[first:last])]
-                hashes = np.concatenate([h for h, _ in parts])
-                sizes = np.concatenate([np.diff(b) for _, b in parts])
-                root = linked_roots(hashes, np.concatenate([[0], np.cumsum(sizes)]), percent)
-                ids = rows["doc_id"].to_numpy()[first:last]
-                docs.append(ids)
-                roots.append(ids[root])
-        if not docs:
-            return pd.DataFrame({"a": [], "b": []})
-        out = pd.DataFrame({"a": np.concatenate(docs), "b": np.concatenate(roots)})
-        return out[out["a"] != out["b"]]
+        def roots(some: pd.DataFrame) -> np.ndarray:
+            parts = [shingle_sets(c, width) for c in _chunks(some["text"])]
+            hashes = np.concatenate([h for h, _ in parts])
+            sizes = np.concatenate([np.diff(b) for _, b in parts])
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            bits = 1 << min(max(8, int(sizes.max(initial=1)).bit_length()), 14)
+            return linked_roots(sizes, _bitmaps(hashes, bounds, bits), percent, hashes, bounds)
+
+        return _links_in_groups(rows, roots)
 
     links = stars(met.applyInPandas(compare, "a long, b long"))
     members = usable.select("doc_id", "set_id").join(firsts.select("set_id", "first"), "set_id")
