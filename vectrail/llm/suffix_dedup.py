@@ -29,12 +29,13 @@ from vectrail.scratch import written
 WIDTH, KEY = 50, 25
 LEFT = WIDTH - KEY
 #: Bytes of texts in a unit, of texts that a task reads at once, and per task of the two sorts.
-UNIT, FLUSH, LOOKUP, SORT = 4 << 20, 8 << 20, 40 << 20, 20 << 20
-#: Strings that are compared at once.
-STRINGS = 1 << 20
+UNIT, FLUSH, LOOKUP, SORT = 2 << 20, 3 << 20, 8 << 20, 8 << 20
+#: Bytes whose token starts are found at once, and strings that are compared at once.
+STRETCH = 1 << 18
+STRINGS = 1 << 17
 #: Documents of the sample that gives splitters, and in how many of them a beginning is frequent.
-SAMPLE, FREQUENT = 4000, 6
-_LOW = np.uint64((1 << 24) - 1)
+SAMPLE, FREQUENT, LEADS = 4000, 6, 50_000
+_LOW, _SIGN = np.uint64((1 << 24) - 1), np.uint64(1 << 63)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -51,35 +52,39 @@ def token_starts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.array([], dtype=np.int64)
     if len(data) < WIDTH:
         return none, none, none, none.astype(np.uint64), none
-    sums = prefix_sums(data)
-    _, down = powers(len(data) + 1)
-    n = len(data) - KEY + 1
-    keys = mix((sums[KEY:] - sums[:n]) * down[:n])
     ends = np.cumsum(sizes)
-    open_at = np.zeros(len(data) + 1, dtype=np.int32)
     whole = sizes >= WIDTH
-    np.add.at(open_at, (ends - sizes)[whole], 1)
-    np.add.at(open_at, ends[whole] - WIDTH + 1, -1)
-    valid = np.cumsum(open_at[:-1])[: len(data) - WIDTH + 1] > 0
     out = []
-    # The low bits hold the place, so that the first of equal hashes wins; pieces keep it short.
-    step = 1 << 23
-    for at in range(0, len(data) - WIDTH + 1, step):
-        part = keys[at : at + step + LEFT]
-        low = (part & ~_LOW) | np.arange(len(part), dtype=np.uint64)
+    # In stretches, so that the memory does not depend on the length of the texts.
+    for at in range(0, len(data) - WIDTH + 1, STRETCH):
+        part = data[at : at + STRETCH + WIDTH - 1]
+        n = len(part) - KEY + 1
+        sums = prefix_sums(part)
+        _, down = powers(len(part) + 1)
+        keys = mix((sums[KEY:] - sums[:n]) * down[:n])
+        # The low bits hold the place, so that the first of equal hashes wins.
+        low = (keys & ~_LOW) | np.arange(n, dtype=np.uint64)
         for shift in (1, 2, 4, 8):
             low = np.minimum(low[:-shift], low[shift:])
         low = np.minimum(low[: -(LEFT + 1 - 16)], low[LEFT + 1 - 16 :])
-        strings = np.flatnonzero(valid[at : at + step][: len(low)])
-        places = (low[strings] & _LOW).astype(np.int64) + at
-        out.append((strings + at, places))
-    strings, places = (np.concatenate(x) for x in zip(*out))
+        open_at = np.zeros(len(low) + 1, dtype=np.int32)
+        np.add.at(open_at, np.clip((ends - sizes)[whole] - at, 0, len(low)), 1)
+        np.add.at(open_at, np.clip(ends[whole] - WIDTH + 1 - at, 0, len(low)), -1)
+        strings = np.flatnonzero(np.cumsum(open_at[:-1]) > 0)
+        places = (low[strings] & _LOW).astype(np.int64)
+        first = np.flatnonzero(np.diff(places, prepend=-1))
+        # Least hashes are all small; mixed once more they spread over all ranges.
+        out.append((strings + at, places + at, mix(keys[places[first]])))
+        # A token start that goes on from the last stretch is there already.
+        if len(out) > 1 and len(out[-2][1]) and len(places) and out[-2][1][-1] == places[0] + at:
+            out[-1] = (*out[-1][:2], out[-1][2][1:])
+    strings, places, keys = (np.concatenate(x) for x in zip(*out))
     if not len(strings):
         return none, none, none, none.astype(np.uint64), none
     new = np.flatnonzero(np.diff(places, prepend=-1))
     last = np.append(new[1:], len(strings)) - 1
     place = places[new]
-    return place, strings[new], strings[last], keys[place], np.searchsorted(ends, place, "right")
+    return place, strings[new], strings[last], keys, np.searchsorted(ends, place, "right")
 
 
 def multikey_sort(chars: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,28 +233,23 @@ def _splitters(texts: DataFrame, ranges: int, seed: int) -> tuple[np.ndarray, np
 
     def leads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for rid, text in zip(batch["rid"], batch["text"]):
                 data, sizes = _joined([text])
                 place, _, _, keys, _ = token_starts(data, sizes)
-                # From each text at most some hundred, spread over it.
-                pick = np.arange(0, len(place), max(1, len(place) // 256))
-                lead = [int.from_bytes(text[p : p + 8], "big") - (1 << 63) for p in place[pick]]
-                out.append(pd.DataFrame({"lead": lead, "key": keys[pick].view(np.int64), "rid": rid}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    # At most SAMPLE ids are broadcast.
+                rows = np.frombuffer(text + bytes(8), dtype=np.uint8)[place[:, None] + np.arange(8)]
+                lead = _leading(rows) ^ _SIGN
+                yield pd.DataFrame({"lead": lead.view(np.int64), "key": keys.view(np.int64), "rid": rid})
+
+    # At most SAMPLE ids are broadcast, and numbers of LEADS suffixes come to the driver.
     some = texts.select("rid", "text").join(F.broadcast(chosen), "rid")
-    rows = some.mapInPandas(leads, "lead long, key long, rid long").toPandas()
-    if not len(rows):
-        return np.array([], np.uint64), np.array([], np.uint64), np.array([], np.uint64)
-    lead = np.sort(rows["lead"].to_numpy(np.int64))
-    cuts = lead[(np.arange(1, ranges) * len(lead)) // ranges]
+    rows = written(some.mapInPandas(leads, "lead long, key long, rid long"), "token-starts")
+    often = rows.groupBy("key").agg(F.count_distinct("rid").alias("n")).where(F.col("n") >= FREQUENT)
+    often = often.orderBy(F.desc("n"), "key").limit(LEADS).select("key").toPandas()
+    lead = np.sort(bounded_sample(rows, "key", LEADS, seed).select("lead").toPandas()["lead"].to_numpy(np.int64))
+    cuts = lead[(np.arange(1, ranges) * len(lead)) // ranges] if len(lead) else lead
     values, times = np.unique(cuts, return_counts=True)
-    seen = rows.drop_duplicates(["key", "rid"]).groupby("key").size()
-    frequent = np.sort(seen[seen >= FREQUENT].index.to_numpy(np.int64).view(np.uint64))
-    turned = lambda x: (x.astype(np.int64).view(np.uint64)) ^ np.uint64(1 << 63)
+    turned = lambda x: x.view(np.uint64) ^ _SIGN
+    frequent = np.sort(often["key"].to_numpy(np.int64).view(np.uint64))
     return turned(values), turned(values[times > 1]), frequent
 
 
@@ -272,13 +272,15 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     ).withColumn("rid", F.xxhash64("doc_id", "text"))
+    # pandas would make fractions of whole numbers beside nulls.
+    texts = texts.withColumn("has_id", F.col("doc_id").isNotNull()).fillna(0, ["doc_id"])
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units, lookups, ranges = (max(1, -(-total // size)) for size in (UNIT, LOOKUP, SORT))
     cuts, filled, frequent = _splitters(texts, ranges, seed)
     shared = docs.sparkSession.sparkContext.broadcast((cuts, filled, frequent))
     in_units = texts.withColumn("unit", F.pmod("rid", F.lit(units)).cast("int"))
 
-    same = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH)).select(
+    same = texts.where(F.col("has_id") & (F.octet_length("text") >= WIDTH)).select(
         "doc_id", "rid", F.sha2("text", 256).alias("sha")
     )
     groups = same.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -335,7 +337,7 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
             out.append((unit, _pack(used, back.astype(np.uint32), i.astype(np.uint32))))
         return pd.DataFrame(out, columns=["unit", "told"])
 
-    named = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH))
+    named = texts.where(F.col("has_id") & (F.octet_length("text") >= WIDTH))
     asked = named.select("doc_id", "rid", F.xxhash64("text").alias("name"), "text").mapInPandas(
         look_up, "task long, sent binary"
     )
@@ -347,13 +349,13 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
     def suffixes(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """Suffixes of a unit that other texts may share, by range of their leading bytes."""
         cuts, filled, frequent = shared.value
-        skip = set(told.loc[told["told"].isna(), "rid"].astype("int64")) if len(told) else set()
-        texts = texts[texts["doc_id"].notna() & ~texts["rid"].isin(skip)].drop_duplicates("rid")
+        skip = set(told.loc[told["told"].isna(), "rid"]) if len(told) else set()
+        texts = texts[texts["has_id"] & ~texts["rid"].isin(skip)].drop_duplicates("rid")
         parts = [_unpack(x) for x in told["told"].dropna()] if len(told) else []
         asked_r = np.concatenate([p[0][p[1]] for p in parts]) if parts else np.array([], np.int64)
         asked_n = np.concatenate([p[2] for p in parts]) if parts else np.array([], np.uint32)
         out = []
-        for held in _flushes(zip(texts["doc_id"].astype("int64"), texts["rid"], texts["text"])):
+        for held in _flushes(zip(texts["doc_id"], texts["rid"], texts["text"])):
             ids = np.array([row[0] for row in held], dtype=np.int64)
             rids = np.array([row[1] for row in held], dtype=np.int64)
             data, sizes = _joined([row[2] for row in held])
@@ -416,7 +418,7 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
 
     def cut(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """What is left of each text of a unit."""
-        gone = set(told.loc[told["told"].isna(), "rid"].astype("int64")) if len(told) else set()
+        gone = set(told.loc[told["told"].isna(), "rid"]) if len(told) else set()
         parts = [_unpack(x) for x in told["told"].dropna()] if len(told) else []
         none = np.array([], np.int64)
         rid = np.concatenate([p[0][p[1]] for p in parts]) if parts else none
@@ -425,10 +427,10 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
         order = np.argsort(rid, kind="stable")
         rid, start, length = rid[order], start[order], length[order]
         out = []
-        for doc_id, own, text in zip(texts["doc_id"], texts["rid"], texts["text"]):
+        for doc_id, has_id, own, text in zip(*(texts[c] for c in ("doc_id", "has_id", "rid", "text"))):
             data = np.frombuffer(text, dtype=np.uint8)
             a, b = np.searchsorted(rid, [own, own + 1]) if own < (1 << 63) - 1 else (np.searchsorted(rid, own), len(rid))
-            if own in gone and doc_id == doc_id and doc_id is not None:
+            if has_id and own in gone:
                 removed = np.ones(len(data), dtype=bool)
             else:
                 depth = np.zeros(len(data) + 1, dtype=np.int64)
@@ -437,18 +439,25 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
                 removed = np.cumsum(depth[:-1]) > 0
             spans = int(np.count_nonzero(np.diff(removed.astype(np.int8), prepend=0) == 1))
             kept = data[~removed].tobytes()
-            out.append((doc_id, own, len(data), int(removed.sum()), spans, kept))
-        frame = pd.DataFrame(out, columns=["doc_id", "rid", "n_bytes", "n_removed", "n_spans", "kept"])
-        return frame.astype({"doc_id": "Int64"})
+            out.append((doc_id, has_id, own, len(data), int(removed.sum()), spans, kept))
+        names = ["doc_id", "has_id", "rid", "n_bytes", "n_removed", "n_spans", "kept"]
+        return pd.DataFrame(out, columns=names)
 
-    unit_texts = in_units.select("unit", "doc_id", "rid", "text").groupBy("unit")
+    unit_texts = in_units.select("unit", "doc_id", "has_id", "rid", "text").groupBy("unit")
     met = unit_texts.cogroup(answers.groupBy("unit"))
     sent = met.applyInPandas(suffixes, "task long, rows binary")
     found = sent.groupBy("task").applyInPandas(compare, "unit int, told binary")
     spans = found.select("unit", F.lit(0).cast("long").alias("rid"), "told").unionByName(as_copy)
-    again = in_units.select("unit", "doc_id", "rid", "text").groupBy("unit").cogroup(spans.groupBy("unit"))
-    schema = "doc_id long, rid long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return again.applyInPandas(cut, schema).withColumnRenamed("rid", "text_hash")
+    again = in_units.select("unit", "doc_id", "has_id", "rid", "text").groupBy("unit").cogroup(spans.groupBy("unit"))
+    schema = "doc_id long, has_id boolean, rid long, n_bytes long, n_removed long, n_spans long, kept binary"
+    return again.applyInPandas(cut, schema).select(
+        F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"),
+        F.col("rid").alias("text_hash"),
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        "kept",
+    )
 
 
 def whole_characters(kept: Column) -> Column:
