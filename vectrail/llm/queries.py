@@ -53,7 +53,34 @@ def op3_language_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query()
+#: Shingles of words, pairs that link, and the smallest doc_id that links reach.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), every AS (
+  SELECT doc_id, unnest(CASE WHEN coalesce(len(words), 0) = 0 THEN CAST([] AS VARCHAR[])
+    WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE [array_to_string(words[i : i + 2], ' ') FOR i IN range(1, len(words) - 1)] END) AS shingle
+  FROM w
+), s AS (SELECT DISTINCT doc_id, shingle FROM every
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+  WHERE 100 * c >= 90 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least.component_id
+FROM documents AS d JOIN least ON least.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@query(OP4_SQL)
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies by three-word shingles."""
     return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
