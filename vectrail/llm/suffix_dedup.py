@@ -29,7 +29,7 @@ from vectrail.scratch import written
 WIDTH, KEY = 50, 25
 LEFT = WIDTH - KEY
 #: Bytes of texts in a unit, of texts that a task reads at once, and per task of the two sorts.
-UNIT, FLUSH, LOOKUP, SORT = 2 << 20, 3 << 20, 8 << 20, 8 << 20
+UNIT, FLUSH, LOOKUP, SORT = 2 << 20, 2 << 20, 24 << 20, 8 << 20
 #: Bytes whose token starts are found at once, and strings that are compared at once.
 STRETCH = 1 << 18
 STRINGS = 1 << 17
@@ -39,7 +39,7 @@ _LOW, _SIGN = np.uint64((1 << 24) - 1), np.uint64(1 << 63)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=5).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpack(data: bytes) -> tuple:
@@ -283,7 +283,9 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
     same = texts.where(F.col("has_id") & (F.octet_length("text") >= WIDTH)).select(
         "doc_id", "rid", F.sha2("text", 256).alias("sha")
     )
-    groups = same.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # A table of its own, so that Spark can split the join where one text has very many copies.
+    groups = same.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    groups = written(groups.where("n > 1"), "copied-texts")
     copies = written(
         same.join(groups, "sha").where("doc_id > first").select(F.pmod("rid", F.lit(units)).cast("int").alias("unit"), "rid"),
         "copies",
