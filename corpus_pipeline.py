@@ -15,6 +15,17 @@ from vectrail.scratch import new_path
 
 #: Documents whose language is less sure go.
 SURE_LANGUAGE = 0.5
+#: All stages share the Python workers, so each takes little memory: words that packing keeps there,
+#: and rows of an Arrow batch, which hold whole texts.
+CACHED_WORDS, BATCH_ROWS = 100_000, 1000
+
+
+def _ready(spark: SparkSession) -> None:
+    """Send the package to the executors and keep Arrow batches small."""
+    ship(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def _row_name(text: Column) -> Column:
@@ -24,7 +35,7 @@ def _row_name(text: Column) -> Column:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without letters, or unsure, go."""
-    ship(spark)
+    _ready(spark)
     whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
     found = lang_cnn.predict_languages(whole)
     told = (F.col("lang_pred") != lang_cnn.UNDETERMINED) & (F.col("score") >= SURE_LANGUAGE)
@@ -33,7 +44,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies, and rows without an id."""
-    ship(spark)
+    _ready(spark)
     classes = jaccard_join.similarity_classes(docs)
     copies = classes.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
@@ -46,7 +57,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what documents with smaller ids hold too; n_chars is counted anew."""
-    ship(spark)
+    _ready(spark)
     left = suffix_dedup.remove_repeats(docs).select("text_hash", "kept")
     # The other columns travel as one, so that their names cannot clash with those used here.
     rest = docs.select(
@@ -62,7 +73,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    ship(spark)
+    _ready(spark)
     named = docs.select(_row_name(F.col("text")).alias("name"), F.struct(*docs.columns).alias("row"))
     mixed = cube_mix.mix(named.select(F.col("name").alias("doc_id"), "row.source", "row.text"))
     taken = mixed.select(F.col("doc_id").alias("name"), "copies")
@@ -75,8 +86,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, packed into sequences of 4096 tokens."""
-    ship(spark)
-    return best_fit.pack_documents(docs, tokenizer_path())
+    _ready(spark)
+    return best_fit.pack_documents(docs, tokenizer_path(), cached=CACHED_WORDS)
 
 
 STAGES = [

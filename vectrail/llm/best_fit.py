@@ -41,14 +41,14 @@ def _byte_letters() -> dict[int, str]:
 class _Parts(dict):
     """Ids of parts of words, each of which the tokenizer would merge on its own."""
 
-    def __init__(self, path: str):
-        self.model = _tokenizer(path).model
+    def __init__(self, path: str, cached: int):
+        self.model, self.cached = _tokenizer(path).model, cached
         self.letters = _byte_letters()
 
     def __missing__(self, part: str) -> bytes:
         said = part.encode().decode("latin-1").translate(self.letters)
         packed = np.array([t.id for t in self.model.tokenize(said)], dtype="<u4").tobytes()
-        if len(part) <= CACHED_BYTES and len(self) < CACHED_WORDS:
+        if len(part) <= CACHED_BYTES and len(self) < self.cached:
             self[part] = packed
         return packed
 
@@ -77,9 +77,9 @@ class _Ids:
     before are merged. Words of all other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode
-        self.parts = _Parts(path)
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
+        self.encode, self.cached = _tokenizer(path).encode, cached
+        self.parts = _Parts(path, cached)
         self.words: dict[bytes, bytes] = {}
 
     def word(self, word: bytes) -> bytes:
@@ -87,7 +87,7 @@ class _Ids:
         if packed is None:
             ids = self.encode(word.decode(), add_special_tokens=False).ids
             packed = np.array(ids, dtype="<u4").tobytes()
-            if len(word) <= CACHED_BYTES and len(self.words) < CACHED_WORDS:
+            if len(word) <= CACHED_BYTES and len(self.words) < self.cached:
                 self.words[word] = packed
         return packed
 
@@ -119,8 +119,8 @@ _BLANK = re.compile(rb"[ \t-\r]").search
 
 
 @lru_cache(maxsize=1)
-def _ids(path: str) -> _Ids:
-    return _Ids(path)
+def _ids(path: str, cached: int) -> _Ids:
+    return _Ids(path, cached)
 
 
 def token_pieces(
@@ -129,11 +129,13 @@ def token_pieces(
     capacity: int = 4096,
     end_id: int = 1,
     with_ids: bool = False,
+    cached: int = CACHED_WORDS,
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of each document's ids and the end id.
 
     Null texts are empty and give the end id alone. Only documents longer than ``capacity`` are cut.
-    ``with_ids`` adds the ids themselves, as little-endian unsigned 32-bit numbers. Repeated rows
+    ``with_ids`` adds the ids themselves, as little-endian unsigned 32-bit numbers. ``cached`` words
+    stay in each Python worker for its next tasks: fewer take less memory and more time. Repeated rows
     give pieces of their own; other columns are ignored.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -141,7 +143,7 @@ def token_pieces(
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tokens = _ids(tokenizer_path)
+        tokens = _ids(tokenizer_path, cached)
         for batch in batches:
             # One text at a time: a batch of very long texts would hold many ids at once.
             rows: list[tuple] = []
@@ -266,6 +268,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return placed.select(*pieces.columns, "slot.sequence_id", "slot.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, cached: int = CACHED_WORDS
+) -> DataFrame:
     """Tokenize and pack whole documents; see :func:`token_pieces` and :func:`pack`."""
-    return pack(written(token_pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer_path, capacity, cached=cached)
+    return pack(written(pieces, "pieces"), capacity)

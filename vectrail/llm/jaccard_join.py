@@ -21,7 +21,7 @@ from vectrail.scratch import written
 
 #: Bytes of text that are shingled at once, documents of a group that one task compares, and rows or
 #: shingles of small groups that share a task.
-CHUNK, TILE, SHARED_ROWS, SHARED_SHINGLES = 1 << 20, 1024, 5_000, 500_000
+CHUNK, TILE, SHARED_ROWS, SHARED_SHINGLES = 1 << 18, 1024, 5_000, 500_000
 #: Bits of the bitmap that goes with each set.
 BITS = 2048
 _TURN = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
