@@ -18,6 +18,8 @@ SURE_LANGUAGE = 0.5
 #: All stages share the Python workers, so each takes little memory: words that packing keeps there,
 #: and rows of an Arrow batch, which hold whole texts.
 CACHED_WORDS, BATCH_ROWS = 100_000, 1000
+#: Near copies share this percentage of their shingles of so many words; op4's own query is stricter.
+SHINGLE_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _ready(spark: SparkSession) -> None:
@@ -45,7 +47,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies, and rows without an id."""
     _ready(spark)
-    classes = jaccard_join.similarity_classes(docs)
+    classes = jaccard_join.similarity_classes(docs, width=SHINGLE_WORDS, percent=NEAR_PERCENT)
     copies = classes.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     # Ids that are there more than once are few; of equal rows one stays.
