@@ -4,7 +4,10 @@ A rotation learned on a sample turns vectors into balanced binary codes. Several
 codes, whose pieces of equal length are the keys of as many tables. Vectors that share a key in any
 table are compared with their original values. The pieces are as long as the number of vectors asks
 for, and there are as many tables as links at the threshold itself need to be found with the wanted
-probability, since an angle flips each bit with probability angle / pi.
+probability, since an angle flips each bit with probability angle / pi. Codes are taken about the mean,
+which widens angles the more, the nearer vectors are to it: the widest angle of a link sets the number
+of tables, and vectors so near to the mean that this would ask for too many are compared with each other
+in a table of their own.
 """
 
 import math
@@ -22,6 +25,8 @@ from vectrail.scratch import written
 #: Vectors of one key that one task compares; keys with more are cut into tiles.
 TILE = 1024
 SAMPLE = 20_000
+#: What a copy of a vector in one more table costs, in comparisons of two vectors.
+COPY_COST = 500
 
 
 def learn_rotations(sample: np.ndarray, count: int, steps: int = 30, seed: int = 5) -> tuple:
@@ -40,12 +45,38 @@ def learn_rotations(sample: np.ndarray, count: int, steps: int = 30, seed: int =
     return mean, np.concatenate(rotations, axis=1)
 
 
-def table_shape(vectors: int, threshold: float, found: float) -> tuple[int, int]:
-    """Bits of a key and number of tables: about ten vectors share a key, and a link at the
-    threshold shares one of its keys with probability ``found``."""
+def widest_angle(least: float, outer: float, threshold: float) -> float:
+    """The widest angle about the mean between the ends of a link, one at least ``least`` and the other
+    at least ``outer`` from it, in unit vectors with at least the cosine ``threshold``."""
+    gap = 2 - 2 * threshold
+    if least <= 0:
+        return math.asin(min(1.0, math.sqrt(gap) / outer)) if outer * outer > gap else math.pi
+    near = min(max(math.sqrt(max(outer * outer - gap, 0.0)), least), outer)
+    return math.acos(min(1.0, max(-1.0, (outer * outer + near * near - gap) / (2 * outer * near))))
+
+
+def table_shape(vectors: int, threshold: float, found: float, far: np.ndarray) -> tuple[int, int, float]:
+    """Bits of a key, number of tables and radius of the core: about ten vectors share a key, and a
+    link at the threshold shares one of its keys with probability ``found``, or has both ends in the
+    core, whose vectors are all compared. ``far`` are distances of sampled unit vectors from the mean.
+    Of all radii the one that makes the least work is taken; it is negative without a core."""
     bits = min(30, max(8, math.ceil(math.log2(max(vectors, 2))) - 4))
-    alike = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - found) / math.log(1 - alike))
+    if not len(far):
+        return bits, 1, -1.0
+    least, most = float(far.min()), float(far.max())
+    # A core of all needs no other table.
+    best = (COPY_COST * math.ceil(vectors / TILE) + vectors, 1, math.inf)
+    for outer in np.quantile(far, [0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9]).tolist():
+        core = outer > least
+        alike = (1 - widest_angle(least, outer, threshold) / math.pi) ** bits if outer > 0 else 0.0
+        if alike <= 0 or (core and outer >= most):
+            continue
+        tables = max(1, math.ceil(math.log(1 - found) / math.log1p(-alike))) if alike < 1 else 1
+        share = float((far <= outer).mean()) if core else 0.0
+        copies = tables + share * math.ceil(share * vectors / TILE)
+        work = COPY_COST * copies + vectors * (share * share + tables / 2**bits)
+        best = min(best, (work, tables, outer if core else -1.0))
+    return bits, best[1], best[2]
 
 
 def _local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -106,9 +137,10 @@ def near_duplicates(
         usable.groupBy("packed").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "distinct-vectors"
     )
     n = groups.count()
-    bits, tables = table_shape(n, threshold, found)
     _, seen = sample_matrix(groups, "key", sample, dimension, seed)
     seen /= np.linalg.norm(seen, axis=1, keepdims=True) if len(seen) else 1.0
+    far = np.linalg.norm(seen - seen.mean(axis=0), axis=1) if len(seen) else np.zeros(0)
+    bits, tables, core = table_shape(n, threshold, found, far)
     count = -(-bits * tables // max(dimension, 1))
     # Of fixed size for a dimension and a number of tables.
     learned = spark.sparkContext.broadcast(learn_rotations(seen, count, seed=seed))
@@ -119,15 +151,21 @@ def near_duplicates(
         for batch in batches:
             x = matrix(batch["packed"], dimension)
             x /= np.linalg.norm(x, axis=1, keepdims=True) if len(x) else 1.0
-            code = ((x - mean) @ rotations)[:, : bits * tables] >= 0
+            x -= mean
+            code = (x @ rotations)[:, : bits * tables] >= 0
             keys = code.reshape(len(x), tables, bits) @ places
+            if core >= 0:
+                # The last table has one key, for the core; the others have none there.
+                inside = np.where(np.linalg.norm(x, axis=1) <= core, 0, -1)
+                keys = np.concatenate([keys, inside[:, None]], axis=1)
             yield batch.assign(keys=list(keys.astype(np.int32)))
 
     coded = written(
         groups.mapInPandas(encode, "packed binary, key long, copies long, keys array<int>"), "codes"
     )
     placed = coded.select("key", "copies", "packed", "keys", F.posexplode("keys").alias("table", "at"))
-    sizes = coded.select(F.posexplode("keys").alias("table", "at")).groupBy("table", "at")
+    placed = placed.where("at >= 0")
+    sizes = coded.select(F.posexplode("keys").alias("table", "at")).where("at >= 0").groupBy("table", "at")
     large = sizes.agg(F.count("*").alias("n")).where(F.col("n") > TILE)
     chunks = max(1, n // TILE)
     tiles = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int")
