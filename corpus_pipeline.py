@@ -13,8 +13,6 @@ from vectrail.llm.queries import tokenizer_path
 from vectrail.llm.registry import table
 from vectrail.scratch import new_path
 
-#: Documents whose language is less sure go.
-SURE_LANGUAGE = 0.5
 #: All stages share the Python workers, so each takes little memory: words that packing keeps there,
 #: and rows of an Arrow batch, which hold whole texts.
 CACHED_WORDS, BATCH_ROWS = 100_000, 1000
@@ -36,12 +34,11 @@ def _row_name(text: Column) -> Column:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters, or unsure, go."""
+    """Documents whose language can be told; those without letters go."""
     _ready(spark)
     whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
     found = lang_cnn.predict_languages(whole)
-    told = (F.col("lang_pred") != lang_cnn.UNDETERMINED) & (F.col("score") >= SURE_LANGUAGE)
-    return found.where(told).select("row.*")
+    return found.where(F.col("lang_pred") != lang_cnn.UNDETERMINED).select("row.*")
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
