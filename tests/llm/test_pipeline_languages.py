@@ -16,3 +16,13 @@ def test_exactly_the_texts_without_letters_go(spark):
     gone = {r["doc_id"] for r in docs.collect()} - kept
     assert gone == expected and {5001, 5002} <= gone
     assert sum(r["doc_id"] in gone for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()) == 0
+
+
+def test_unsure_languages_stay(spark, monkeypatch):
+    def unsure(docs):
+        return docs.selectExpr("*", "if(doc_id = 3, 'und', 'en') AS lang_pred", "if(doc_id = 3, 1.0D, 0.3D) AS score")
+
+    monkeypatch.setattr(P.lang_cnn, "predict_languages", unsure)
+    docs = spark.createDataFrame([(i, "some words", "en", "src0", 10, "s", 1) for i in range(5)], SCHEMA)
+    kept = P.keep_known_languages(spark, docs, DATA).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 4]
