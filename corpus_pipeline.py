@@ -11,7 +11,7 @@ from vectrail.deploy import ship
 from vectrail.llm import best_fit, cube_mix, jaccard_join, lang_cnn, suffix_dedup
 from vectrail.llm.queries import tokenizer_path
 from vectrail.llm.registry import table
-from vectrail.scratch import new_path
+from vectrail.scratch import new_path, written
 
 #: All stages share the Python workers, so each takes little memory: words that packing keeps there,
 #: and rows of an Arrow batch, which hold whole texts.
@@ -42,16 +42,27 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near copies, and rows without an id."""
+    """One row of each class of near copies, with its smallest doc_id, and rows without an id."""
     _ready(spark)
-    classes = jaccard_join.similarity_classes(docs, width=SHINGLE_WORDS, percent=NEAR_PERCENT)
-    copies = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    # Ids that are there more than once are few; of equal rows one stays.
-    again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
-    several = left.join(again, "doc_id", "left_semi").select(*docs.columns)
-    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
+    # Rows with equal ids and other texts are documents of their own, so classes are made of row names.
+    named = docs.select(
+        _row_name(F.col("text")).alias("name"), "doc_id", "text", F.struct(*docs.columns).alias("row")
+    )
+    keyed = named.where("doc_id is not null")
+    classes = jaccard_join.similarity_classes(
+        keyed.select(F.col("name").alias("doc_id"), "text"), width=SHINGLE_WORDS, percent=NEAR_PERCENT
+    )
+    linked = classes.select(F.col("doc_id").alias("name"), F.col("component_id").alias("class")).distinct()
+    members = written(linked.join(keyed.select("name", "doc_id").distinct(), "name"), "members")
+    least = members.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "name")).alias("least"))
+    heads = written(least.where("n > 1").select("class", F.col("least.name").alias("head")), "heads")
+    copies = members.join(heads, "class").where("name <> head").select("name")
+    left = named.join(copies, "name", "left_anti")
+    # Rows that are there more than once are few; of equal ones one stays.
+    again = left.where("doc_id is not null").groupBy("name").count().where("count > 1").select("name")
+    once = left.join(again, "name", "left_anti").select("row.*")
+    several = left.join(again, "name", "left_semi").dropDuplicates(["doc_id", "text"]).select("row.*")
+    return once.unionByName(several)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

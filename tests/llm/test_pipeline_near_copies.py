@@ -58,3 +58,17 @@ def test_the_stage_equals_all_pairs(spark):
     some.shuffle(texts)
     rows = list(enumerate(texts))
     assert {r["doc_id"] for r in stage(spark, rows)} == roots(rows)
+
+
+def test_repeated_ids_with_other_texts_are_documents_of_their_own(spark):
+    some = random.Random(13)
+    words = [f"w{n}" for n in range(5000)]
+    a, b, c, d, e = (some.sample(words, 80) for _ in range(5))
+    text = " ".join
+    rows = [(1, text(a)), (5, text(edited(a, [40]))), (5, text(b)), (7, text(c)), (7, text(edited(c, [30])))]
+    rows += [(9, text(d)), (9, text(d)), (9, text(edited(a, [50]))), (9, text(e)), (None, text(a)), (None, text(a))]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in stage(spark, rows))
+    seven = [r for r in kept if r[0] == 7]
+    assert len(seven) == 1 and seven[0] in rows
+    without = [r for r in kept if r[0] != 7]
+    assert without == sorted([(0, text(a)), (0, text(a)), (1, text(a)), (5, text(b)), (9, text(d)), (9, text(e))])
