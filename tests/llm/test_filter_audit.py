@@ -1,0 +1,118 @@
+"""Filter audit against plain counts over all orders."""
+
+import random
+import re
+from itertools import permutations
+
+import numpy as np
+import pytest
+
+from vectrail.llm import filter_audit
+
+DOCS = "doc_id long, text string, lang string, failures int, part string, digest string"
+LABELS = "doc_id long, quality int, toxic int, word long"
+SENTENCE = "alpha beta gamma delta epsilon zeta eta theta iota kappa "
+
+
+def some_documents(seed, n=160):
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", " \t\x0b", "A|b", "é" * 30 + "Z" * 4, SENTENCE * 10, SENTENCE * 9 + "$ done"]
+    texts += [" ".join(draw.sample(words, 120)) for _ in range(6)]
+    texts += [" ".join(draw.choices(words[:60], k=draw.randint(90, 130))).upper() for _ in range(4)]
+    return [
+        (draw.choice([None, *range(n)]) if i % 17 == 0 else i, draw.choice(texts), draw.choice(["en", "de", None, ""]), 1, "x", "y")
+        for i in range(n)
+    ]
+
+
+def failures(rows):
+    first = {}
+    for doc_id, text, *_ in rows:
+        if doc_id is not None:
+            first[text or ""] = min(first.get(text or "", doc_id), doc_id)
+    out = []
+    for doc_id, text, *_ in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        out.append(
+            "".join(
+                letter
+                for letter, failed in zip(
+                    "ABCDE",
+                    (
+                        len(words) < 100,
+                        100 * len(set(words)) < 80 * len(words),
+                        100 * len(re.findall("[A-Z]", text)) > 10 * len(text),
+                        re.search(r"[#$%&*|]", text),
+                        doc_id is not None and first.get(text, doc_id) < doc_id,
+                    ),
+                )
+                if failed
+            )
+        )
+    return out
+
+
+def expected(rows, labels):
+    found = {}
+    failed = failures(rows)
+    good = {d for d, q, *_ in labels if q == 1 and d is not None}
+    bad = {d for d, _, t, *_ in labels if t == 1 and d is not None}
+    for part in {r[2] or "" for r in rows}:
+        docs = [(f, r[0]) for f, r in zip(failed, rows) if (r[2] or "") == part]
+        shares = dict.fromkeys("ABCDE", 0)
+        lines = []
+        for order in permutations("ABCDE"):
+            left = docs
+            for step, letter in enumerate(order, 1):
+                out = [d for d in left if letter in d[0]]
+                left = [d for d in left if letter not in d[0]]
+                shares[letter] += len(out)
+                redundant = sum(letter in f for f, _ in docs) - len(out)
+                alone = sum(f == letter for f, _ in docs)
+                lines.append(("".join(order), step, len(left), len(out), redundant, alone, sum(d in good for _, d in out), sum(d in bad for _, d in out)))
+        for line in lines:
+            found[part, *line[:2]] = (*line[2:], shares[line[0][line[1] - 1]])
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_report_equals_plain_counts(spark, seed):
+    rows = some_documents(seed)
+    labels = [(i, i % 2, int(i % 5 == 0), 7) for i in range(0, 160, 3)]
+    labels += [(3, 1, None, 0), (6, None, 1, 0), (None, 1, 1, 0), (999, 1, 1, 0)]
+    found = filter_audit.audit_filters(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS))
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in found.collect()}
+    assert got == expected(rows, labels)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 7, 100, 1000])
+def test_carry_save_counts_equal_bit_sums(n):
+    words = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint32)
+    plain = [int(((words >> np.uint32(b)) & np.uint32(1)).sum()) for b in range(32)]
+    assert filter_audit.positional_popcount(words).tolist() == plain
+
+
+def test_words_list_the_surviving_subsets(spark):
+    masks = spark.range(32).selectExpr("cast(id as int) as m")
+    for r in masks.select("m", filter_audit.survival_word(masks["m"]).alias("word")).collect():
+        assert r["word"] == sum(1 << s for s in range(32) if not s & r["m"])
+
+
+def test_no_documents_and_one_very_long_one(spark):
+    none, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)
+    assert filter_audit.audit_filters(none, labels).count() == 0
+    long = [(1, "word " * 1_000_000, "en", 0, "", ""), (2, "word " * 1_000_000, "en", 0, "", "")]
+    rows = filter_audit.audit_filters(spark.createDataFrame(long, DOCS), labels).where("filter_order = 'EBACD'").orderBy("step").collect()
+    assert [(r["kept"], r["removed"], r["redundant"]) for r in rows] == [(1, 1, 0), (0, 1, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+
+
+def test_hot_copies_meet_only_as_counts(spark):
+    # Two thirds of all rows hold one text; the counts of a task are one row for each part and label.
+    rows = [(i, SENTENCE if i % 3 else f"own {i}", "en", 0, "", "") for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(8)
+    masks = filter_audit.failure_masks(docs)
+    assert masks.where("failures >= 16").count() == 1999
+    survivors = filter_audit.subset_survivors(docs, spark.createDataFrame([], LABELS))
+    assert survivors.count() == 1 and survivors.first()["counts"][0] == 3000
