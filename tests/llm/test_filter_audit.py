@@ -89,9 +89,11 @@ def test_report_equals_plain_counts(spark, seed):
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 7, 100, 1000])
 def test_carry_save_counts_equal_bit_sums(n):
-    words = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint32)
-    plain = [int(((words >> np.uint32(b)) & np.uint32(1)).sum()) for b in range(32)]
-    assert filter_audit.positional_popcount(words).tolist() == plain
+    draw = np.random.default_rng(n)
+    words = draw.integers(0, 1 << 32, n, dtype=np.uint32)
+    times = draw.choice([1, 1, 1, 2, 5, 10**12], n)
+    plain = [int((((words >> np.uint32(b)) & np.uint32(1)) * times).sum()) for b in range(32)]
+    assert filter_audit.positional_popcount(words, times).tolist() == plain
 
 
 def test_words_list_the_surviving_subsets(spark):
@@ -112,7 +114,8 @@ def test_hot_copies_meet_only_as_counts(spark):
     # Two thirds of all rows hold one text; the counts of a task are one row for each part and label.
     rows = [(i, SENTENCE if i % 3 else f"own {i}", "en", 0, "", "") for i in range(3000)]
     docs = spark.createDataFrame(rows, DOCS).repartition(8)
-    masks = filter_audit.failure_masks(docs)
-    assert masks.where("failures >= 16").count() == 1999
-    survivors = filter_audit.subset_survivors(docs, spark.createDataFrame([], LABELS))
+    labels = spark.createDataFrame([], LABELS)
+    failed = filter_audit.failure_counts(docs, labels)
+    assert failed.count() == 1002 and failed.where("failures >= 16").collect()[0]["docs"] == 1999
+    survivors = filter_audit.subset_survivors(docs, labels)
     assert survivors.count() == 1 and survivors.first()["counts"][0] == 3000

@@ -12,7 +12,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
@@ -46,16 +46,19 @@ def survival_word(failures: Column) -> Column:
     return word
 
 
-def positional_popcount(words: np.ndarray) -> np.ndarray:
-    """How many of the 32-bit words have each bit set.
+def positional_popcount(words: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How many words have each bit set, of 32-bit words that are there so many times.
 
-    Three words of one weight become a sum of that weight and a carry of twice the weight, for all
-    bits at once, until at most two words of each weight are left.
+    A word enters at the weights whose sum is its number. Three words of one weight become a sum of
+    that weight and a carry of twice the weight, for all bits at once, until at most two words of each
+    weight are left.
     """
     counts = np.zeros(SUBSETS, dtype=np.int64)
     bits = np.arange(SUBSETS, dtype=np.uint32)
-    level, weight = words.astype(np.uint32), 1
-    while len(level):
+    words, times = words.astype(np.uint32), times.astype(np.int64)
+    carried, shift = words[:0], 0
+    while len(carried) or (times >> shift).any():
+        level = np.concatenate([carried, words[(times >> shift) & 1 == 1]])
         carries = []
         while len(level) > 2:
             third = len(level) // 3
@@ -63,61 +66,69 @@ def positional_popcount(words: np.ndarray) -> np.ndarray:
             odd = a ^ b
             carries.append((a & b) | (odd & c))
             level = np.concatenate([odd ^ c, level[3 * third :]])
-        counts += weight * ((level[:, None] >> bits) & 1).sum(axis=0).astype(np.int64)
-        level = np.concatenate(carries) if carries else level[:0]
-        weight *= 2
+        counts += ((level[:, None] >> bits) & 1).sum(axis=0).astype(np.int64) << shift
+        carried, shift = np.concatenate([words[:0], *carries]), shift + 1
     return counts
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for (part, quality, toxic), group in rows.groupby(_KEYS, sort=False):
-            counts = positional_popcount(group["word"].to_numpy())
+            counts = positional_popcount(group["word"].to_numpy(), group["docs"].to_numpy())
             yield pd.DataFrame({"part": part, "quality": quality, "toxic": toxic, "counts": [counts]})
 
 
-def failure_masks(documents: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, part, failures)``: the failed filters of each document, all five.
+def failure_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows ``(part, quality, toxic, failures, docs)``: documents of one text with these failed filters,
+    all five; a text has two rows at most for each part and label.
 
     A null text is empty and a null language the part ''. A document fails E if a row with a smaller
     doc_id holds the same text (by its 128-bit digest); a null doc_id is neither smaller nor larger.
-    Only digests are shuffled, and of those only the texts that are there more than once are joined.
+    ``quality`` and ``toxic`` are 1 where any label row of the doc_id says 1. Only digests are
+    shuffled, and copies of a text are added in every task before they meet.
     """
+    said = labels.where("doc_id is not null").groupBy("doc_id").agg(
+        F.max((F.col("quality") == 1).cast("int")).alias("quality"),
+        F.max((F.col("toxic") == 1).cast("int")).alias("toxic"),
+    )
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(
         "doc_id",
         F.coalesce("lang", F.lit("")).alias("part"),
         F.unhex(F.md5(text.cast("binary"))).alias("digest"),
         text_failures(text).alias("failures"),
+    ).join(said, "doc_id", "left")
+    rows = rows.fillna(0, ["quality", "toxic"])
+    # All rows of a text fail the same of the other filters; those of its least doc_id pass E.
+    keys = ["digest", "failures", *_KEYS]
+    by_id = rows.groupBy(*keys, "doc_id").agg(F.count("*").alias("n"))
+    known = F.col("doc_id").isNotNull()
+    groups = by_id.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.min(F.when(known, F.struct("doc_id", "n"))).alias("least"),
+        F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("unnamed"),
     )
-    firsts = (
-        rows.groupBy("digest")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .where(F.col("first") < F.col("last"))
-        .select("digest", "first")
+    first = F.min("least.doc_id").over(Window.partitionBy("digest"))
+    pass_e = F.col("unnamed") + F.when(F.col("least.doc_id") == first, F.col("least.n")).otherwise(0)
+    both = groups.withColumn("pass_e", pass_e).select(
+        *_KEYS,
+        F.explode(
+            F.array(
+                F.struct("failures", F.col("pass_e").alias("docs")),
+                F.struct((F.col("failures") + 16).alias("failures"), (F.col("n") - F.col("pass_e")).alias("docs")),
+            )
+        ).alias("one"),
     )
-    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    marked = rows.join(firsts, "digest", "left")
-    return marked.select("doc_id", "part", (F.col("failures") + F.when(copy, 16).otherwise(0)).alias("failures"))
+    return both.select(*_KEYS, "one.*").where("docs > 0")
 
 
 def subset_survivors(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows ``(part, quality, toxic, counts)``: survivors of each of the 32 subsets of the filters.
 
-    ``quality`` and ``toxic`` are true where any label row of the doc_id says 1; repeated label rows
-    count once. Rows of equal part and label are counted in every task before they meet.
+    Words of equal part and label are counted in every task before they meet.
     """
-    said = labels.where("doc_id is not null").groupBy("doc_id").agg(
-        F.max((F.col("quality") == 1).cast("int")).alias("quality"),
-        F.max((F.col("toxic") == 1).cast("int")).alias("toxic"),
-    )
-    masks = failure_masks(documents).join(said, "doc_id", "left")
-    words = masks.select(
-        "part",
-        F.coalesce("quality", F.lit(0)).alias("quality"),
-        F.coalesce("toxic", F.lit(0)).alias("toxic"),
-        survival_word(F.col("failures")).alias("word"),
-    )
+    failed = failure_counts(documents, labels)
+    words = failed.select(*_KEYS, "docs", survival_word(F.col("failures")).alias("word"))
     counted = words.mapInPandas(_count_words, "part string, quality int, toxic int, counts array<long>")
     sums = [F.sum(F.col("counts")[s]).alias(f"c{s}") for s in range(SUBSETS)]
     return counted.groupBy(*_KEYS).agg(*sums).select(
