@@ -6,8 +6,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from vectrail.operators.batch_search import search_batch
+from vectrail.operators.batch_search import Rounds, search_batch
 from vectrail.operators.lookup import attach_documents, lookup, lookup_ids
+from vectrail.operators.profile import with_norm
 from vectrail.operators.search import search, with_rank
 from vectrail.operators.selection import nth_key, smallest_by_key
 from vectrail.plans.catalog.standins import articles, stretched_vectors, vectors
@@ -182,3 +183,63 @@ def test_many_hits_per_query_in_blocks(spark):
     cut = search_batch(table, queries, 1000, metric="dot", max_query_bytes=2 * 1000 * 72)
     assert whole.count() == 6000
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def clustered(spark, rows, parts):
+    """Vectors in 20 directions, many equal, dealt by id."""
+    return spark.range(0, rows, 1, parts).selectExpr(
+        "id AS doc_id",
+        "transform(sequence(1, 16), i -> float(sin(i * (id % 20)) + 0.1 * cos(i * (id % 997)))) AS doc_vector",
+    )
+
+
+@pytest.mark.parametrize("k", [10, 1000])
+def test_rounds_return_the_same_hits_but_few_of_them(spark, k):
+    parts, rows = 24, 24_000
+    table = clustered(spark, rows, parts)
+    queries = table.where("doc_id < 10").selectExpr("doc_id AS query_id", "doc_vector AS query_vector")
+    all_at_once, in_rounds = [], []
+    whole = search_batch(table, queries, k, returned=all_at_once)
+    cut = search_batch(table, queries, k, rounds=Rounds(first_rows=k, growth=3), returned=in_rounds)
+    assert batch_rows(cut) == batch_rows(whole)
+    assert all_at_once == [10 * min(k * parts, rows)]
+    # The first part returns all its hits, about k; a later one at most 3 k a query.
+    assert len(in_rounds) >= 4 and max(in_rounds) <= 10 * 3 * k
+    assert sum(in_rounds) < all_at_once[0] or k > rows // parts
+
+
+def test_rounds_by_file_read_each_file_once(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    clustered(spark, 6000, 12).write.parquet(path)
+    table = spark.read.parquet(path)
+    queries = table.where("doc_id < 5").selectExpr("doc_id AS query_id", "doc_vector AS query_vector")
+    whole = batch_rows(search_batch(table, queries, 10))
+    rounds = Rounds(first_rows=600, growth=3, by="file")
+    assert batch_rows(search_batch(table, queries, 10, rounds=rounds)) == whole
+    files = 0
+    for low, high in rounds.parts(6000):
+        part = table.where((rounds.share() >= low) & (rounds.share() < high)).select("doc_id")
+        plan = part._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        files += plan.collectLeaves().head().metrics().apply("numFiles").value()
+    assert files == 12
+
+
+def test_rounds_with_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, float(i % 3)]) for i in range(40)] + [(7, [1.0, 0.5])] * 30 + [(i, [0.0, 1.0]) for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id bigint, doc_vector array<float>").repartition(5)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "query_id bigint, query_vector array<float>")
+    key = lambda df: sorted((r["query_id"], r["rank"], str(r["doc_id"]), r["similarity"]) for r in df.collect())
+    whole = key(search_batch(table, queries, 25))
+    assert key(search_batch(table, queries, 25, rounds=Rounds(first_rows=5, growth=2))) == whole
+
+
+def test_stored_norms_serve_many_queries(spark):
+    table = stretched_vectors(spark, SMALL)
+    stored = with_norm(table)
+    queries = queries_of(table, [0, 3])
+    assert batch_rows(search_batch(stored, queries, 5, norm_column="norm")) == batch_rows(search_batch(table, queries, 5))
+    # Norms that are wrong change the scores, so they are what is divided by.
+    doubled = stored.withColumn("norm", F.col("norm") * 2)
+    best = batch_rows(search_batch(doubled, queries, 1, norm_column="norm"))
+    assert all(abs(score - 0.5) < 1e-9 for *_, score in best)

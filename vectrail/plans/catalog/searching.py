@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from vectrail.operators.batch_search import search_batch
+from vectrail.operators.batch_search import Rounds, search_batch
 from vectrail.operators.embedding import hashing_model
 from vectrail.operators.lookup import attach_documents, lookup
+from vectrail.operators.profile import with_norm
 from vectrail.operators.search import search, with_rank
 from vectrail.plans.build import build_vectors
 from vectrail.plans.catalog.registry import query
@@ -116,6 +117,22 @@ def batch_topk(spark, sf_dir):
     return _rounded(search_batch(table, means, _K))
 
 
+@query(
+    f"""WITH {STRETCHED_SQL},
+    q AS (SELECT doc_id AS query_id, doc_vector AS qv FROM v WHERE doc_id % 20 = 0),
+    s AS (SELECT query_id, doc_id, round({PRODUCT_CLAMP}, 12) AS s FROM v, q),
+    r AS (SELECT query_id, doc_id, s,
+                 row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM s)
+    SELECT query_id, rank::INTEGER AS rank, doc_id, round(s, 6) AS similarity
+    FROM r WHERE rank <= {_K}"""
+)
+def batch_topk_bounded(spark, sf_dir):
+    """Every twentieth vector's nearest, in rounds that start from the best of the earlier ones."""
+    table = with_norm(stretched_vectors(spark, sf_dir))
+    queries = table.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "doc_vector AS query_vector")
+    return _rounded(search_batch(table, queries, _K, norm_column="norm", rounds=Rounds(first_rows=64)))
+
+
 @query(
     f"""WITH {_hits(PRODUCT_CLAMP)}, {ARTICLES_SQL}
     SELECT pmid, title, authors, abstract, publication_year FROM a

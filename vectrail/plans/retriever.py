@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 
 from vectrail.functions.text import QUERY_PREFIX
-from vectrail.operators.batch_search import search_batch
+from vectrail.operators.batch_search import Rounds, search_batch
 from vectrail.operators.embedding import MakeModel, embed_queries
 from vectrail.operators.lookup import attach_documents
 from vectrail.operators.search import search, with_rank
@@ -16,7 +16,7 @@ class Retriever:
     """Searches a vector table with text queries and returns the articles found.
 
     ``vectors`` holds float or int8 vectors. ``scoring`` goes to the search: ``metric``, ``clamp``,
-    ``eps`` and ``on_nan``.
+    ``eps``, ``on_nan`` and ``norm_column``. ``rounds`` goes to searches of many queries.
     """
 
     def __init__(
@@ -26,12 +26,14 @@ class Retriever:
         model: MakeModel,
         *,
         query_prefix: str = QUERY_PREFIX,
+        rounds: Rounds | None = None,
         **scoring,
     ):
         self.vectors = vectors
         self.articles = articles
         self.model = model
         self.query_prefix = query_prefix
+        self.rounds = rounds
         self.scoring = scoring
 
     def embed_query(self, text: str) -> list[float]:
@@ -51,7 +53,7 @@ class Retriever:
     def search_many(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """The ``k`` best articles for each ``(query_id, text)``, by query and rank."""
         embedded = embed_queries(queries, self.model, prefix=self.query_prefix)
-        hits = search_batch(self.vectors, embedded, k, **self.scoring)
+        hits = search_batch(self.vectors, embedded, k, rounds=self.rounds, **self.scoring)
         return self._result(hits)
 
     def _result(self, hits: DataFrame) -> DataFrame:
