@@ -134,6 +134,21 @@ def query_scorer(
     return lambda v, norm=None: score_vectors(v) if norm is None else score_with_norms(v, norm)
 
 
+def code_values(values: np.ndarray, low: np.float32, width: np.float32) -> np.ndarray:
+    """The int8 codes of numbers in the range of this width above ``low``."""
+    values = values.astype(np.float32, copy=False)
+    whole = np.full(len(values), -128, dtype=np.int8)
+    for start in range(0, len(values) if width > 0 else 0, _PIECE):
+        piece = values[start : start + _PIECE] - low
+        piece /= width
+        piece *= np.float32(255)
+        piece -= np.float32(128)
+        np.clip(piece, -128, 127, out=piece)
+        # Conversion to integers truncates toward zero.
+        whole[start : start + _PIECE] = piece
+    return whole
+
+
 def vector_quantizer(min_val: float, max_val: float) -> Callable[[Column], Column]:
     """A column function from float vectors to int8 codes, by the same rule as
     :func:`vectrail.functions.quantization.affine_code`."""
@@ -142,16 +157,7 @@ def vector_quantizer(min_val: float, max_val: float) -> Callable[[Column], Colum
     @arrow_udf(ArrayType(ByteType()))
     def codes(vectors: pa.Array) -> pa.Array:
         present = vectors.drop_null()
-        values = present.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-        whole = np.full(len(values), -128, dtype=np.int8)
-        for start in range(0, len(values) if width > 0 else 0, _PIECE):
-            piece = values[start : start + _PIECE] - low
-            piece /= width
-            piece *= np.float32(255)
-            piece -= np.float32(128)
-            np.clip(piece, -128, 127, out=piece)
-            # Conversion to integers truncates toward zero.
-            whole[start : start + _PIECE] = piece
+        whole = code_values(present.flatten().to_numpy(zero_copy_only=False), low, width)
         lengths = pc.list_value_length(vectors)
         ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False), dtype=np.int32)
         offsets = pa.array(np.concatenate([np.zeros(1, np.int32), ends]))

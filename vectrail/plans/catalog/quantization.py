@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vectrail.operators import quantize
 from vectrail.operators.batch_search import search_batch
+from vectrail.operators.refine import refinable_codes, search_refined
 from vectrail.operators.search import search
 from vectrail.plans.build import build_codes
 from vectrail.plans.catalog.registry import query
@@ -122,3 +123,17 @@ def recall_at_k(spark, sf_dir):
     return quantize.recall_at_k(
         search(table, first_vector(table), _K), _code_hits(spark, sf_dir)
     )
+
+
+@query(
+    f"""WITH {STRETCHED_SQL}, {QUERY_SQL},
+    s AS (SELECT doc_id, label, round({PRODUCT_CLAMP}, 12) AS s FROM v, q)
+    SELECT doc_id, label, round(s, 6) AS similarity FROM s ORDER BY s DESC, doc_id LIMIT {_K}"""
+)
+def topk_refined(spark, sf_dir):
+    """The exact nearest by their codes; only rows that these cannot rule out are read as floats."""
+    table = stretched_vectors(spark, sf_dir)
+    stats = quantize.range_stats(table, new_path(spark, "range"))
+    refinable_codes(table, stats).write.parquet(path := new_path(spark, "codes"))
+    found = search_refined(spark.read.parquet(path), table, first_vector(table), stats, _K)
+    return found.withColumn("similarity", F.round("similarity", 6))

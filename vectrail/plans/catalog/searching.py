@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from vectrail.operators.batch_search import Rounds, search_batch
+from vectrail.operators.blocks import search_blocks, write_blocks
 from vectrail.operators.embedding import hashing_model
 from vectrail.operators.lookup import attach_documents, lookup
 from vectrail.operators.profile import with_norm
-from vectrail.operators.search import search, with_rank
+from vectrail.operators.search import score_table, search, with_rank
 from vectrail.plans.build import build_vectors
 from vectrail.plans.catalog.registry import query
 from vectrail.plans.catalog.scoring import DOC_CLAMP, PRODUCT_CLAMP
@@ -20,7 +21,7 @@ from vectrail.plans.catalog.standins import (
 )
 from vectrail.plans.retriever import Retriever
 from vectrail.scratch import new_path
-from vectrail.sources.tables import read_vectors, write_vectors
+from vectrail.sources.tables import read_vectors, write_bucketed, write_vectors
 
 _K = 10
 # The dimension of the built-in model in these queries.
@@ -54,6 +55,15 @@ def topk_packed(spark, sf_dir):
     return _rounded(search(read_vectors(spark, path), first_vector(table), _K))
 
 
+@query(f"WITH {_hits(PRODUCT_CLAMP)} SELECT doc_id, label, round(s, 6) AS similarity FROM h")
+def topk_block_skip(spark, sf_dir):
+    """The same search over a table stored in blocks of similar vectors, most of them never read."""
+    table = stretched_vectors(spark, sf_dir)
+    stored, sidecar = new_path(spark, "blocks"), new_path(spark, "sidecar")
+    write_blocks(table, stored, sidecar, rows_per_block=16, centres=32)
+    return _rounded(search_blocks(spark, stored, sidecar, first_vector(table), _K))
+
+
 @query(f"WITH {_hits(DOC_CLAMP)} SELECT doc_id, label, round(s, 6) AS similarity FROM h")
 def topk_doc_clamp(spark, sf_dir):
     table = stretched_vectors(spark, sf_dir)
@@ -157,6 +167,24 @@ def search_with_documents(spark, sf_dir):
     return _rounded(attach_documents(hits, articles(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {STRETCHED_SQL}, {QUERY_SQL}, {ARTICLES_SQL}
+    SELECT v.doc_id, label, round(round({PRODUCT_CLAMP}, 12), 6) AS similarity, pmid, title, publication_year
+    FROM v CROSS JOIN q LEFT JOIN a ON a.doc_id = v.doc_id"""
+)
+def colocated_documents(spark, sf_dir):
+    """Every vector's score beside its article, from tables in equal buckets that need no exchange."""
+    table, buckets = stretched_vectors(spark, sf_dir), 8
+
+    def stored(df, name):
+        path = new_path(spark, name)
+        return write_bucketed(df, path.rsplit("/", 1)[1].replace("-", "_"), path, buckets)
+
+    texts = stored(articles(spark, sf_dir), "articles").select("doc_id", "pmid", "title", "publication_year")
+    joined = stored(table, "vectors").join(texts, "doc_id", "left")
+    return _rounded(score_table(joined, first_vector(table)))
+
+
 def hashed_sql(name: str, source: str, key: str) -> str:
     """Common table expressions for the non-zero elements of hashed texts, in ``name``."""
     return rf"""{name}_tokens AS (

@@ -9,6 +9,8 @@ from vectrail.schema import ARTICLE_COLUMNS, DOC_ID, DOC_VECTOR
 
 # Rows of one vector file.
 RECORDS_PER_FILE = 1_000_000
+# Rows of one page of an article file.
+ROWS_PER_PAGE = 1000
 
 
 def read_vectors(
@@ -58,17 +60,38 @@ def write_articles(articles: DataFrame, path: str, mode: str = "error") -> None:
     """Write the article table where its rows are, in id order within each file.
 
     After first-wins an id lies in one file, so the texts are not shuffled again. Each row group
-    has a bloom filter of its ids, by which a lookup of single ids skips the others.
+    has a bloom filter of its ids, by which a lookup of single ids skips the others, and pages of few
+    rows, of which it reads those alone that may hold an id.
     """
     (
         articles.select(*ARTICLE_COLUMNS)
         .sortWithinPartitions(DOC_ID, "pmid")
         .write.mode(mode)
         .option(f"parquet.bloom.filter.enabled#{DOC_ID}", "true")
+        .option("parquet.page.row.count.limit", ROWS_PER_PAGE)
         .parquet(path)
     )
 
 
+def write_bucketed(table: DataFrame, name: str, path: str, buckets: int, key: str = DOC_ID) -> DataFrame:
+    """Store a table in buckets of its ids under a name of the session's catalog, and read it.
+
+    Tables of equal ``buckets`` join by id without moving a row, and a filter on single ids reads
+    their buckets alone. The rows of an id share a bucket, one file each; NULL ids share one too.
+    """
+    (
+        table.repartition(buckets, key)
+        .write.format("parquet")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option("parquet.page.row.count.limit", ROWS_PER_PAGE)
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    return table.sparkSession.table(name)
+
+
 def article_texts(articles: DataFrame) -> DataFrame:
     """What embedding needs of the article table: ids, titles and abstracts."""
     return articles.select("pmid", "title", "abstract")
