@@ -1,0 +1,88 @@
+"""Vector functions and top k in SQL."""
+
+import math
+
+import pytest
+from pyspark.errors import PySparkException
+
+from tests.conftest import SMALL
+from vectrail.functions.sql import register_sql
+from vectrail.operators.quantize import quantize_table
+from vectrail.operators.search import search
+from vectrail.plans.catalog.standins import first_vector, stretched_vectors
+
+
+@pytest.fixture(autouse=True)
+def functions(spark):
+    register_sql(spark)
+    stretched_vectors(spark, SMALL).repartition(3).createOrReplaceTempView("sql_v")
+    yield
+    spark.catalog.dropTempView("sql_v")
+
+
+def literal(q):
+    return "array(" + ", ".join(f"{x!r}D" for x in q) + ")"
+
+
+def test_scalar_functions(spark):
+    row = spark.sql(
+        "SELECT vector_dot(array(1f, 2f), array(3d, 4d)) AS d, vector_norm(array(3, 4)) AS n, "
+        "vector_normalize(array(3f, 4f)) AS u, vector_normalize(array(0f, 0f)) AS z, "
+        "vector_cosine(array(2f, 0f), array(1d, 1d)) AS c, vector_cosine(array(0f, 0f), array(1d, 1d)) AS c0, "
+        "vector_dot(NULL, array(1d)) AS none, vector_code(array(-1d, 0d, 1d, 5d), -1, 1) AS code"
+    ).head()
+    assert (row.d, row.n, row.u, row.z, row.c0, row.none) == (11.0, 5.0, [0.6, 0.8], None, 0.0, None)
+    assert math.isclose(row.c, math.sqrt(0.5)) and row.code == [-128, 0, 127, 127]
+
+
+def test_scalars_stay_inside_the_plan(spark):
+    plan = spark.sql("SELECT vector_cosine(doc_vector, doc_vector) FROM sql_v")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_codes_equal_those_of_the_batch_job(spark):
+    stats = spark.createDataFrame([(-0.4, 0.37)], "min_val double, max_val double")
+    codes = quantize_table(spark.table("sql_v"), stats).select("doc_id", "doc_vector")
+    ours = spark.sql("SELECT doc_id, vector_code(doc_vector, -0.4D, 0.37D) FROM sql_v")
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, codes.collect()))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_table_function_equals_search(spark, metric):
+    q = first_vector(spark.table("sql_v"))
+    found = spark.sql(
+        f"SELECT * FROM vector_topk(TABLE(sql_v), {literal(q)}, 10, '{metric}') ORDER BY similarity DESC, doc_id LIMIT 10"
+    )
+    expected = search(spark.table("sql_v"), q, 10, metric=metric)
+    assert found.columns == expected.columns == ["doc_id", "label", "similarity"]
+    assert list(map(tuple, found.collect())) == list(map(tuple, expected.collect()))
+    local = spark.sql(f"SELECT * FROM vector_topk(TABLE(sql_v), {literal(q)}, 10, '{metric}')")
+    assert 10 <= local.count() <= 30
+
+
+def test_groups_and_odd_rows(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (None, "a", [1.0, 0.0]), (4, "b", None), (5, "b", [0.0, 0.0]), (6, None, [-1.0, 0.5])]
+    spark.createDataFrame(rows, "doc_id bigint, kind string, doc_vector array<float>").createOrReplaceTempView("sql_odd")
+    found = spark.sql("SELECT * FROM vector_topk(TABLE(sql_odd) PARTITION BY (kind), array(1d, 0d), 2)")
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(
+        map(str, [(None, "a", 1.0), (1, "a", 1.0), (5, "b", 0.0), (6, None, -0.894427191)])
+    )
+
+
+@pytest.mark.parametrize(
+    ("call", "message"),
+    [
+        ("TABLE(SELECT 1 AS x), array(1d), 3", "needs TABLE"),
+        ("TABLE(sql_v), array(1d), 0", "positive"),
+        ("TABLE(sql_v), 5, 3", "arrays"),
+        ("TABLE(sql_v), array(1d), 3, 'cube'", "metric"),
+    ],
+)
+def test_wrong_calls_fail_before_any_work(spark, call, message):
+    with pytest.raises(PySparkException, match=message):
+        spark.sql(f"SELECT * FROM vector_topk({call})")
+
+
+def test_wrong_vectors_fail(spark):
+    with pytest.raises(PySparkException, match="every vector must have 1 values"):
+        spark.sql("SELECT * FROM vector_topk(TABLE(sql_v), array(1d), 3)").collect()

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vectrail.functions.sql import register_sql
 from vectrail.operators.batch_search import Rounds, search_batch
 from vectrail.operators.blocks import search_blocks, write_blocks
 from vectrail.operators.embedding import hashing_model
@@ -127,6 +128,28 @@ def batch_topk(spark, sf_dir):
     return _rounded(search_batch(table, means, _K))
 
 
+@query(
+    f"""WITH {STRETCHED_SQL}, {QUERY_SQL},
+    s AS (SELECT doc_id, label, round({PRODUCT_CLAMP}, 12) AS s FROM v, q),
+    h AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, doc_id) AS rank FROM s)
+    SELECT h.doc_id, h.label, round(s, 6) AS similarity, round(sqrt(list_dot_product(doc_vector, doc_vector)), 6) AS norm
+    FROM h JOIN v USING (doc_id) WHERE rank <= 3"""
+)
+def sql_vector_topk(spark, sf_dir):
+    """The three vectors of each label nearest to vector 0 and their lengths, in SQL alone."""
+    register_sql(spark)
+    return spark.sql(
+        f"""WITH v AS (
+            SELECT vec_id AS doc_id, label, transform(embedding, x -> float(x * (1 + label))) AS doc_vector
+            FROM parquet.`{sf_dir}/embeddings.parquet`),
+        h AS (
+            SELECT * FROM vector_topk(
+                TABLE(SELECT * FROM v) PARTITION BY (label), (SELECT doc_vector FROM v WHERE doc_id = 0), 3))
+        SELECT h.doc_id, h.label, round(similarity, 6) AS similarity, round(vector_norm(doc_vector), 6) AS norm
+        FROM h JOIN v USING (doc_id)"""
+    )
+
+
 @query(
     f"""WITH {STRETCHED_SQL},
     q AS (SELECT doc_id AS query_id, doc_vector AS qv FROM v WHERE doc_id % 20 = 0),

@@ -6,6 +6,7 @@ from vectrail.operators.profile import check_dim, pair_counts
 from vectrail.plans.catalog.registry import query
 from vectrail.plans.catalog.standins import VECTORS_SQL, long_form, vectors
 from vectrail.scratch import new_path
+from vectrail.sources.raw_pair_source import NAME, register
 from vectrail.sources.raw_pairs import pair_files, read_raw_pair, write_raw_pair
 from vectrail.sources.tables import read_vectors, write_vectors
 
@@ -57,3 +58,13 @@ def pair_count_scan(spark, sf_dir):
     """Counts of two tables by reading them."""
     table = vectors(spark, sf_dir)
     return pair_counts(table.select("doc_id"), table.select("doc_vector"))
+
+
+@query(_LONG)
+def raw_pairs_source(spark, sf_dir):
+    """The same import through the data source: written, committed and read by its format."""
+    register(spark)
+    table, path = vectors(spark, sf_dir), new_path(spark, "raw-pairs")
+    writer = table.select("doc_id", "doc_vector").write.format(NAME).option("path", path)
+    writer.option("dim", check_dim(table)).mode("append").save()
+    return long_form(spark.read.format(NAME).option("path", path).load())
