@@ -29,13 +29,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove_scratch(spark: SparkSession) -> int:
+def scratch_mark() -> int:
+    """A point in the order of folders, for :func:`remove_scratch`."""
+    return len(_named)
+
+
+def remove_scratch(spark: SparkSession, since: int = 0) -> int:
     """Delete all folders that this process wrote for intermediate results; returns their number.
 
-    For the end of a job: results that were returned but not stored yet still need them.
+    For the end of a job, or of a part of it that began at the mark ``since``: results that were
+    returned but not stored yet still need them.
     """
     removed = 0
-    while _named:
+    while len(_named) > since:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_named.pop())
         system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         removed += system.delete(path, True)
