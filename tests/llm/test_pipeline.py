@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as P
 from tests.llm.test_best_fit import PATH, brute
-from tests.llm.test_jaccard_join import classes
+from tests.llm.test_pipeline_near_copies import roots
 from tests.llm.test_suffix_dedup import brute as cut
 from vectrail.llm import best_fit
 
@@ -42,7 +42,8 @@ def test_only_texts_without_a_language_go(stages):
 
 def test_one_document_of_each_class_stays(stages):
     rows = [r for r in stages[1] if r["doc_id"] is not None]
-    firsts = {root for _, _, root in classes([(r["doc_id"], r["text"]) for r in rows])}
+    # Five words at 80 percent; no two texts of these rows share an id.
+    firsts = roots(sorted({(r["doc_id"], r["text"]) for r in rows}))
     assert sorted(r["doc_id"] for r in stages[2] if r["doc_id"] is not None) == sorted(firsts)
     assert sum(r["doc_id"] is None for r in stages[2]) == 1
 
@@ -74,3 +75,26 @@ def test_run_is_the_registered_pipeline(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is P.run and PATH and best_fit
+
+
+def through(spark, rows, columns):
+    docs = spark.createDataFrame(rows, columns)
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == [c.split()[0] for c in columns.split(", ")]
+    return P.STAGES[-1][1](spark, docs, DATA)
+
+
+def test_no_documents(spark):
+    assert through(spark, [], "doc_id long, text string, lang string, source string, n_chars long").count() == 0
+
+
+def test_no_labels_no_lengths_and_one_long_text(spark):
+    # No language is known, so only the text without letters goes; n_chars is not among the columns.
+    long = " ".join(f"word{i * i}" for i in range(150_000))
+    rows = [(1, long, None, "a"), (2, "Some words of a short text.", None, "a"), (3, "12 34", None, "b"), (4, None, None, "b")]
+    rows += [(5, long + " and one more", None, "b")]
+    packed = through(spark, rows, "doc_id long, text string, lang string, source string")
+    # The near copy of the long text is gone too.
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= {1, 2}
+    assert packed.where("doc_id = 1").count() > 100

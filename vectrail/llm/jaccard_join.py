@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.llm.components import stars
@@ -22,8 +22,14 @@ from vectrail.scratch import written
 #: Bytes of text that are shingled at once, documents of a group that one task compares, and rows or
 #: shingles of small groups that share a task.
 CHUNK, TILE, SHARED_ROWS, SHARED_SHINGLES = 1 << 18, 1024, 5_000, 500_000
+#: Parts of a tile beyond those needed, as a share of these: each set leaves out as many thin ones.
+SPARE = 0.25
 #: Bits of the bitmap that goes with each set.
 BITS = 2048
+#: A part that one of so many sets of a sample has is dealt to so many shares first.
+HOT_SAMPLE, HOT_SHARE, HOT_SHARES = 4096, 256, 256
+#: Bits of the filter of candidates for each of them, and at most: 32 MB.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 _TURN = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -63,25 +69,33 @@ def shingle_sets(texts: list[bytes], width: int = 3) -> tuple[np.ndarray, np.nda
 
 
 def size_bands(most: int, percent: int) -> list[tuple[int, int]]:
-    """Tiles ``(least size, parts)`` for sets of up to ``most`` shingles: a tile takes the sets whose
-    smaller partner has at least that size and less than the next tile's, and as many parts as two
-    of them can differ in, and one more."""
+    """Tiles ``(least size, parts, needed)`` for sets of up to ``most`` shingles: a tile takes the sets
+    whose smaller partner has at least that size and less than the next tile's. Of its parts as many
+    are needed as two of them can differ in, and one more."""
     tiles, low = [], 1
     while low <= most:
         high = max(low + 1, low * 3 // 2)
         small = high - 1
         both = small + 100 * small // percent
-        tiles.append((low, both * (100 - percent) // (100 + percent) + 1))
+        needed = both * (100 - percent) // (100 + percent) + 1
+        tiles.append((low, needed + int(needed * SPARE), needed))
         low = high
     return tiles
 
 
 def part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all parts of each set, one set behind another, and their bounds."""
+    """Keys of the fullest parts of each set, one set behind another, and their bounds.
+
+    Two sets that link agree in all parts but those that they differ in, so in one more than there
+    are spare ones. Each set leaves out its spare number of parts, those of fewest shingles, and at
+    equal numbers of least key. Of the parts that both agree in the last in this order has all the
+    others before it in either set, so neither leaves it out, and no link is lost.
+    """
     sizes = np.diff(bounds)
     tiles = size_bands(int(sizes.max(initial=0)), percent)
-    lows = np.array([low for low, _ in tiles] + [1 << 62])
-    counts = np.array([parts for _, parts in tiles] + [0])
+    lows = np.array([low for low, *_ in tiles] + [1 << 62])
+    counts = np.array([parts for _, parts, _ in tiles] + [0])
+    needed = np.array([need for *_, need in tiles] + [0])
     own = np.searchsorted(lows, sizes, "right") - 1
     keys, owners = [], []
     # As the smaller one of a pair, and as the larger one of a pair in the tile below.
@@ -101,8 +115,12 @@ def part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.
         which = np.repeat(np.arange(len(docs)), parts)
         part = np.arange(at[-1]) - at[which]
         place = tile[docs][which].astype(np.uint64) * np.uint64(1 << 32) + part.astype(np.uint64)
-        keys.append(mix(sums ^ mix(place)))
-        owners.append(docs[which])
+        own_keys = mix(sums ^ mix(place))
+        order = np.lexsort((own_keys, np.bincount(slot, minlength=at[-1]), which))
+        # In this order the parts of a set follow each other, those to leave out first.
+        told = np.sort(order[part >= (parts - needed[tile[docs]])[which]])
+        keys.append(own_keys[told])
+        owners.append(docs[which[told]])
     if not keys:
         return np.array([], dtype=np.uint64), np.zeros(len(sizes) + 1, dtype=np.int64)
     keys, owners = np.concatenate(keys), np.concatenate(owners)
@@ -127,43 +145,129 @@ def _bytes_of(column) -> Iterator[bytes | None]:
         yield value.as_buffer().to_pybytes() if value.is_valid else None
 
 
-def shingled(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_id, bitmap, keys)``: equal sets have equal ids, empty ones none."""
+def _by_chunks(docs: DataFrame, schema: str, width: int, columns) -> DataFrame:
+    """Rows of ``docs`` with what ``columns`` makes of the shingles of a chunk of texts."""
+
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            counts, ids, maps, values, ends = [], [], [], [], [np.zeros(1, dtype=np.int64)]
-            for texts in _chunks(_bytes_of(batch.column(1))):
-                hashes, bounds = shingle_sets(texts, width)
-                keys, key_bounds = part_keys(hashes, bounds, percent)
-                counts.append(np.diff(bounds))
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    digest = hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest()
-                    ids.append(digest if b > a else None)
-                maps += [row.tobytes() for row in _bitmaps(hashes, bounds, BITS)]
-                values.append(keys.view(np.int64))
-                ends.append(key_bounds[1:] + ends[-1][-1])
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(ends).astype(np.int32)),
-                pa.array(np.concatenate(values) if values else np.array([], dtype=np.int64)),
-            )
-            sizes = np.concatenate(counts) if counts else np.array([], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes.astype(np.int64)),
-                    pa.array(ids, pa.binary()),
-                    pa.array(maps, pa.binary()),
-                    lists,
-                ],
-                names=["doc_id", "n_shingles", "set_id", "bitmap", "keys"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_id binary, bitmap binary, keys array<long>"
+            made = [columns(*shingle_sets(texts, width)) for texts in _chunks(_bytes_of(batch.column(1)))]
+            if made:
+                arrays = [pa.concat_arrays(parts) for parts in zip(*made)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def _set_ids(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A 128-bit hash of each set; none of an empty one."""
+    return [
+        hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None
+        for a, b in zip(bounds[:-1], bounds[1:])
+    ]
+
+
+def shingled(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, n_shingles, set_id, bitmap)``: equal sets have equal ids, empty ones none."""
+
+    def columns(hashes: np.ndarray, bounds: np.ndarray) -> list:
+        import pyarrow as pa
+
+        maps = [row.tobytes() for row in _bitmaps(hashes, bounds, BITS)]
+        return [pa.array(np.diff(bounds).astype(np.int64)), pa.array(_set_ids(hashes, bounds), pa.binary()), pa.array(maps, pa.binary())]
+
+    return _by_chunks(docs, "doc_id long, n_shingles long, set_id binary, bitmap binary", width, columns)
+
+
+def parts_of_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(name, part)`` for each part that a set needs; sets and documents without an id have none.
+
+    Made anew for each use: the keys are as large as the texts, and are worth no disk.
+    """
+
+    def columns(hashes: np.ndarray, bounds: np.ndarray) -> list:
+        import pyarrow as pa
+
+        keys, ends = part_keys(hashes, bounds, percent)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
+        return [pa.array(np.diff(bounds).astype(np.int64)), pa.array(_set_ids(hashes, bounds), pa.binary()), lists]
+
+    named = docs.where(F.col("doc_id").cast("long").isNotNull())
+    made = _by_chunks(named, "doc_id long, n_shingles long, set_id binary, keys array<long>", width, columns)
+    return made.where("set_id is not null").select(_name(), F.explode("keys").alias("part"))
+
+
+def _name() -> Column:
+    """A set is named by 64 bits of its id; if two meet in one name, they become candidates."""
+    return F.xxhash64("set_id").alias("name")
+
+
+def _hot_parts(docs: DataFrame, rows: int, width: int, percent: int) -> DataFrame:
+    """Parts that one of HOT_SHARE sets has or more, by a sample of about HOT_SAMPLE documents.
+
+    Their number is bounded by the sample: its keys over HOT_SAMPLE / HOT_SHARE.
+    """
+    share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(1, rows // HOT_SAMPLE)))
+    some = parts_of_sets(docs.where(share == 0), width, percent).distinct()
+    return some.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SAMPLE // HOT_SHARE).select("part")
+
+
+def _groups(docs: DataFrame, rows: int, width: int, percent: int) -> DataFrame:
+    """``(group, name)`` of the sets that share a part; parts that the same sets share make one group."""
+    hot = _hot_parts(docs, rows, width, percent).withColumn("hot", F.lit(True))
+    keyed = parts_of_sets(docs, width, percent).join(F.broadcast(written(hot, "hot-parts")), "part", "left")
+    # The sets of a hot part are told apart in many shares first.
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("name", F.lit(7)), F.lit(HOT_SHARES))).otherwise(0)
+    same = Window.partitionBy("part", "share")
+    figures = {
+        "least": F.min("name"),
+        "most": F.max("name"),
+        "one": F.sum(F.hash("name").cast("long")),
+        "two": F.sum(F.hash("name", F.lit(2)).cast("long")),
+    }
+    counted = keyed.withColumn("share", share)
+    for name in ("least", "most"):
+        counted = counted.withColumn(name, figures[name].over(same))
+    counted = counted.where("least <> most or hot")
+    for name in ("one", "two"):
+        counted = counted.withColumn(name, figures[name].over(same))
+    group = F.xxhash64(*figures).alias("group")
+    shared = written(counted.select("part", "hot", "name", *figures), "shared-parts")
+    hot_rows = shared.where("hot").select("part", "name").distinct()
+    merged = hot_rows.groupBy("part").agg(*(f.alias(n) for n, f in figures.items())).where("least <> most")
+    # As many rows as there are hot parts.
+    several = hot_rows.join(F.broadcast(merged), "part").select(group, "name")
+    return shared.where("hot is null").select(group, "name").unionByName(several).distinct()
+
+
+def _names_in(names: DataFrame, count: int):
+    """A test of names for being among some: a bloom filter, which lets through a few others.
+
+    It has FILTER_BITS bits for each name, in a power of two up to MOST_FILTER_BITS; beyond that it
+    lets more through and still loses none.
+    """
+    bits = 1 << min(max(10, (count * FILTER_BITS).bit_length()), MOST_FILTER_BITS.bit_length() - 1)
+    places = F.transform(
+        F.array(*(F.lit(i) for i in range(4))), lambda i: F.pmod(F.xxhash64(F.col("name"), i), F.lit(bits))
+    )
+    words = names.select(F.explode(places).alias("place")).select(
+        F.shiftright("place", 6).cast("long").alias("word"),
+        F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"),
     )
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits >> 6, dtype=np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = names.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def known(at: pd.Series) -> pd.Series:
+        rows = np.stack(at.to_numpy())
+        return pd.Series(((shared.value[rows >> 6] >> (rows & 63)) & 1).all(axis=1))
+
+    return known(places)
 
 
 def _bitmaps(hashes: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
@@ -268,25 +372,13 @@ def similarity_classes(
     Candidate groups larger than ``tile`` are cut into blocks and each pair of blocks is searched
     in a task of its own, so no task holds a whole group.
     """
-    sets = written(shingled(docs, width, percent), "shingle-sets")
+    sets = written(shingled(docs, width), "shingle-sets")
     usable = sets.where(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
     firsts = written(
         usable.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")), "first-copies"
     )
-    # A set is named by 64 bits of its id here; if two meet in one name, they become candidates.
-    name = F.xxhash64("set_id").alias("name")
-    keyed = usable.select(name, F.explode("keys").alias("part"))
-    same = Window.partitionBy("part")
-    shared = (
-        keyed.withColumn("least", F.min("name").over(same))
-        .withColumn("most", F.max("name").over(same))
-        .where("least <> most")
-        .withColumn("one", F.sum(F.hash("name").cast("long")).over(same))
-        .withColumn("two", F.sum(F.hash("name", F.lit(2)).cast("long")).over(same))
-    )
-    # Parts that the same sets share make one group.
-    group = F.xxhash64("least", "most", "one", "two").alias("group")
-    sharing = written(shared.select(group, "name").distinct(), "sharing")
+    name = _name()
+    sharing = written(_groups(docs, sets.count(), width, percent), "sharing")
     tasks = sharing.count() // SHARED_ROWS
     maps = usable.join(firsts, "set_id").where("doc_id = first").select(name, "n_shingles", "bitmap")
 
@@ -308,11 +400,13 @@ def similarity_classes(
         .select(F.col("doc_id").alias("name"), "group", "n"),
         "candidates",
     )
-    weight = candidates.agg(F.sum("n")).first()[0] or 0
+    count, weight = candidates.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     placed = _dealt(candidates.drop("n"), tile, weight // SHARED_SHINGLES)
     texts = docs.select(F.col("doc_id").cast("long").alias("name"), F.col("text").cast("binary").alias("text"))
-    # Candidates grow with the table, so they are never broadcast, however few they are.
-    met = texts.join(placed.hint("merge"), "name").groupBy("task", "low", "high")
+    # Candidates grow with the table, so they are never broadcast; a filter of fixed size is, and texts
+    # that it knows not to be candidates stay where they are.
+    likely = texts.where("name is not null").where(_names_in(candidates.select("name"), count))
+    met = likely.join(placed.hint("merge"), "name").groupBy("task", "low", "high")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         # A repeated id may bring another text; each row is compared, and the id stands for all.

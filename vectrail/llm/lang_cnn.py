@@ -195,14 +195,16 @@ def has_letter(text: Column) -> Column:
 def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; their other columns stay as they are.
 
-    A text that is null or has no letter gets ``und`` with score 1, and so does every text if the
-    model knows no language. All bytes of a text are read; a long text is one row and its windows
+    A text that is null or has no letter gets ``und`` with score 1. If the model knows no language, a
+    text with letters gets null with score 0. All bytes of a text are read; a long text is one row and its windows
     pass in tiles. The model is broadcast; it has a fixed size but for one column a language.
     """
     spark = docs.sparkSession
     names, shared = model.names, spark.sparkContext.broadcast(model.tables())
     if not names:
-        return docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(1.0))
+        known = has_letter(F.col("text"))
+        unknown = F.when(known, F.lit(None)).otherwise(UNDETERMINED)
+        return docs.withColumn("lang_pred", unknown).withColumn("score", F.when(known, 0.0).otherwise(1.0))
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
