@@ -11,7 +11,7 @@ from vectrail.deploy import ship
 from vectrail.llm import best_fit, cube_mix, jaccard_join, lang_cnn, suffix_dedup
 from vectrail.llm.queries import tokenizer_path
 from vectrail.llm.registry import table
-from vectrail.scratch import new_path, written
+from vectrail.scratch import new_path, remove_scratch, scratch_mark, written
 
 #: All stages share the Python workers, so each takes little memory: words that packing keeps there,
 #: and rows of an Arrow batch, which hold whole texts.
@@ -34,11 +34,12 @@ def _row_name(text: Column) -> Column:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters go."""
+    """Documents whose language can be told; those without letters go, and no others, even if no
+    document is labelled."""
     _ready(spark)
     whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
     found = lang_cnn.predict_languages(whole)
-    return found.where(F.col("lang_pred") != lang_cnn.UNDETERMINED).select("row.*")
+    return found.where(~F.col("lang_pred").eqNullSafe(lang_cnn.UNDETERMINED)).select("row.*")
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what documents with smaller ids hold too; n_chars is counted anew."""
+    """Texts without what documents with smaller ids hold too; n_chars, if there, is counted anew."""
     _ready(spark)
     left = suffix_dedup.remove_repeats(docs).select("text_hash", "kept")
     # The other columns travel as one, so that their names cannot clash with those used here.
@@ -76,8 +77,9 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     )
     joined = rest.join(left.dropDuplicates(["text_hash"]), "text_hash")
     texts = joined.select("row", suffix_dedup.whole_characters(F.col("kept")).alias("text"))
-    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    new = {"text": F.col("text"), "n_chars": n_chars}
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return texts.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
@@ -113,10 +115,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read by the next one."""
+    """All stages over the documents; each result is written and read by the next one.
+
+    What a stage wrote on its way is deleted once its result is there.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = new_path(spark, name)
+        path, before = new_path(spark, name), scratch_mark()
         stage(spark, docs, sf_dir).write.parquet(path)
+        remove_scratch(spark, since=before)
         docs = spark.read.parquet(path)
     return docs
