@@ -217,3 +217,29 @@ def test_sources_can_be_archived(spark, tmp_path):
         )
     assert read_ingested(spark, str(tmp_path / "table")).agg(F.count("*")).head()[0] == 3
     assert list(archive.rglob("*.xml"))
+
+
+def test_whole_texts_with_markup_and_sections(spark, tmp_path):
+    sections = (
+        "<Abstract><AbstractText Label='AIMS' NlmCategory='OBJECTIVE'>To <b>test</b> H<sub>2</sub>O.</AbstractText>"
+        "<AbstractText Label=''>Plain\n  section.</AbstractText><AbstractText Label='NONE'> </AbstractText>"
+        "<AbstractText Label='END'><i>p</i> &lt; 0.05 &amp; more.</AbstractText></Abstract>"
+        "<OtherAbstract><AbstractText>Anderes.</AbstractText></OtherAbstract>"
+    )
+    records = [
+        record("1", title("Role of <i>ABC<sup>1</sup></i> in cells <!-- c -->now"), sections),
+        record("2", title("<i>only markup</i>")),
+        record("3", title("bare"), "<AbstractText>One</AbstractText><AbstractText>Two</AbstractText>"),
+        record("4", title(" "), "<Abstract><AbstractText> </AbstractText></Abstract>"),
+    ]
+    write(tmp_path / "x", "a.xml", *records)
+    full = {r["pmid"]: (r["title"], r["abstract"]) for r in read_articles(spark, str(tmp_path / "x"), text_mode="full").collect()}
+    assert full == {
+        "1": ("Role of ABC1 in cells now", "AIMS: To test H2O.\nPlain section.\nEND: p < 0.05 & more."),
+        "2": ("only markup", None),
+        "3": ("bare", "One\nTwo"),
+    }
+    leading = {r["pmid"]: (r["title"], r["abstract"]) for r in read_articles(spark, str(tmp_path / "x")).collect()}
+    assert leading["1"] == ("Role of ", "To ") and "2" not in leading
+    with pytest.raises(ValueError, match="text_mode"):
+        read_articles(spark, str(tmp_path / "x"), text_mode="some")

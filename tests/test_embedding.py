@@ -8,9 +8,11 @@ import pytest
 from tests.conftest import SMALL
 from vectrail.operators.embedding import (
     embed_articles,
+    embed_by_length,
     embed_texts,
     embedding_input,
     hashing_model,
+    length_batches,
     not_embedded,
 )
 from vectrail.operators.pooling import masked_mean_pool
@@ -104,3 +106,30 @@ def test_pooling_scans_its_tokens_once(spark, capsys):
     masked_mean_pool(token_vectors(spark, SMALL)).explain()
     plan = capsys.readouterr().out
     assert plan.count("Scan parquet") == 1 and plan.count("Exchange") == 1
+
+
+def test_batches_of_like_length_pad_little(spark):
+    lengths = np.array([len(r[0].split()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()])
+    for budget in (2000, 16_384):
+        batches = length_batches(lengths, budget)
+        assert sorted(np.concatenate(batches)) == list(range(len(lengths)))
+        padded = [len(b) * lengths[b].max() for b in batches]
+        assert all(p <= budget or len(b) == 1 for p, b in zip(padded, batches))
+        assert 1 - lengths.sum() / sum(padded) < 0.15
+        # In their own order as many rows to a batch pad far more.
+        size = -(-len(lengths) // len(batches))
+        plain = sum(len(lengths[i : i + size]) * lengths[i : i + size].max() for i in range(0, len(lengths), size))
+        assert plain > 2 * sum(padded)
+    assert length_batches(np.array([], dtype=int), 10) == [] and len(length_batches(np.array([0, 0, 50]), 10)) == 2
+
+
+def test_embedding_by_length_gives_the_same_vectors_in_order(spark):
+    rows = [(i, "word " * (i * 7 % 60) + str(i), i % 3) for i in range(700)] + [(700, None, 1), (701, "", 2)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string, kind int").coalesce(3)
+    model = hashing_model(32)
+    for options in ({}, {"max_tokens": 5}):
+        whole = embed_texts(texts, model, **options).collect()
+        by_length = embed_by_length(texts, model, token_budget=500, buffer_rows=100, **options)
+        assert by_length.columns == ["doc_id", "kind", "doc_vector"]
+        assert by_length.collect() == whole
+    assert embed_by_length(texts.limit(0), model).collect() == []

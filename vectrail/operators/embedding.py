@@ -1,10 +1,11 @@
 """Turning text into vectors with a pluggable batch model."""
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from vectrail.scratch import written
 # and returns the function that maps an array of texts to a float32 matrix, one row per text.
 MakeModel = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
+#: How much longer than the shortest text of a batch its longest may be.
+STRETCH = 1.25
+
 
 def hashing_model(dim: int) -> MakeModel:
     """The built-in model: signed feature hashing of lower-cased tokens, averaged over the text.
@@ -87,6 +91,80 @@ def embed_texts(
     return texts.select(*others, F.when(F.col(text).isNotNull(), embedded).alias(vector))
 
 
+def length_batches(lengths: np.ndarray, token_budget: int) -> list[np.ndarray]:
+    """Rows in batches of like length, none of more padded tokens than the budget, but one row at least.
+
+    A model pads a batch to its longest text, so a batch of n texts costs n times its longest. The
+    longest is at most ``STRETCH`` times the shortest, and some tokens more.
+    """
+    order = np.argsort(lengths, kind="stable")
+    batches, first = [], 0
+    for at in range(1, len(order) + 1):
+        # In this order the last row is the longest.
+        if (
+            at == len(order)
+            or (at - first + 1) * max(1, lengths[order[at]]) > token_budget
+            or lengths[order[at]] > STRETCH * lengths[order[first]] + 8
+        ):
+            batches.append(order[first:at])
+            first = at
+    return batches
+
+
+def embed_by_length(
+    texts: DataFrame,
+    model: MakeModel,
+    *,
+    text: str = "text",
+    vector: str = DOC_VECTOR,
+    token_budget: int = 16_384,
+    buffer_rows: int = 4096,
+    max_tokens: int | None = None,
+    rebalance: bool = False,
+) -> DataFrame:
+    """The same as :func:`embed_texts`, in batches of texts of like length for models that pad.
+
+    A task gathers ``buffer_rows`` rows, hands their texts to the model in batches of at most
+    ``token_budget`` tokens with padding, tokens being what blanks part, and returns the rows in their
+    old order. A longer text is a batch of its own.
+    """
+    if rebalance:
+        texts = texts.hint("rebalance")
+    content = F.col(text) if max_tokens is None else X.truncate_tokens(F.col(text), max_tokens)
+    kept = texts.withColumn(text, content)
+    others = [c for c in texts.columns if c != text]
+    at = kept.columns.index(text)
+
+    def embed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict, held, rows = model(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            column = table.column(at).to_pylist()
+            known = [i for i, value in enumerate(column) if value is not None]
+            words = np.array([column[i] for i in known], dtype=object)
+            vectors: list = [None] * len(column)
+            for batch in length_batches(np.array([len(w.split()) for w in words], dtype=np.int64), token_budget):
+                for i, found in zip(batch, predict(words[batch])):
+                    vectors[known[i]] = found
+            made = pa.array(vectors, type=pa.list_(pa.float32()))
+            held.clear()
+            return table.remove_column(at).append_column(vector, made).to_batches()[0]
+
+        for batch in batches:
+            for start in range(0, len(batch), buffer_rows):
+                held.append(batch.slice(start, buffer_rows))
+                rows += len(held[-1])
+                if rows >= buffer_rows:
+                    yield flush()
+                    rows = 0
+        if rows:
+            yield flush()
+
+    schema = T.StructType([*(kept.schema[c] for c in others), T.StructField(vector, T.ArrayType(T.FloatType()))])
+    return kept.mapInArrow(embed, schema)
+
+
 def embed_articles(articles: DataFrame, model: MakeModel, **options) -> DataFrame:
     """The vector table of an article table."""
     prefix = options.pop("prefix", X.DOCUMENT_PREFIX)

@@ -13,10 +13,10 @@ from vectrail.sources.tables import article_texts, write_articles, write_vectors
 
 
 def build_articles(
-    spark: SparkSession, xml_path: str, table: str, rebalance: bool = False
+    spark: SparkSession, xml_path: str, table: str, rebalance: bool = False, text_mode: str = "leading"
 ) -> DataFrame:
     """Write the article table of all XML files below a folder, the first copy of each id."""
-    articles = read_articles(spark, xml_path, rebalance=rebalance)
+    articles = read_articles(spark, xml_path, rebalance=rebalance, text_mode=text_mode)
     write_articles(first_wins(articles, "pmid", SOURCE_ORDER), table)
     return spark.read.parquet(table)
 

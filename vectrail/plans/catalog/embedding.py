@@ -46,6 +46,17 @@ def embed_documents(spark, sf_dir):
     return _non_zero(embedding.embed_articles(articles(spark, sf_dir), model, rebalance=True))
 
 
+@query(
+    f"""WITH {ARTICLES_SQL}, x AS (SELECT doc_id, 'search_document: ' || {_TEXT} AS text FROM a),
+    {hashed_sql("h", "x", "doc_id")}
+    SELECT doc_id, dim, round(value, 6) AS value FROM h WHERE round(value, 6) <> 0"""
+)
+def embed_by_length(spark, sf_dir):
+    """The same vectors from batches of texts of like length."""
+    texts = embedding.embedding_input(articles(spark, sf_dir))
+    return _non_zero(embedding.embed_by_length(texts, embedding.hashing_model(DIM), rebalance=True))
+
+
 @query(
     f"""WITH {hashed_sql("h", "benchmark", "item_id")}
     SELECT item_id AS doc_id, dim, round(value, 6) AS value FROM h WHERE round(value, 6) <> 0"""

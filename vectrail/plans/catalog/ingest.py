@@ -49,6 +49,27 @@ def xml_articles(spark, sf_dir):
     return _trimmed(read_articles(spark, path).drop(*SOURCE_ORDER))
 
 
+_SPACED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH {RAW_FIELDS_SQL},
+    w AS (
+        SELECT *, {_SPACED.format("title")} AS t, {_SPACED.format("abstract")} AS b FROM r),
+    f AS (
+        SELECT *, trim(t || CASE WHEN doc_id % 3 = 0 THEN ' in vitro' ELSE '' END) AS whole,
+               CASE WHEN abstract IS NULL THEN NULL WHEN b = '' THEN 'second section of ' || pmid
+                    ELSE b || chr(10) || 'second section of ' || pmid END AS lines
+        FROM w)
+    SELECT pmid, whole AS title, lines AS abstract, authors FROM f WHERE whole <> '' OR lines IS NOT NULL"""
+)
+def xml_full_text(spark, sf_dir):
+    """Whole titles, markup included, and all sections of the abstracts."""
+    path = new_path(spark, "xml")
+    write_xml(raw_fields(spark, sf_dir).drop("doc_id", "lang"), path)
+    return read_articles(spark, path, text_mode="full").select("pmid", "title", "abstract", "authors")
+
+
 @query(
     """SELECT lang, suffix, count(*) AS n_records
     FROM documents, (VALUES ('xml'), ('xml.gz')) s(suffix) GROUP BY lang, suffix"""

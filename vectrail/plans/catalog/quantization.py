@@ -137,3 +137,18 @@ def topk_refined(spark, sf_dir):
     refinable_codes(table, stats).write.parquet(path := new_path(spark, "codes"))
     found = search_refined(spark.read.parquet(path), table, first_vector(table), stats, _K)
     return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    f"""WITH {STRETCHED_SQL},
+    e AS (SELECT doc_id, generate_subscripts(doc_vector, 1) - 1 AS dim, unnest(doc_vector)::FLOAT AS x FROM v),
+    b AS (SELECT dim, min(x) AS lo, max(x) AS hi FROM e GROUP BY dim)
+    SELECT doc_id, dim::INTEGER AS dim, trunc((x - lo) / (hi - lo) * 255::FLOAT - 128::FLOAT)::INTEGER AS value
+    FROM e JOIN b USING (dim)"""
+)
+def quantize_per_dim(spark, sf_dir):
+    """Codes over the range of each place, which is saved with the table's fingerprint."""
+    table, path = stretched_vectors(spark, sf_dir), new_path(spark, "ranges")
+    quantize.save_dimension_ranges(table, path)
+    codes = quantize.quantize_per_dimension(table, quantize.load_dimension_ranges(table, path))
+    return long_form(codes, "cast(value AS int)")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vectrail.operators.fingerprint import same_content
 from vectrail.operators.profile import check_dim, pair_counts
 from vectrail.plans.catalog.registry import query
 from vectrail.plans.catalog.standins import VECTORS_SQL, long_form, vectors
@@ -68,3 +69,9 @@ def raw_pairs_source(spark, sf_dir):
     writer = table.select("doc_id", "doc_vector").write.format(NAME).option("path", path)
     writer.option("dim", check_dim(table)).mode("append").save()
     return long_form(spark.read.format(NAME).option("path", path).load())
+
+
+@query("SELECT count(*) AS n_rows, count(*) AS n_other, true AS matched FROM embeddings")
+def pair_fingerprint(spark, sf_dir):
+    """Whether an imported raw pair holds what the table holds, bit by bit, without a join of rows."""
+    return same_content(vectors(spark, sf_dir), read_raw_pair(spark, *_raw_pair(spark, sf_dir)))

@@ -2,6 +2,7 @@
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 from html.entities import html5
 from xml.sax.saxutils import escape
 
@@ -67,19 +68,20 @@ def positioned(lines: DataFrame) -> DataFrame:
     return numbered.where(F.col("value").rlike(_RECORD_START.pattern))
 
 
-@arrow_udf(_PARSED)
-def _parse(records: pa.Array) -> pa.Array:
-    parsed = []
-    for record in records:
-        try:
-            parsed.append({**_fields(record.as_py()), "error": None})
-        except ET.ParseError as error:
-            parsed.append({"error": str(error)})
-    return pa.array(parsed, type=_ARROW_TYPE)
+def _parser(texts: Callable[[ET.Element], dict]):
+    @arrow_udf(_PARSED)
+    def _parse(records: pa.Array) -> pa.Array:
+        parsed = []
+        for record in records:
+            try:
+                root = _element(record.as_py())
+                parsed.append({**_fields(root), **texts(root), "error": None})
+            except ET.ParseError as error:
+                parsed.append({"error": str(error)})
+        return pa.array(parsed, type=_ARROW_TYPE)
 
-
-# Spark would otherwise parse once for the rows and once more to filter them.
-_parse = _parse.asNondeterministic()
+    # Spark would otherwise parse once for the rows and once more to filter them.
+    return _parse.asNondeterministic()
 
 
 def _element(record: str) -> ET.Element:
@@ -110,14 +112,39 @@ def _resolved(reference: re.Match, declared: dict[str, str]) -> str:
     return escape(html5[f"{name};"]) if f"{name};" in html5 else reference[0]
 
 
-def _fields(record: str) -> dict:
-    """The text fields of one record: of each element the first match, up to its first child."""
-    root = _element(record)
+def _leading_texts(root: ET.Element) -> dict:
+    """Title and abstract up to their first child, the abstract of the first section alone."""
+    return {"title": root.findtext(".//ArticleTitle"), "abstract": root.findtext(".//AbstractText")}
+
+
+def _whole(element: ET.Element | None) -> str | None:
+    """All text below an element with its inline markup taken off and white space made single."""
+    return None if element is None else " ".join("".join(element.itertext()).split())
+
+
+def _full_texts(root: ET.Element) -> dict:
+    """Whole title and abstract: a line for each section, after its label if it has one.
+
+    Other abstracts of a record, as in another language, and sections without text are left out.
+    """
+    first = root.find(".//Abstract")
+    sections = root.findall(".//AbstractText") if first is None else first.findall(".//AbstractText")
+    lines = []
+    for section in sections:
+        text, label = _whole(section), (section.get("Label") or "").strip()
+        if text:
+            lines.append(f"{label}: {text}" if label else text)
+    return {"title": _whole(root.find(".//ArticleTitle")), "abstract": "\n".join(lines) or None}
+
+
+_PARSERS = {"leading": _parser(_leading_texts), "full": _parser(_full_texts)}
+
+
+def _fields(root: ET.Element) -> dict:
+    """The other fields of one record: of each element the first match, up to its first child."""
     # The paths of the fields in the input format.
     return {
         "pmid": root.findtext(".//PMID"),
-        "title": root.findtext(".//ArticleTitle"),
-        "abstract": root.findtext(".//AbstractText"),
         "year": root.findtext(".//PubDate/Year"),
         "medline_date": root.findtext(".//PubDate/MedlineDate"),
         "authors": [
@@ -127,15 +154,21 @@ def _fields(record: str) -> dict:
     }
 
 
-def parse_records(records: DataFrame, on_bad_record: str = "error") -> DataFrame:
+def parse_records(
+    records: DataFrame, on_bad_record: str = "error", text_mode: str = "leading"
+) -> DataFrame:
     """The valid articles among record texts, with their position in the source.
 
+    Titles and abstracts are read up to their first child element, abstracts in their first section,
+    or with ``text_mode='full'`` whole: with the text inside markup and all labelled sections.
     A record that is not well-formed fails the job, or with ``on_bad_record='skip'`` is left out;
     :func:`bad_records` has those.
     """
     if on_bad_record not in ("error", "skip"):
         raise ValueError(f"on_bad_record must be 'error' or 'skip', not {on_bad_record!r}")
-    parsed = records.select(_parse(F.col("value")).alias("r"), *SOURCE_ORDER)
+    if text_mode not in _PARSERS:
+        raise ValueError(f"text_mode must be one of {sorted(_PARSERS)}, not {text_mode!r}")
+    parsed = records.select(_PARSERS[text_mode](F.col("value")).alias("r"), *SOURCE_ORDER)
     error = F.col("r.error")
     if on_bad_record == "error":
         # The guard stands in the id, which every row needs, so that it is never pruned away.
@@ -148,7 +181,7 @@ def parse_records(records: DataFrame, on_bad_record: str = "error") -> DataFrame
 
 def bad_records(records: DataFrame) -> DataFrame:
     """The records that are not well-formed, as ``(value, error)`` with their position."""
-    parsed = records.select("value", _parse(F.col("value"))["error"].alias("error"), *SOURCE_ORDER)
+    parsed = records.select("value", _PARSERS["leading"](F.col("value"))["error"].alias("error"), *SOURCE_ORDER)
     return parsed.where(F.col("error").isNotNull())
 
 
@@ -172,6 +205,7 @@ def read_articles(
     pattern: str = FILE_PATTERN,
     rebalance: bool = False,
     on_bad_record: str = "error",
+    text_mode: str = "leading",
 ) -> DataFrame:
     """The valid articles of all XML files below ``path``, repeated ids included.
 
@@ -180,4 +214,4 @@ def read_articles(
     their records among tasks before parsing.
     """
     records = read_records(spark, path, pattern)
-    return parse_records(records.hint("rebalance") if rebalance else records, on_bad_record)
+    return parse_records(records.hint("rebalance") if rebalance else records, on_bad_record, text_mode)
