@@ -104,7 +104,7 @@ class _Best:
         self.bar_doc[self.query[last]] = self.doc[last]
 
 
-def _search_block(
+def search_block(
     vectors: DataFrame,
     matrix: np.ndarray,
     k: int,
@@ -186,7 +186,7 @@ def _in_rounds(
     for low, high in parts:
         share = rounds.share()
         part = vectors if len(parts) == 1 else vectors.where((share >= low) & (share < high))
-        found, shared = _search_block(part, matrix, k, **scoring, bars=bars)
+        found, shared = search_block(part, matrix, k, **scoring, bars=bars)
         hits = Observation()
         found = found.observe(hits, F.count("*").alias("n"))
         if best is not None:

@@ -23,6 +23,7 @@ from vectrail.plans.catalog.standins import (
 from vectrail.plans.retriever import Retriever
 from vectrail.scratch import new_path
 from vectrail.sources.tables import read_vectors, write_bucketed, write_vectors
+from vectrail.streaming.topk import follow_topk, read_topk
 
 _K = 10
 # The dimension of the built-in model in these queries.
@@ -128,6 +129,26 @@ def batch_topk(spark, sf_dir):
     return _rounded(search_batch(table, means, _K))
 
 
+@query(
+    f"""WITH {STRETCHED_SQL},
+    q AS (SELECT doc_id AS query_id, doc_vector AS qv FROM v WHERE doc_id % 100 = 0),
+    s AS (SELECT query_id, doc_id, round({PRODUCT_CLAMP}, 12) AS s FROM v, q),
+    r AS (SELECT query_id, doc_id, s,
+                 row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM s)
+    SELECT query_id, rank::INTEGER AS rank, doc_id, round(s, 6) AS similarity
+    FROM r WHERE rank <= {_K}"""
+)
+def stream_topk(spark, sf_dir):
+    """Every hundredth vector's nearest, kept while the table arrives in three waves of files."""
+    table = stretched_vectors(spark, sf_dir)
+    queries = table.where("doc_id % 100 = 0").selectExpr("doc_id AS query_id", "doc_vector AS query_vector")
+    source, checkpoint, output = (new_path(spark, n) for n in ("arriving", "checkpoint", "best"))
+    for wave in range(3):
+        write_vectors(table.where(F.pmod("doc_id", F.lit(3)) == wave), source, mode="append")
+        follow_topk(spark, source, queries, _K, checkpoint, output)
+    return _rounded(read_topk(spark, queries, output))
+
+
 @query(
     f"""WITH {STRETCHED_SQL}, {QUERY_SQL},
     s AS (SELECT doc_id, label, round({PRODUCT_CLAMP}, 12) AS s FROM v, q),
