@@ -72,7 +72,10 @@ def test_empty_tables_and_missing_labels(spark, docs):
     assert quality_fm.classify_quality(few, no_labels).count() == 5
     assert {r["predicted"] for r in toxicity_pu.classify_toxicity(few, no_labels).collect()} == {0}
     unlabelled = few.withColumn("lang", F.lit(None).cast("string"))
-    assert {r["lang_pred"] for r in lang_cnn.predict_languages(unlabelled).collect()} == {"und"}
+    # No language is known, so a text with letters has none; one without stays undetermined.
+    assert {r["lang_pred"] for r in lang_cnn.predict_languages(unlabelled).collect()} == {None}
+    blank = lang_cnn.predict_languages(unlabelled.withColumn("text", F.lit("12 ;")))
+    assert {r["lang_pred"] for r in blank.collect()} == {"und"}
 
 
 def test_factorisation_equals_sum_over_pairs():

@@ -94,3 +94,24 @@ def test_near_duplicates_of_few_rows(spark):
     assert itq_dedup.near_duplicates(table(spark, [])).count() == len(BAD)
     rows = itq_dedup.near_duplicates(table(spark, np.ones((3, 16)))).orderBy("vec_id").collect()
     assert [(r["n_links"], r["component_id"]) for r in rows[:3]] == [(2, 0)] * 3
+
+
+def test_repeated_ids_have_one_vector(spark):
+    made = np.random.default_rng(8).normal(size=(40, 6)).astype(np.float32)
+    rows = [(i, made[i].tolist(), 1, "k", "s") for i in range(40)]
+    # Every second id comes twice with the same vector, 0 and 4 with another one, too.
+    more = [rows[i] for i in range(0, 40, 2)] + [(0, (-made[0]).tolist(), 1, "k", "s"), (4, made[5].tolist(), 1, "k", "s")]
+    chosen = {i: min(v.tobytes() for v in ([made[i], -made[0]] if i == 0 else [made[4], made[5]] if i == 4 else [made[i]])) for i in range(40)}
+    vectors = {i: np.frombuffer(b, np.float32).astype(float) for i, b in chosen.items()}
+    df = spark.createDataFrame(rows + more, SCHEMA)
+    found = {}
+    for r in ann_scan.search(df.repartition(3), lambda key: key % 10 == 0, recall=1.0).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for query in (0, 10, 20, 30):
+        order = sorted((np.sqrt(((vectors[query] - vectors[i]) ** 2).sum()), i) for i in range(40) if i != query)
+        assert sorted(found[query]) == [(n, i) for n, (_, i) in enumerate(order[:10], 1)]
+    near = [tuple(r) for r in itq_dedup.near_duplicates(df).collect()]
+    assert len(near) == 62 and sorted(near) == sorted(tuple(r) for r in itq_dedup.near_duplicates(df.repartition(5)).collect())
+    links = {i: n for i, n, *_ in near}
+    same = chosen[4] == chosen[5]
+    assert links[4] == links[5] == int(same) and links[0] == 0 and len(set(near)) == 40

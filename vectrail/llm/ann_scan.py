@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.llm.vectors import matrix, pack_usable, sample_matrix, usable_dimension
+from vectrail.llm.vectors import matrix, one_vector_per_key, pack_usable, sample_matrix, usable_dimension
 from vectrail.scratch import written
 
 #: Vectors and queries of a list that meet in one task.
@@ -114,14 +114,14 @@ def search(
     ``is_query`` selects, among all other rows, by Euclidean distance on the original vectors.
 
     Ties go to the smaller key. Vectors that are null, zero, of another dimension than most, or
-    hold null or non-finite components take no part; neither do rows with a null key. Keys should
-    be unique. A query probes as many of the nearest lists as :func:`needed_probes` finds on the
+    hold null or non-finite components take no part; neither do rows with a null key. Of a
+    repeated key the vector of least bytes stands for all its rows. A query probes as many of the nearest lists as :func:`needed_probes` finds on the
     sample for ``recall``, and more if they hold fewer than k other vectors. Centres are learned on at most ``sample`` vectors; every vector is in a list.
     A list that holds many vectors or queries is cut into blocks that meet in tasks of their own.
     """
     spark = rows.sparkSession
     dimension = usable_dimension(rows, vector)
-    usable = written(pack_usable(rows, key, vector, dimension).withColumnRenamed(key, "key"), "vectors")
+    usable = one_vector_per_key(pack_usable(rows, key, vector, dimension).withColumnRenamed(key, "key"))
     n = usable.count()
     ids, seen = sample_matrix(usable, "key", sample, dimension, seed)
     lists = min(max(1, round(math.sqrt(n))), MOST_LISTS, max(1, len(seen)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm.components import stars
-from vectrail.llm.vectors import matrix, pack_usable, sample_matrix, usable_dimension
+from vectrail.llm.vectors import matrix, one_vector_per_key, pack_usable, sample_matrix, usable_dimension
 from vectrail.scratch import written
 
 #: Vectors of one key that one task compares; keys with more are cut into tiles.
@@ -132,7 +132,7 @@ def near_duplicates(
     spark = rows.sparkSession
     given = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
     dimension = usable_dimension(given, "v")
-    usable = written(pack_usable(given, "key", "v", dimension), "vectors")
+    usable = one_vector_per_key(pack_usable(given, "key", "v", dimension))
     groups = written(
         usable.groupBy("packed").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "distinct-vectors"
     )
@@ -221,7 +221,7 @@ def near_duplicates(
         )
     )
     members = usable.join(classes, "packed").select("key", "n_links", "component_id")
-    whole = given.select("key").join(members.dropDuplicates(["key"]), "key", "left")
+    whole = given.select("key").join(members, "key", "left")
     component = F.coalesce("component_id", "key")
     return whole.select(
         F.col("key").alias(key),

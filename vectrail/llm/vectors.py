@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm.folds import bounded_sample
+from vectrail.scratch import written
 
 
 def usable_dimension(rows: DataFrame, vector: str) -> int:
@@ -39,6 +40,17 @@ def pack_usable(rows: DataFrame, key: str, vector: str, dimension: int) -> DataF
     return slim.mapInPandas(pack, "key long, packed binary").withColumnRenamed("key", key)
 
 
+def one_vector_per_key(packed: DataFrame) -> DataFrame:
+    """``(key, packed)``, stored, with a row for each key: of a key with several vectors the least by its
+    bytes stands for all. Only keys are shuffled, and the vectors of those that repeat."""
+    stored = written(packed, "vectors")
+    several = written(stored.groupBy("key").count().where("count > 1").select("key"), "repeated-keys")
+    if several.isEmpty():
+        return stored
+    least = stored.join(several, "key", "left_semi").groupBy("key").agg(F.min("packed").alias("packed"))
+    return written(stored.join(several, "key", "left_anti").unionByName(least), "vectors")
+
+
 def matrix(packed, dimension: int) -> np.ndarray:
     """Packed vectors as rows of a float64 matrix."""
     packed = list(packed)
