@@ -126,7 +126,7 @@ def near_duplicates(
     threshold is found with probability ``found``, nearer ones more surely, and none below it is
     made. Vectors that are null, zero, of another dimension than most, or hold null or non-finite
     components link with nothing. Equal vectors are compared once and count as often as they are
-    there; keys should be unique, and equal keys are taken as one vector's copies. Other columns
+    there; of a repeated key the vector of least bytes stands for all its rows. Other columns
     are ignored. Rotations are learned on at most ``sample`` vectors; all vectors are in the tables.
     """
     spark = rows.sparkSession
