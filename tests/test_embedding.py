@@ -7,6 +7,7 @@ import pytest
 
 from tests.conftest import SMALL
 from vectrail.operators.embedding import (
+    bad_ids,
     embed_articles,
     embed_by_length,
     embed_texts,
@@ -133,3 +134,23 @@ def test_embedding_by_length_gives_the_same_vectors_in_order(spark):
         assert by_length.columns == ["doc_id", "kind", "doc_vector"]
         assert by_length.collect() == whole
     assert embed_by_length(texts.limit(0), model).collect() == []
+
+
+def test_ids_that_are_not_numbers_are_set_aside(spark, tmp_path):
+    schema = "pmid string, title string, abstract string"
+    rows = [("7", "t", "a"), ("x8", "t", "b"), ("x8", "t", "c"), (None, "t", "d"), ("9" * 30, "t", "e")]
+    table = spark.createDataFrame(rows, schema)
+    kept = embedding_input(table, prefix="", on_bad_id="skip")
+    assert [tuple(r) for r in kept.collect()] == [(7, "a")]
+    assert bad_ids(table).count() == 4
+    path = str(tmp_path / "vectors")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        build_vectors(table, length_model, path)
+    for more in (0, 1):
+        table = table.unionByName(spark.createDataFrame([("8", "t", "f")] * more, schema))
+        vectors = build_vectors(table, length_model, path, slices=2, on_bad_id="skip")
+        assert sorted(r["doc_id"] for r in vectors.collect()) == [7, 8][: 1 + more]
+    found = spark.read.parquet(f"{path}/_bad_ids").collect()
+    assert {(r["pmid"], r["n"]) for r in found} == {("x8", 2), (None, 1), ("9" * 30, 1)}
+    with pytest.raises(ValueError, match="on_bad_id"):
+        embedding_input(table, on_bad_id="drop")

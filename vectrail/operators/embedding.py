@@ -7,7 +7,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,13 +55,31 @@ def hashing_model(dim: int) -> MakeModel:
     return make
 
 
-def embedding_input(articles: DataFrame, prefix: str = X.DOCUMENT_PREFIX) -> DataFrame:
+def numeric_id(on_bad_id: str) -> Column:
+    """The id as a number; another one fails, or with ``skip`` is NULL."""
+    if on_bad_id not in ("error", "skip"):
+        raise ValueError(f"on_bad_id must be 'error' or 'skip', not {on_bad_id!r}")
+    return F.col("pmid").cast("bigint") if on_bad_id == "error" else F.col("pmid").try_cast("bigint")
+
+
+def bad_ids(articles: DataFrame) -> DataFrame:
+    """The articles that have no vector of their own with ``on_bad_id='skip'``: no number as id."""
+    return articles.where(numeric_id("skip").isNull())
+
+
+def embedding_input(
+    articles: DataFrame, prefix: str = X.DOCUMENT_PREFIX, on_bad_id: str = "error"
+) -> DataFrame:
     """``(doc_id, text)`` as the model sees it: the abstract, or else the title, with its prefix.
 
-    Fails on an id that is not a number.
+    Fails on an id that is not a number, or with ``on_bad_id='skip'`` leaves its article out;
+    :func:`bad_ids` has those.
     """
+    doc_id = numeric_id(on_bad_id)
+    if on_bad_id == "skip":
+        articles = articles.where(doc_id.isNotNull())
     return articles.select(
-        F.col("pmid").cast("bigint").alias(DOC_ID),
+        doc_id.alias(DOC_ID),
         X.with_prefix(X.embedding_text(F.col("title"), F.col("abstract")), prefix).alias("text"),
     )
 
@@ -166,9 +184,9 @@ def embed_by_length(
 
 
 def embed_articles(articles: DataFrame, model: MakeModel, **options) -> DataFrame:
-    """The vector table of an article table."""
-    prefix = options.pop("prefix", X.DOCUMENT_PREFIX)
-    return embed_texts(embedding_input(articles, prefix), model, **options)
+    """The vector table of an article table; ``options`` are those of both steps."""
+    own = {name: options.pop(name) for name in ("prefix", "on_bad_id") if name in options}
+    return embed_texts(embedding_input(articles, **own), model, **options)
 
 
 def embed_queries(
@@ -179,13 +197,17 @@ def embed_queries(
     return embed_texts(prefixed, model, vector=QUERY_VECTOR, **options)
 
 
-def not_embedded(articles: DataFrame, vectors: DataFrame) -> DataFrame:
+def not_embedded(articles: DataFrame, vectors: DataFrame, on_bad_id: str = "error") -> DataFrame:
     """The articles that have no vector yet, whatever the order either table is read in.
 
+    An id that is not a number fails, or with ``on_bad_id='skip'`` its article is left out.
+
     Ids alone are compared first, so that only the texts of what is missing meet a join; Spark
     broadcasts the missing ids if they are few.
     """
-    key = F.col("pmid").cast("bigint")
+    key = numeric_id(on_bad_id)
+    if on_bad_id == "skip":
+        articles = articles.where(key.isNotNull())
     missing = articles.select(key.alias(DOC_ID)).join(vectors.select(DOC_ID), DOC_ID, "left_anti")
     missing = written(missing.distinct(), "not-embedded")
     keyed = articles.withColumn(DOC_ID, key)

@@ -5,12 +5,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.operators.dedup import first_wins
-from vectrail.operators.embedding import MakeModel, embed_articles, embed_texts, not_embedded
+from vectrail.operators.embedding import (
+    MakeModel,
+    bad_ids,
+    embed_articles,
+    embed_texts,
+    not_embedded,
+    numeric_id,
+)
 from vectrail.operators.quantize import quantize_table, range_stats
 from vectrail.schema import DOC_ID, DOC_VECTOR, SOURCE_ORDER, VECTORS
 from vectrail.sources.article_xml import read_articles
 from vectrail.sources.tables import article_texts, write_articles, write_vectors
 
+#: Below a vector table: the ids that are not numbers. Readers of the table do not see it.
+BAD_IDS = "_bad_ids"
+
 
 def build_articles(
     spark: SparkSession, xml_path: str, table: str, rebalance: bool = False, text_mode: str = "leading"
@@ -33,14 +43,25 @@ def _check_model(vectors: DataFrame, model: MakeModel) -> None:
 
 
 def build_vectors(
-    articles: DataFrame, model: MakeModel, table: str, slices: int = 1, **options
+    articles: DataFrame,
+    model: MakeModel,
+    table: str,
+    slices: int = 1,
+    on_bad_id: str = "error",
+    **options,
 ) -> DataFrame:
     """Embed the articles that ``table`` has no vector of, and append them.
 
     The work is done in ``slices`` jobs, each of which is kept once it has finished, so that a run
-    that was stopped goes on where it was.
+    that was stopped goes on where it was. An id that is not a number fails the job, or with
+    ``on_bad_id='skip'`` its article is set aside: ``{table}/_bad_ids`` has ``(pmid, n)``, the number of
+    rows of each such id of the last run.
     """
     spark = articles.sparkSession
+    key = numeric_id(on_bad_id)
+    if on_bad_id == "skip":
+        counted = bad_ids(articles).groupBy("pmid").agg(F.count("*").alias("n"))
+        counted.write.mode("overwrite").parquet(f"{table}/{BAD_IDS}")
     for number in range(slices):
         try:
             done = spark.read.schema(VECTORS).parquet(table)
@@ -54,9 +75,9 @@ def build_vectors(
 
         if number == 0:
             _check_model(done, model)
-        part = article_texts(articles).where(in_slice(F.col("pmid").cast("bigint")))
-        todo = not_embedded(part, done.where(in_slice(F.col(DOC_ID))))
-        write_vectors(embed_articles(todo, model, **options), table, mode="append")
+        part = article_texts(articles).where(in_slice(key))
+        todo = not_embedded(part, done.where(in_slice(F.col(DOC_ID))), on_bad_id)
+        write_vectors(embed_articles(todo, model, on_bad_id=on_bad_id, **options), table, mode="append")
     return spark.read.schema(VECTORS).parquet(table)
 
 

@@ -23,6 +23,21 @@ def embed_input(spark, sf_dir):
     return embedding.embedding_input(articles(spark, sf_dir))
 
 
+@query(
+    f"""WITH {ARTICLES_SQL}
+    SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS doc_id, count(*) AS n,
+           min(CASE WHEN doc_id % 7 <> 0 THEN {_TEXT} END) AS text
+    FROM a GROUP BY ALL"""
+)
+def embed_bad_ids(spark, sf_dir):
+    """Every seventh id is no number: these articles are counted, and the others embedded."""
+    pmid = "if(doc_id % 7 = 0, concat('x', pmid), pmid) AS pmid"
+    table = articles(spark, sf_dir).selectExpr(pmid, "title", "abstract")
+    texts = embedding.embedding_input(table, prefix="", on_bad_id="skip")
+    set_aside = embedding.bad_ids(table).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    return texts.unionByName(set_aside).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("text"))
+
+
 @query(
     r"""SELECT doc_id, array_to_string(list_slice(
         [x FOR x IN string_split_regex(text, '\s+') IF x <> ''], 1, 32), ' ') AS text FROM documents"""

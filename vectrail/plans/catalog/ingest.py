@@ -22,7 +22,7 @@ from vectrail.sources.article_xml import (
     record_options,
 )
 from vectrail.sources.tables import article_texts, read_articles_table, write_articles
-from vectrail.streaming.incremental import ingest_new_files, read_ingested
+from vectrail.streaming.incremental import ingest_new_files, merge_batches, read_ingested
 
 _YEAR_RAW = 'coalesce(nullif("year", \'\'), substr(medline_date, 1, 4))'
 # The title in the XML goes on with an inline element; what precedes that is the title's text.
@@ -227,6 +227,32 @@ def incremental_two_sources(spark, sf_dir):
     return _trimmed(read_ingested(spark, table).select("pmid", "title", "abstract"))
 
 
+@query(
+    f"""WITH {RAW_FIELDS_SQL}, w AS (
+        SELECT pmid, title, abstract FROM r
+        UNION ALL SELECT 'new' || pmid, 'second wave', abstract FROM r
+        UNION ALL SELECT 'last' || pmid, 'third wave', abstract FROM r)
+    SELECT pmid, rtrim(title, ' ' || chr(10)) AS title, abstract FROM w
+    WHERE title <> '' OR coalesce(abstract, '') <> ''"""
+)
+def incremental_merge(spark, sf_dir):
+    """Three waves that repeat all earlier ids; the batches before each are merged into one folder."""
+    source, table, ledger = (new_path(spark, n) for n in ("source", "ingested", "ledger"))
+    first = raw_fields(spark, sf_dir).drop("doc_id", "lang")
+    seen = first
+    write_xml(first, source, compression="gzip")
+    for wave, prefix in (("second wave", "new"), ("third wave", "last")):
+        ingest_new_files(spark, source, table, ledger, max_files_per_batch=2)
+        merge_batches(spark, table)
+        again = seen.withColumn("title", F.lit(wave))
+        fresh = first.withColumn("title", F.lit(wave)).withColumn("pmid", F.concat(F.lit(prefix), "pmid"))
+        seen = again.unionByName(fresh)
+        write_xml(seen, source)
+    ingest_new_files(spark, source, table, ledger)
+    merge_batches(spark, table)
+    return _trimmed(read_ingested(spark, table).select("pmid", "title", "abstract"))
+
+
 @query(
     f"""WITH {RAW_FIELDS_SQL}, w AS (
         SELECT pmid, title, abstract FROM r UNION ALL SELECT 'new' || pmid, title, abstract FROM r)

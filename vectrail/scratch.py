@@ -34,6 +34,12 @@ def scratch_mark() -> int:
     return len(_named)
 
 
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on whatever file system it lies; whether it was there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def remove_scratch(spark: SparkSession, since: int = 0) -> int:
     """Delete all folders that this process wrote for intermediate results; returns their number.
 
@@ -42,9 +48,7 @@ def remove_scratch(spark: SparkSession, since: int = 0) -> int:
     """
     removed = 0
     while len(_named) > since:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_named.pop())
-        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        removed += system.delete(path, True)
+        removed += remove_folder(spark, _named.pop())
     return removed
 
 

@@ -1,12 +1,18 @@
 """Incremental ingest: every new XML file once, first copy of each article wins."""
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrail.operators.dedup import insert_or_ignore
-from vectrail.schema import ARTICLE_COLUMNS, ARTICLES, SOURCE_ORDER
+from vectrail.operators.lookup import LISTED_IDS, one_of
+from vectrail.schema import ARTICLE_COLUMNS, ARTICLES, DOC_ID, SOURCE_ORDER
+from vectrail.scratch import remove_folder
 from vectrail.sources.article_xml import (
     FILE_PATTERN,
     parse_records,
@@ -27,6 +33,20 @@ _STORED = T.StructType(
 # Files of one micro-batch unless the caller says otherwise, so that a first run over a large
 # folder is cut into pieces that can be repeated.
 MAX_FILES_PER_BATCH = 1_000
+# The ledger of merged batches; their batch_id is the number of the merge.
+_MERGED = "merged"
+_GENERATIONS = "_generations"
+_GENERATION = T.StructType(
+    [
+        T.StructField(_LEDGER, T.StringType()),
+        T.StructField(_BATCH, T.LongType()),
+        T.StructField("generation", T.LongType()),
+    ]
+)
+# Rows of one file of a merged table.
+MERGED_RECORDS_PER_FILE = 1_000_000
+# Ids of a batch lie in so many ranges at most, and are first counted in so many cells.
+ID_RANGES, ID_CELLS = 16, 4096
 
 
 def read_ingested(spark: SparkSession, table: str) -> DataFrame:
@@ -34,13 +54,100 @@ def read_ingested(spark: SparkSession, table: str) -> DataFrame:
     return _stored(spark, table).select(*ARTICLE_COLUMNS)
 
 
-def _stored(spark: SparkSession, table: str) -> DataFrame:
+def _read(reader: Callable[[str], DataFrame], path: str) -> DataFrame | None:
     try:
-        return spark.read.schema(_STORED).parquet(table)
+        return reader(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], _STORED)
+        return None
+
+
+def _last_merge(spark: SparkSession, table: str) -> tuple[int, dict[str, int]]:
+    """The number of the last committed merge, and of each ledger the last batch that is in it."""
+    found = _read(spark.read.schema(_GENERATION).json, f"{table}/{_GENERATIONS}")
+    rows = [] if found is None else found.collect()  # a row per ledger and merge
+    last = max((r["generation"] for r in rows), default=0)
+    return last, {r[_LEDGER]: r[_BATCH] for r in rows if r["generation"] == last}
+
+
+def _files(spark: SparkSession, table: str) -> DataFrame:
+    """All rows below the table, those of replaced or unfinished folders included."""
+    found = _read(spark.read.schema(_STORED).parquet, table)
+    return spark.createDataFrame([], _STORED) if found is None else found
+
+
+def _visible(spark: SparkSession, table: str) -> Column:
+    """Which folders are the table: the last merge, and of each ledger the batches after it."""
+    last, merged = _last_merge(spark, table)
+    later = [(F.col(_LEDGER) != name) | (F.col(_BATCH) > batch) for name, batch in merged.items()]
+    batches = reduce(and_, later, F.col(_LEDGER) != _MERGED)
+    return batches | ((F.col(_LEDGER) == _MERGED) & (F.col(_BATCH) == last))
+
+
+def _stored(spark: SparkSession, table: str) -> DataFrame:
+    return _files(spark, table).where(_visible(spark, table))
+
+
+def id_filter(ids: DataFrame, key: str = DOC_ID) -> Column:
+    """A condition on ``key`` that holds for all of ``ids``, and that the files of a table can answer.
+
+    Few ids are named, so that bloom filters and pages are asked for each. More are covered by at
+    most ``ID_RANGES`` ranges, cut at the widest gaps between occupied cells of their span; statistics
+    of row groups outside these ranges leave them unread. NULL ids are asked for if there are any.
+    ``ids`` is read up to three times.
+    """
+    known = ids.where(F.col(key).isNotNull())
+    few = [r[0] for r in known.select(key).distinct().limit(LISTED_IDS + 1).collect()]
+    if len(few) <= LISTED_IDS:
+        found = one_of(key, few)
+    else:
+        low, high = known.agg(F.min(key), F.max(key)).first()
+        width = (high - low) // ID_CELLS + 1
+        # The difference of two longs may not fit in one.
+        cell = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).alias("cell")
+        cells = known.groupBy(cell).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+        spans = sorted((r["first"], r["last"]) for r in cells.collect())  # ID_CELLS rows and one more
+        gaps = sorted(range(1, len(spans)), key=lambda i: spans[i - 1][1] - spans[i][0])
+        cuts = [0, *sorted(gaps[: ID_RANGES - 1]), len(spans)]
+        ranges = [F.col(key).between(spans[a][0], spans[b - 1][1]) for a, b in zip(cuts, cuts[1:])]
+        found = reduce(or_, ranges)
+    return found if ids.where(F.col(key).isNull()).isEmpty() else found | F.col(key).isNull()
+
+
+def merge_batches(
+    spark: SparkSession, table: str, records_per_file: int = MERGED_RECORDS_PER_FILE
+) -> int:
+    """Write the batches of the table, and what was merged before, as large files in id order.
+
+    Returns the number of folders that it replaced; fewer than two are left as they are. Rows are
+    split by ranges of ids, so that the ids of a batch meet few files; rows without a numeric id are
+    ordered by ``pmid``. One small file commits the merge: until it is there readers see the old
+    folders, and from then on the new one alone, so a merge that is stopped loses and repeats
+    nothing, and the next one deletes what it left. A batch that is repeated after a merge finds its
+    rows stored. Must not run beside an ingest into the same table, nor beside its readers, whose files
+    it deletes.
+    """
+    last, _ = _last_merge(spark, table)
+    files = _files(spark, table)
+    folders = files.groupBy(_LEDGER, _BATCH).count().collect()  # a row per batch since the last merge
+    batches = [(r[_LEDGER], r[_BATCH]) for r in folders if r[_LEDGER] != _MERGED]
+    stored = _stored(spark, table)
+    replaced = [r for r in stored.groupBy(_LEDGER, _BATCH).count().collect()]
+    if len(replaced) >= 2:
+        rows = sum(r["count"] for r in replaced)
+        ranges = stored.repartitionByRange(-(-rows // records_per_file), DOC_ID, "pmid")
+        number = max([last, *(r[_BATCH] for r in folders if r[_LEDGER] == _MERGED)]) + 1
+        write_articles(ranges, f"{table}/{_LEDGER}={_MERGED}/{_BATCH}={number}", mode="overwrite")
+        ends = {name: max(b for n, b in batches if n == name) for name, _ in batches}
+        commit = spark.createDataFrame(list(ends.items()), _GENERATION.fieldNames()[:2]).coalesce(1)
+        commit.write.mode("overwrite").json(f"{table}/{_GENERATIONS}/generation={number}")
+    # Folders that readers do not see any more, of this merge and of stopped ones.
+    last, merged = _last_merge(spark, table)
+    for name, batch in {(r[_LEDGER], r[_BATCH]) for r in folders}:
+        if batch != last if name == _MERGED else batch <= merged.get(name, -1):
+            remove_folder(spark, f"{table}/{_LEDGER}={name}/{_BATCH}={batch}")
+    return len(replaced) if len(replaced) >= 2 else 0
 
 
 def _ledger_id(spark: SparkSession, checkpoint: str) -> str:
@@ -66,8 +173,10 @@ def ingest_new_files(
     micro-batch keeps the first copy of every id by file name and place in the file, drops ids that
     are stored already, whichever ledger brought them, and overwrites a folder named after its
     ledger and its number, so that a batch repeated after a failure replaces what it left behind
-    and nothing else. Ledgers of one table must not run at the same time. ``clean_source`` is ``off``, ``archive`` (with a folder) or ``delete``, and is applied to files
-    whose batch is committed.
+    and nothing else. Ids are compared with the stored rows that :func:`id_filter` leaves, so a batch of
+    neighbouring or few ids reads little of a large table, least after :func:`merge_batches`. Ledgers of
+    one table must not run at the same time. ``clean_source`` is ``off``, ``archive`` (with a folder) or
+    ``delete``, and is applied to files whose batch is committed.
     """
     options = {**record_options(pattern), "cleanSource": clean_source}
     if archive:
@@ -80,10 +189,11 @@ def ingest_new_files(
         articles = parse_records(records.hint("rebalance") if rebalance else records).persist()
         ledger = _ledger_id(batch.sparkSession, checkpoint)
         own = (F.col(_LEDGER) == ledger) & (F.col(_BATCH) == batch_id)
-        others = _stored(batch.sparkSession, table).where(~own)
-        added = insert_or_ignore(others, articles, "pmid", SOURCE_ORDER)
         folder = f"{table}/{_LEDGER}={ledger}/{_BATCH}={batch_id}"
         try:
+            # Rows of equal pmid have equal ids, so rows outside the filter cannot be known ones.
+            others = _stored(batch.sparkSession, table).where(~own).where(id_filter(articles))
+            added = insert_or_ignore(others, articles, "pmid", SOURCE_ORDER)
             write_articles(added, folder, mode="overwrite")
         finally:
             articles.unpersist()
