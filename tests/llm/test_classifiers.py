@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from vectrail.llm import lang_cnn, quality_fm, toxicity_pu
-from vectrail.llm.folds import held_out
+from vectrail.llm import folds, lang_cnn, quality_fm, toxicity_pu
+from vectrail.llm.folds import bounded_sample, held_out
 
 SMALL = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, score string, label string"
@@ -90,6 +90,79 @@ def test_factorisation_equals_sum_over_pairs():
     assert abs(logit - expected) < 1e-9
 
 
+def nnpu_rows(some, n):
+    forms = [np.unique(some.integers(0, 5, some.integers(0, 5))) for _ in range(n)]
+    return toxicity_pu.Rows(some.normal(size=(n, toxicity_pu.INPUTS)), forms, 5), forms
+
+
+@pytest.mark.parametrize("prior, turned", [(0.1, False), (0.5, True)])
+def test_nnpu_risk_and_gradient_equal_a_plain_version(prior, turned):
+    some = np.random.default_rng(9)
+    (positive, forms_p), (unlabelled, forms_u) = nnpu_rows(some, 7), nnpu_rows(some, 9)
+    if turned:  # what is unlabelled is scored low, and the positives high
+        positive.inputs[:, 0], unlabelled.inputs[:, 0] = 9, -9
+    weight = some.normal(size=toxicity_pu.INPUTS + 5) * 0.3
+    weight[0] = 1.0
+
+    def score(rows, forms, i, weight):
+        known = sum(weight[toxicity_pu.INPUTS + f] for f in forms[i]) / max(1, len(forms[i])) ** 0.5
+        return sum(a * b for a, b in zip(rows.inputs[i], weight)) + known
+
+    def loss(x):  # of a score taken as positive
+        return float(np.log(1 + np.exp(-x)))
+
+    def risks(weight):
+        p = [score(positive, forms_p, i, weight) for i in range(7)]
+        u = [score(unlabelled, forms_u, i, weight) for i in range(9)]
+        first = prior * sum(map(loss, p)) / 7
+        return first, sum(loss(-x) for x in u) / 9 - prior * sum(loss(-x) for x in p) / 7
+
+    found_p, found_n, gradient = toxicity_pu.nnpu_step(weight, positive, unlabelled, prior)
+    assert np.allclose((found_p, found_n), risks(weight)) and (found_n < 0) == turned
+    for i in range(len(weight)):
+        step = np.zeros(len(weight))
+        step[i] = 1e-5
+        up, down = risks(weight + step), risks(weight - step)
+        plain = -(up[1] - down[1]) if turned else sum(up) - sum(down)
+        assert abs(gradient[i] - plain / 2e-5) < 1e-6
+
+
+def test_words_are_known_wherever_they_stand(spark, docs):
+    forms = lambda text: set(toxicity_pu.word_forms(text))
+    assert forms("idiot") <= forms("fine,idiot") and forms("idiot") <= forms("x" * 10_000 + "idiot")
+    assert forms("\u50bb\u74dc") <= forms("\u4f60" * 70 + "\u50bb\u74dc")
+    assert not forms("...") and not forms("")
+    truth = labels(spark, "toxic")
+    model = toxicity_pu.train_toxicity_model(docs, truth.where("label = 1"), 0.1)
+    words = "idiot scum pathetic loser"
+    filler = "abcdefghijklmnopqrstuvwxyz" * 400
+    texts = [words, words.replace(" ", ","), filler + words.replace(" ", ""), filler, "", "fine," * 2000 + words.replace(" ", "-")]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = dict(toxicity_pu.score_toxicity(asked, model).collect())
+    assert min(scores[0], scores[1], scores[2], scores[5]) >= 0.7 and max(scores[3], scores[4]) < 0.5
+
+
+def test_shapes_and_hashes_of_words_are_of_the_whole():
+    slots = quality_fm._Slots()
+    assert slots[b"a" * 70 + b"#"] != slots[b"a" * 70 + b"9"]
+    assert slots[b"a" * 70 + b"#"][1] == slots[b"b#"][1]
+
+
+def test_a_bounded_sample_is_the_lowest_hashes_whatever_the_cells(spark):
+    rows = spark.range(0, 20_000, 1, 64).selectExpr("if(id % 3 = 0, -7, id) AS key", "id")
+    mixed = F.xxhash64("key", F.lit(5))
+    for n in (1, 10, 300, 5000, 50_000):
+        whole = [r["key"] for r in rows.orderBy(mixed, "key").limit(n).select("key").collect()]
+        assert [r["key"] for r in bounded_sample(rows, "key", n, 5).collect()] == whole
+    # What reaches the last task is bounded however many partitions there are, also far down the cells.
+    bound = folds._hash_bound(rows.where("key >= 0").select(mixed.alias("hash")), 10)
+    assert 10 <= rows.where("key >= 0").where(mixed <= bound).count() <= 40
+    narrow = spark.range(0, 5000).selectExpr("id - 9000000000000000000 AS hash")
+    bound = folds._hash_bound(narrow, 10)
+    assert 10 <= narrow.where(F.col("hash") <= bound).count() <= 40
+    assert folds._hash_bound(narrow.limit(0), 10) is None and bounded_sample(rows.limit(0), "key", 3, 1).count() == 0
+
+
 def test_lookups_equal_the_network():
     model = lang_cnn.ByteCNN(["a", "b", "c"])
     windows = np.random.default_rng(1).integers(0, 256, (5, lang_cnn.WINDOW)).astype(np.uint8)

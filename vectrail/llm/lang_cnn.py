@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm.folds import bounded_sample, held_out
+from vectrail.scratch import written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -136,7 +137,8 @@ def cut_windows(data: bytes) -> np.ndarray:
 def _sample_windows(docs: DataFrame, per_language: int, windows: int, seed: int) -> pd.DataFrame:
     """Up to ``windows`` spread windows of up to ``per_language`` documents of each language."""
     labelled = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    ids = labelled.select("doc_id", "lang")
+    # Texts are read for their letters once, however many languages there are.
+    ids = written(labelled.select("doc_id", "lang"), "labelled-ids")
     counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for lang in sorted(counts):

@@ -38,7 +38,7 @@ class _Slots(dict):
     """The two slots of a word: itself and its shape with runs shortened."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        shape = _RUNS.sub(rb"\1", word[:64].translate(_SHAPE))
+        shape = _RUNS.sub(rb"\1", word.translate(_SHAPE))
         slots = (zlib.crc32(word) % SLOTS, zlib.crc32(b"\0" + shape) % SLOTS)
         if len(word) <= 64:
             if len(self) >= CACHED:
