@@ -242,7 +242,7 @@ def incremental_merge(spark, sf_dir):
     seen = first
     write_xml(first, source, compression="gzip")
     for wave, prefix in (("second wave", "new"), ("third wave", "last")):
-        ingest_new_files(spark, source, table, ledger, max_files_per_batch=2)
+        ingest_new_files(spark, source, table, ledger, max_files_per_batch=8)
         merge_batches(spark, table)
         again = seen.withColumn("title", F.lit(wave))
         fresh = first.withColumn("title", F.lit(wave)).withColumn("pmid", F.concat(F.lit(prefix), "pmid"))

@@ -97,22 +97,22 @@ def id_filter(ids: DataFrame, key: str = DOC_ID) -> Column:
     of row groups outside these ranges leave them unread. NULL ids are asked for if there are any.
     ``ids`` is read up to three times.
     """
-    known = ids.where(F.col(key).isNotNull())
-    few = [r[0] for r in known.select(key).distinct().limit(LISTED_IDS + 1).collect()]
+    low, high, n, known = ids.agg(F.min(key), F.max(key), F.count("*"), F.count(key)).first()
+    few = [] if low is None else ids.select(key).distinct().limit(LISTED_IDS + 1).collect()
     if len(few) <= LISTED_IDS:
-        found = one_of(key, few)
+        found = one_of(key, (r[0] for r in few if r[0] is not None))
     else:
-        low, high = known.agg(F.min(key), F.max(key)).first()
         width = (high - low) // ID_CELLS + 1
         # The difference of two longs may not fit in one.
         cell = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).alias("cell")
-        cells = known.groupBy(cell).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+        cells = ids.where(F.col(key).isNotNull()).groupBy(cell)
+        cells = cells.agg(F.min(key).alias("first"), F.max(key).alias("last"))
         spans = sorted((r["first"], r["last"]) for r in cells.collect())  # ID_CELLS rows and one more
         gaps = sorted(range(1, len(spans)), key=lambda i: spans[i - 1][1] - spans[i][0])
         cuts = [0, *sorted(gaps[: ID_RANGES - 1]), len(spans)]
         ranges = [F.col(key).between(spans[a][0], spans[b - 1][1]) for a, b in zip(cuts, cuts[1:])]
         found = reduce(or_, ranges)
-    return found if ids.where(F.col(key).isNull()).isEmpty() else found | F.col(key).isNull()
+    return found if known == n else found | F.col(key).isNull()
 
 
 def merge_batches(
