@@ -1,10 +1,11 @@
 """The similarity join against all pairs."""
 
 import random
+import tracemalloc
 
 import pytest
 
-from vectrail.llm import jaccard_join
+from vectrail.llm import hashing, jaccard_join
 from vectrail.llm.components import stars
 
 SCHEMA = "doc_id long, text string, set_id string, name string"
@@ -64,6 +65,31 @@ def test_repeated_and_missing_ids_and_no_rows(spark):
     assert jaccard_join.similarity_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_long_texts_give_the_same_sets(monkeypatch):
+    some = random.Random(9)
+    words = ["W%dé" % n for n in range(50)] + ["x" * 40]
+    texts = [" ".join(some.choices(words, k=n)).encode() for n in (0, 1, 2, 3, 30, 400, 7, 900)]
+    texts += [b"", b" " * 90, b"y" * 300, b" " + b"z" * 64, b"a b " * 200]
+    want = jaccard_join.shingle_sets(texts, 5, long=1 << 30)
+    for stretch in (1, 2, 7, 64):
+        monkeypatch.setattr(hashing, "STRETCH", stretch)
+        monkeypatch.setattr(jaccard_join, "CHUNK", 11 * stretch)
+        for long in (1 << 30, 100, 0):
+            for a, b in zip(want, jaccard_join.shingle_sets(texts, 5, long=long)):
+                assert len(a) == len(b) and (a == b).all()
+
+
+def test_memory_of_a_long_text():
+    some = random.Random(10)
+    words = [b"w%d" % n for n in range(100_000)]
+    text = b" ".join(some.choices(words, k=2_400_000))  # 16 MB, its shingles all different
+    tracemalloc.start()
+    hashes, _ = jaccard_join.shingle_sets([text], 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hashes) > 2_390_000 and peak < 7 * len(text), peak / len(text)
+
+
 def test_two_sets_that_link_share_a_part():
     some = random.Random(8)
     for _ in range(300):

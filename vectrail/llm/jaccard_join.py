@@ -33,20 +33,69 @@ FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 _TURN = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def shingle_sets(texts: list[bytes], width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    total = np.zeros(max(len(words) - width + 1, 0), dtype=np.uint64)
+    for j in range(width):
+        total = mix(total * _TURN[0] + words[j : j + len(total)] * _TURN[1])
+    return total
+
+
+def _long_set(text: bytes, width: int) -> np.ndarray:
+    """The set of one long text, made of the sets of stretches of its words."""
+    words = word_hashes(text, lower=True)[1]
+    if len(words) < width:
+        return shingle_sets([text], width, long=len(text))[0]
+    parts, held, least = [], 0, CHUNK
+    for at in range(0, len(words) - width + 1, CHUNK):
+        parts.append(np.unique(_shingles(words[at : at + CHUNK + width - 1], width)))
+        held += len(parts[-1])
+        # Sets are joined when they have grown to what is there, so repeated shingles take no memory.
+        if held >= least:
+            parts = [_united(parts)]
+            held = len(parts[0])
+            least = max(CHUNK, 2 * held)
+    del words
+    return _united(parts)
+
+
+def _united(sets: list[np.ndarray]) -> np.ndarray:
+    """The union of sets; empties the list, so that no more than two copies are there at once."""
+    if len(sets) == 1:
+        return sets[0]
+    every = np.concatenate(sets)
+    sets.clear()
+    every.sort()
+    return every[np.concatenate([[True], every[1:] != every[:-1]])]
+
+
+def shingle_sets(texts: list[bytes], width: int = 3, long: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one text behind another, and their bounds.
 
     A-Z is lowered; words are what ASCII white space parts. A text with fewer words than ``width``
-    has its whole sequence as one shingle, one without words has none.
+    has its whole sequence as one shingle, one without words has none. Texts of more than ``long``
+    bytes are taken one by one, in stretches.
     """
+    if any(len(t) > long for t in texts):
+        sets, sizes, few = [], [], []
+        for text in [*texts, None]:
+            if text is not None and len(text) <= long:
+                few.append(text)
+                continue
+            if few:
+                hashes, bounds = shingle_sets(few, width, long)
+                sets.append(hashes)
+                sizes.extend(np.diff(bounds))
+                few = []
+            if text is not None:
+                sets.append(_long_set(text, width))
+                sizes.append(len(sets[-1]))
+        return np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     sizes = np.array([len(t) + 1 for t in texts])
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    starts, words = word_hashes(b"\n".join(texts).lower() + b"\n")
+    starts, words = word_hashes(b"\n".join([*texts, b""]), lower=True)
     owner = np.searchsorted(begins, starts, "right") - 1
     count = np.bincount(owner, minlength=len(texts))
-    total = np.zeros(max(len(words) - width + 1, 0), dtype=np.uint64)
-    for j in range(width):
-        total = mix(total * _TURN[0] + words[j : j + len(total)] * _TURN[1])
+    total = _shingles(words, width)
     whole = owner[: len(total)] == owner[width - 1 :][: len(total)]
     hashes, owners = total[whole], owner[: len(total)][whole]
     short = np.flatnonzero((count > 0) & (count < width))
