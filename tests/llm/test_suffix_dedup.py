@@ -74,6 +74,30 @@ def test_equals_brute_force_in_many_units_and_ranges(spark, monkeypatch, seed):
     assert order(found) == order(brute(rows))
 
 
+def test_shares_of_ranges_find_the_same(spark, monkeypatch):
+    for name, value in (("UNIT", 3000), ("LOOKUP", 4000), ("SORT", 500), ("LEADS", 60), ("PER_CUT", 20)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = corpus(3)
+    ranges = -(-sum(len((r[1] or "").encode()) for r in rows) // 500)
+    assert suffix_dedup.shares(ranges) == (3, -(-ranges // 3)) and ranges > 30
+    found = [
+        (r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))
+        for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    ]
+    assert order(found) == order(brute(rows))
+
+
+@pytest.mark.parametrize("ranges", [1, 3000, 60_000, 12_500_000])
+def test_splitters_of_very_many_ranges_fill_none(ranges):
+    parted, share = suffix_dedup.shares(ranges)
+    assert ranges <= parted * share < ranges + parted
+    lead = np.sort(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, suffix_dedup.LEADS))
+    cuts, filled = suffix_dedup.split(lead, parted)
+    assert len(cuts) == parted - 1 and not len(filled)
+    lead[20_000:24_000] = lead[20_000]  # a beginning that a twelfth of all suffixes have
+    assert parted == 1 or suffix_dedup.split(lead, parted)[1].tolist() == [lead[20_000]]
+
+
 def test_no_rows(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -88,6 +112,22 @@ def test_multikey_sort_orders_and_groups():
     assert [a[:4] == b[:4] for a, b in zip(rows, rows[1:])] == [int(a) == int(b) for a, b in zip(run, run[1:])]
 
 
+def test_multikey_sort_of_large_and_odd_inputs():
+    some = np.random.default_rng(4)
+    for chars, tie in (
+        (np.zeros((0, 3), np.uint64), np.zeros(0, np.int64)),
+        (np.full((1, 2), 2**64 - 1, np.uint64), np.array([-1])),
+        (np.zeros((5000, 3), np.uint64), some.integers(-(2**63), 2**63 - 1, 5000)),
+        (np.sort(some.integers(0, 2**64, (20_000, 2), dtype=np.uint64), axis=0), np.arange(20_000)[::-1]),
+        (some.integers(0, 2**64, (20_000, 1), dtype=np.uint64) >> np.uint64(50), np.zeros(20_000, np.int64)),
+    ):
+        order, run = suffix_dedup.multikey_sort(chars, tie)
+        keys = (tie, *(chars[:, i] for i in reversed(range(chars.shape[1]))))
+        assert (order == np.lexsort(keys)).all()  # stable, so equal throughout
+        new = (chars[order][1:] != chars[order][:-1]).any(axis=1)
+        assert (np.diff(run) == new).all()
+
+
 def test_every_string_has_one_token_start_and_equal_ones_the_same():
     some = random.Random(5)
     texts = [bytes(some.choices(b"ab ", k=some.randint(0, 300))) for _ in range(20)]

@@ -5,7 +5,8 @@ there is smallest among all places within the string. Equal strings have it at t
 suffixes at token starts are sorted, each with the bytes around it that its strings cover. Those whose
 leading bytes no other text has are left out first. The others are dealt to ranges by sampled splitters
 of their leading bytes, sorted in each range by multikey quicksort, and neighbours tell which
-strings are equal. Suffixes with a beginning so frequent that it fills whole ranges would be parted by
+strings are equal. Equal leading bytes fall on one side of a splitter, so the ends of two ranges never
+hold the same string, with one exception. Suffixes with a beginning so frequent that it fills whole ranges would be parted by
 the boundaries; their strings are dealt by hash and compared across all ranges.
 
 Texts stay in units of some megabytes. Between the steps, numbers of many suffixes travel as packed
@@ -35,6 +36,8 @@ STRETCH = 1 << 18
 STRINGS = 1 << 17
 #: Documents of the sample that gives splitters, and in how many of them a beginning is frequent.
 SAMPLE, FREQUENT, LEADS = 4000, 6, 50_000
+#: Sampled beginnings for each splitter at least. Ranges beyond that are shares of one by hash.
+PER_CUT = 16
 _LOW, _SIGN = np.uint64((1 << 24) - 1), np.uint64(1 << 63)
 
 
@@ -89,28 +92,57 @@ def token_starts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def multikey_sort(chars: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of rows of 8-byte characters, equal ones by ``tie``, and the run of equal rows that
-    each ordered row is in. Each level sorts all runs that are still equal by their next character."""
-    order = np.argsort(chars[:, 0], kind="stable")
-    first = chars[order, 0]
-    run = np.cumsum(np.concatenate([[0], first[1:] != first[:-1]])) if len(order) else order
-    for level in [*range(1, chars.shape[1]), None]:
-        equal = np.zeros(len(order), dtype=bool)
-        same = run[1:] == run[:-1]
-        equal[1:] |= same
-        equal[:-1] |= same
-        open_rows = np.flatnonzero(equal)
-        if not len(open_rows):
+    each ordered row is in.
+
+    Multikey quicksort: each open segment is parted in three about a pivot character of its level;
+    smaller and larger rows stay at the level, equal ones go to the next, ``tie`` being the last.
+    All open segments take a step at once. Rows that are equal throughout keep their order.
+    """
+    levels = chars.shape[1]
+    order = np.arange(len(chars))
+    begin, size, level = np.array([0]), np.array([len(chars)]), np.array([0])
+    turn = 0
+    while True:
+        still = (size > 1) & (level <= levels)
+        begin, size, level = begin[still], size[still], level[still]
+        if not len(begin):
             break
-        rows, runs = order[open_rows], run[open_rows]
-        value = tie[rows] if level is None else chars[rows, level]
-        moved = np.lexsort((value, runs))
-        order[open_rows] = rows[moved]
-        if level is not None:
-            value = value[moved]
-            split = np.zeros(len(order), dtype=np.int64)
-            split[open_rows[1:]] = (runs[1:] == runs[:-1]) & (value[1:] != value[:-1])
-            run = run + np.cumsum(split)
-    return order, run
+        turn += 1
+        offset = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(begin)), size)
+        places = np.arange(len(segment)) + (begin - offset)[segment]
+        rows = order[places]
+        value = _characters(chars, tie, rows, level[segment])
+        # The median of three drawn places; drawn, so that no order of rows is slow.
+        draws = mix(begin.astype(np.uint64) + (np.arange(3, dtype=np.uint64) + np.uint64(3 * turn))[:, None] * _LOW)
+        three = value[offset + (draws % size.astype(np.uint64)).astype(np.int64)]
+        pivot = np.sort(three, axis=0)[1][segment]
+        sides = (value < pivot, value == pivot, value > pivot)
+        at, kept = begin, []
+        for side, where in enumerate(sides):
+            number = np.add.reduceat(where, offset, dtype=np.int64)
+            picked = np.flatnonzero(where)
+            to = np.arange(len(picked)) - (np.cumsum(number) - number)[segment[picked]] + at[segment[picked]]
+            order[to] = rows[picked]
+            kept.append((at, number, level + (side == 1)))
+            at = at + number
+        begin, size, level = (np.concatenate(x) for x in zip(*kept))
+        sort = np.argsort(begin, kind="stable")
+        begin, size, level = begin[sort], size[sort], level[sort]
+    differs = np.zeros(len(order), dtype=bool)
+    for character in range(levels):
+        ordered = chars[order, character]
+        differs[1:] |= ordered[1:] != ordered[:-1]
+    return order, np.cumsum(differs)
+
+
+def _characters(chars: np.ndarray, tie: np.ndarray, rows: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The character of each row at its level; behind the last one, its ``tie``."""
+    levels = chars.shape[1]
+    value = chars[rows, np.minimum(level, levels - 1)]
+    behind = np.flatnonzero(level == levels)
+    value[behind] = tie[rows[behind]].astype(np.int64).view(np.uint64) ^ _SIGN
+    return value
 
 
 def _first_of_run(run: np.ndarray) -> np.ndarray:
@@ -226,6 +258,20 @@ def _by(group: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(group[pick[0]]), *(c[pick] for c in columns)
 
 
+def shares(ranges: int) -> tuple[int, int]:
+    """Ranges that ``LEADS`` sampled beginnings can part, and into how many shares each is dealt by the
+    hash of its keys, so that there are ``ranges`` tasks at least, however large the table is."""
+    parted = min(ranges, max(1, LEADS // PER_CUT))
+    return parted, -(-ranges // parted)
+
+
+def split(lead: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Splitters of ordered sampled beginnings, and the beginnings that fill whole ranges."""
+    cuts = lead[(np.arange(1, ranges) * len(lead)) // ranges] if len(lead) else lead
+    values, times = np.unique(cuts, return_counts=True)
+    return values, values[times > 1]
+
+
 def _splitters(texts: DataFrame, ranges: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Splitters of the leading bytes, the beginnings that fill whole ranges, and frequent keys, all
     from the texts of at most ``SAMPLE`` documents. They decide where work is done, not what is found."""
@@ -246,11 +292,10 @@ def _splitters(texts: DataFrame, ranges: int, seed: int) -> tuple[np.ndarray, np
     often = rows.groupBy("key").agg(F.count_distinct("rid").alias("n")).where(F.col("n") >= FREQUENT)
     often = often.orderBy(F.desc("n"), "key").limit(LEADS).select("key").toPandas()
     lead = np.sort(bounded_sample(rows, "key", LEADS, seed).select("lead").toPandas()["lead"].to_numpy(np.int64))
-    cuts = lead[(np.arange(1, ranges) * len(lead)) // ranges] if len(lead) else lead
-    values, times = np.unique(cuts, return_counts=True)
+    values, filled = split(lead, ranges)
     turned = lambda x: x.view(np.uint64) ^ _SIGN
     frequent = np.sort(often["key"].to_numpy(np.int64).view(np.uint64))
-    return turned(values), turned(values[times > 1]), frequent
+    return turned(values), turned(filled), frequent
 
 
 def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -276,7 +321,9 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
     texts = texts.withColumn("has_id", F.col("doc_id").isNotNull()).fillna(0, ["doc_id"])
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units, lookups, ranges = (max(1, -(-total // size)) for size in (UNIT, LOOKUP, SORT))
-    cuts, filled, frequent = _splitters(texts, ranges, seed)
+    parted, share = shares(ranges)
+    ranges = parted * share
+    cuts, filled, frequent = _splitters(texts, parted, seed)
     shared = docs.sparkSession.sparkContext.broadcast((cuts, filled, frequent))
     in_units = texts.withColumn("unit", F.pmod("rid", F.lit(units)).cast("int"))
 
@@ -368,7 +415,7 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
             at = np.minimum(np.searchsorted(rids[by_rid], asked_r), len(rids) - 1)
             own = rids[by_rid][at] == asked_r
             take[begin[by_rid[at[own]]] + asked_n[own]] = True
-            place, first, last, doc = place[take], first[take], last[take], doc[take]
+            place, first, last, doc, keys = place[take], first[take], last[take], doc[take], keys[take]
             if not len(place):
                 continue
             rows = suffix_rows(data, place, first, last)
@@ -379,7 +426,9 @@ def remove_repeats(docs: DataFrame, seed: int = 8) -> DataFrame:
             known = np.zeros(len(rows), dtype=bool)
             known[order] = of[order] > of[order[_first_of_run(run)]]
             lead = _leading(rows)
-            task = np.searchsorted(cuts, lead, "right").astype(np.int64)
+            # Strings that are equal share their key, so shares of a range need not meet.
+            task = np.searchsorted(cuts, lead, "right").astype(np.int64) * share
+            task += (mix(keys) % np.uint64(share)).astype(np.int64)
             over = _is_in(lead, filled) & ~known
             for range_, r, o, i, p, k in _by(task[~over], *(x[~over] for x in (rows, of, rid, at, known))):
                 out.append((range_, _pack(r[~k], o[~k], i[~k], p[~k], r[k][:, -2:], i[k], p[k])))
