@@ -75,6 +75,31 @@ def test_one_source_and_repeated_rows(spark):
     assert len(found) == 4 and sum(r["taken"] for r in found) == 7
 
 
+def test_equal_and_null_ids_are_dealt_to_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cube_mix, "EQUALS", 50)
+    made = [(None, "one two", "a", "", "")] * 700 + [(5, "w " * (i % 9), "a", "", "") for i in range(700)]
+    made += [(i, "three more words", "b", "", "") for i in range(400)]
+    df = spark.createDataFrame(made, SCHEMA)
+    numbered = cube_mix._numbered(df.select("doc_id", cube_mix.word_count(df["text"]).alias("words")))
+    equal = numbered.where("doc_id is null").select("nth").collect()
+    assert sorted(r["nth"] for r in equal) == list(range(700))
+    blocks, fly = [], cube_mix._fly
+
+    def seen(rows, level, count, last, seed):
+        if level == 0:
+            block = cube_mix.F.pmod(cube_mix.F.xxhash64("doc_id", "size", "nth", cube_mix.F.lit(seed)), count)
+            blocks.extend(r["count"] for r in rows.groupBy("source", block.alias("at")).count().collect())
+        return fly(rows, level, count, last, seed)
+
+    monkeypatch.setattr(cube_mix, "_fly", seen)
+    found = cube_mix.mix(df, block=64).collect()
+    assert len(found) == len(made) and max(blocks) < 3 * 64
+    sizes = {"a": sum(len((r[1]).split()) for r in made if r[2] == "a"), "b": 1200}
+    want, taken = targets(sizes), sum(r["taken"] for r in found)
+    assert abs(taken - sum(want.values())) <= 12
+    assert sorted(map(str, found)) == sorted(map(str, cube_mix.mix(df.repartition(7), block=64).collect()))
+
+
 def test_no_rows_and_no_words(spark):
     assert cube_mix.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     found = cube_mix.mix(spark.createDataFrame([(1, " ", "s", "", ""), (2, None, None, "", "")], SCHEMA)).collect()

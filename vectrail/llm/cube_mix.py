@@ -21,6 +21,8 @@ from vectrail.scratch import written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 4096
+#: Equal rows that are numbered at once.
+EQUALS = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -114,17 +116,32 @@ def land(sizes: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return out
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The same rows with the number ``nth`` of each among its equals.
+
+    Equal rows stand for each other, so they are counted in the map tasks and written out again, in
+    stretches that are dealt to all tasks: no task sees all rows of an id.
+    """
+    counted = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "counted")
+    begin = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(EQUALS))).alias("begin")
+    stretches = counted.select(*rows.columns, "n", begin)
+    few = stretches.where(F.col("n") <= EQUALS)
+    many = stretches.where(F.col("n") > EQUALS).repartition(*rows.columns, "begin")
+    end = F.least("n", F.col("begin") + EQUALS) - 1
+    return few.unionByName(many).select(*rows.columns, F.explode(F.sequence("begin", end)).alias("nth"))
+
+
 def _fly(rows: DataFrame, level: int, blocks: Column, last: bool, seed: int) -> DataFrame:
     """One level: each block of a source moves on its own."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "no_id", "chance"], kind="stable")
+        rows = rows.sort_values(["size", "doc_id", "no_id", "nth", "chance"], kind="stable")
         sizes = rows["size"].to_numpy()
         key = [seed, level, int(rows["block"].iloc[0]), len(rows), int(sizes.sum())]
         chance = flight(sizes, rows["chance"].to_numpy(), np.random.default_rng(key))
         return rows.assign(chance=land(sizes, chance) if last else chance)
 
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed + level)), blocks).cast("long")
+    block = F.pmod(F.xxhash64("doc_id", "size", "nth", F.lit(seed + level)), blocks).cast("long")
     dealt = rows.withColumn("block", block)
     return dealt.groupBy("source", "block").applyInPandas(one, dealt.schema).drop("block")
 
@@ -142,8 +159,8 @@ def mix(
 
     Null texts have size 0, a null source is a source of its own, repeated rows are documents of
     their own, and other columns are ignored. An empty table gives an empty one. Texts do not
-    leave the scan. A source is dealt to as many blocks as its documents need, so none is gathered
-    in one task. The same rows give the same mix, however they are partitioned. A document without words
+    leave the scan. A source is dealt to as many blocks as its documents need, by id, size and number
+    among equal rows, so neither a source nor an id is gathered in one task. The same rows give the same mix, however they are partitioned. A document without words
     can be taken without effect and stays out of the balancing.
     """
     spark = docs.sparkSession
@@ -156,21 +173,21 @@ def mix(
         "source",
         word_count(F.col("text")).alias("size"),
     )
-    sizes = written(named, "sizes")
+    sizes = _numbered(named)
     targets = written(source_targets(sizes, weights, most, share), "targets")
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     # One row per source and share of its documents, so that a large source meets many tasks.
     dealt = targets.withColumnRenamed("source", "of").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
     )
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id", "size", "nth"), F.lit(spread)).cast("int")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     found = (
         sizes.withColumn("here", part)
         .join(dealt, F.col("source").eqNullSafe(F.col("of")) & (F.col("here") == F.col("part")))
         .withColumn("copies", F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("int"))
         .withColumn("chance", F.when(F.col("size") > 0, rate - F.col("copies")).otherwise(0.0))
-        .select("doc_id", "no_id", "source", "size", "source_size", "n_docs", "target", "copies", "chance")
+        .select("doc_id", "no_id", "nth", "source", "size", "source_size", "n_docs", "target", "copies", "chance")
     )
     settled: list[DataFrame] = []
     level, blocks = 0, -(-largest // block)
