@@ -100,6 +100,7 @@ def multikey_sort(chars: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.nd
     """
     levels = chars.shape[1]
     order = np.arange(len(chars))
+    new_run = np.zeros(len(chars), dtype=bool)
     begin, size, level = np.array([0]), np.array([len(chars)]), np.array([0])
     turn = 0
     while True:
@@ -110,30 +111,24 @@ def multikey_sort(chars: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.nd
         turn += 1
         offset = np.cumsum(size) - size
         segment = np.repeat(np.arange(len(begin)), size)
-        places = np.arange(len(segment)) + (begin - offset)[segment]
-        rows = order[places]
+        rows = order[np.arange(len(segment)) + (begin - offset)[segment]]
         value = _characters(chars, tie, rows, level[segment])
         # The median of three drawn places; drawn, so that no order of rows is slow.
         draws = mix(begin.astype(np.uint64) + (np.arange(3, dtype=np.uint64) + np.uint64(3 * turn))[:, None] * _LOW)
         three = value[offset + (draws % size.astype(np.uint64)).astype(np.int64)]
         pivot = np.sort(three, axis=0)[1][segment]
-        sides = (value < pivot, value == pivot, value > pivot)
-        at, kept = begin, []
-        for side, where in enumerate(sides):
+        less, more = value < pivot, value > pivot
+        at, parts = begin, []
+        for side, where in enumerate((less, ~(less | more), more)):
             number = np.add.reduceat(where, offset, dtype=np.int64)
             picked = np.flatnonzero(where)
-            to = np.arange(len(picked)) - (np.cumsum(number) - number)[segment[picked]] + at[segment[picked]]
-            order[to] = rows[picked]
-            kept.append((at, number, level + (side == 1)))
+            order[np.arange(len(picked)) + (at - np.cumsum(number) + number)[segment[picked]]] = rows[picked]
+            new_run[at[(level < levels) & (number > 0)]] = True
+            parts.append((at, number, level + (side == 1)))
             at = at + number
-        begin, size, level = (np.concatenate(x) for x in zip(*kept))
-        sort = np.argsort(begin, kind="stable")
-        begin, size, level = begin[sort], size[sort], level[sort]
-    differs = np.zeros(len(order), dtype=bool)
-    for character in range(levels):
-        ordered = chars[order, character]
-        differs[1:] |= ordered[1:] != ordered[:-1]
-    return order, np.cumsum(differs)
+        begin, size, level = (np.concatenate(x) for x in zip(*parts))
+    new_run[:1] = False
+    return order, np.cumsum(new_run)
 
 
 def _characters(chars: np.ndarray, tie: np.ndarray, rows: np.ndarray, level: np.ndarray) -> np.ndarray:
