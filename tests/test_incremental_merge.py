@@ -136,3 +136,21 @@ def leaves(plan):
     for i in range(found.size()):
         node = found.apply(i)
         yield node
+
+
+def test_a_merge_is_split_by_bytes_too(spark, tmp_path):
+    path = str(tmp_path / "table")
+    stored = spark.range(4000).selectExpr(
+        "if(id % 2 = 0, '', 'new') || id AS pmid", "if(id % 2 = 0, id, NULL) AS doc_id", "'t' AS title", "'' AS authors",
+        "sha2(string(id), 512) || sha2(string(-id), 512) AS abstract", "2000 AS publication_year", "'2000' AS publication_year_raw",
+    )
+    for n in range(2):
+        incremental.write_articles(stored.where(f"id % 4 div 2 = {n}"), f"{path}/ledger=l/batch_id={n}", mode="overwrite")
+    before = {tuple(r) for r in read_ingested(spark, path).collect()}
+    size = sum(f.stat().st_size for f in (tmp_path / "table").rglob("*.parquet"))
+    # Far fewer rows than one file may have.
+    assert merge_batches(spark, path, bytes_per_file=size // 8) == 2
+    merged = read_ingested(spark, path)
+    files = [r["count"] for r in merged.groupBy(F.input_file_name()).count().collect()]
+    assert len(files) >= 8 and max(files) < 1500
+    assert {tuple(r) for r in merged.collect()} == before and merged.count() == 4000

@@ -34,10 +34,21 @@ def scratch_mark() -> int:
     return len(_named)
 
 
+def _on_its_file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove_folder(spark: SparkSession, path: str) -> bool:
     """Delete a folder on whatever file system it lies; whether it was there."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _on_its_file_system(spark, path)
+    return files.delete(target, True)
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder, on whatever file system it lies."""
+    files, target = _on_its_file_system(spark, path)
+    return files.getContentSummary(target).getLength()
 
 
 def remove_scratch(spark: SparkSession, since: int = 0) -> int:

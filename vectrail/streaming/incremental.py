@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from vectrail.operators.dedup import insert_or_ignore
 from vectrail.operators.lookup import LISTED_IDS, one_of
 from vectrail.schema import ARTICLE_COLUMNS, ARTICLES, DOC_ID, SOURCE_ORDER
-from vectrail.scratch import remove_folder
+from vectrail.scratch import folder_bytes, remove_folder
 from vectrail.sources.article_xml import (
     FILE_PATTERN,
     parse_records,
@@ -43,8 +43,9 @@ _GENERATION = T.StructType(
         T.StructField("generation", T.LongType()),
     ]
 )
-# Rows of one file of a merged table.
+# Rows of one file of a merged table, and bytes as they were stored before.
 MERGED_RECORDS_PER_FILE = 1_000_000
+MERGED_BYTES_PER_FILE = 128 << 20
 # Ids of a batch lie in so many ranges at most, and are first counted in so many cells.
 ID_RANGES, ID_CELLS = 16, 4096
 
@@ -71,6 +72,10 @@ def _last_merge(spark: SparkSession, table: str) -> tuple[int, dict[str, int]]:
     return last, {r[_LEDGER]: r[_BATCH] for r in rows if r["generation"] == last}
 
 
+def _folder(table: str, ledger: str, batch: int) -> str:
+    return f"{table}/{_LEDGER}={ledger}/{_BATCH}={batch}"
+
+
 def _files(spark: SparkSession, table: str) -> DataFrame:
     """All rows below the table, those of replaced or unfinished folders included."""
     found = _read(spark.read.schema(_STORED).parquet, table)
@@ -116,13 +121,17 @@ def id_filter(ids: DataFrame, key: str = DOC_ID) -> Column:
 
 
 def merge_batches(
-    spark: SparkSession, table: str, records_per_file: int = MERGED_RECORDS_PER_FILE
+    spark: SparkSession,
+    table: str,
+    records_per_file: int = MERGED_RECORDS_PER_FILE,
+    bytes_per_file: int = MERGED_BYTES_PER_FILE,
 ) -> int:
     """Write the batches of the table, and what was merged before, as large files in id order.
 
     Returns the number of folders that it replaced; fewer than two are left as they are. Rows are
     split by ranges of ids, so that the ids of a batch meet few files; rows without a numeric id are
-    ordered by ``pmid``. One small file commits the merge: until it is there readers see the old
+    ordered by ``pmid``. There are as many ranges as rows or bytes ask for, whichever is more, so
+    neither many rows nor long ones make a large task. One small file commits the merge: until it is there readers see the old
     folders, and from then on the new one alone, so a merge that is stopped loses and repeats
     nothing, and the next one deletes what it left. A batch that is repeated after a merge finds its
     rows stored. Must not run beside an ingest into the same table, nor beside its readers, whose files
@@ -136,9 +145,11 @@ def merge_batches(
     replaced = [r for r in stored.groupBy(_LEDGER, _BATCH).count().collect()]
     if len(replaced) >= 2:
         rows = sum(r["count"] for r in replaced)
-        ranges = stored.repartitionByRange(-(-rows // records_per_file), DOC_ID, "pmid")
+        size = sum(folder_bytes(spark, _folder(table, r[_LEDGER], r[_BATCH])) for r in replaced)
+        n_files = max(-(-rows // records_per_file), -(-size // bytes_per_file))
+        ranges = stored.repartitionByRange(n_files, DOC_ID, "pmid")
         number = max([last, *(r[_BATCH] for r in folders if r[_LEDGER] == _MERGED)]) + 1
-        write_articles(ranges, f"{table}/{_LEDGER}={_MERGED}/{_BATCH}={number}", mode="overwrite")
+        write_articles(ranges, _folder(table, _MERGED, number), mode="overwrite")
         ends = {name: max(b for n, b in batches if n == name) for name, _ in batches}
         commit = spark.createDataFrame(list(ends.items()), _GENERATION.fieldNames()[:2]).coalesce(1)
         commit.write.mode("overwrite").json(f"{table}/{_GENERATIONS}/generation={number}")
@@ -146,7 +157,7 @@ def merge_batches(
     last, merged = _last_merge(spark, table)
     for name, batch in {(r[_LEDGER], r[_BATCH]) for r in folders}:
         if batch != last if name == _MERGED else batch <= merged.get(name, -1):
-            remove_folder(spark, f"{table}/{_LEDGER}={name}/{_BATCH}={batch}")
+            remove_folder(spark, _folder(table, name, batch))
     return len(replaced) if len(replaced) >= 2 else 0
 
 
@@ -189,7 +200,7 @@ def ingest_new_files(
         articles = parse_records(records.hint("rebalance") if rebalance else records).persist()
         ledger = _ledger_id(batch.sparkSession, checkpoint)
         own = (F.col(_LEDGER) == ledger) & (F.col(_BATCH) == batch_id)
-        folder = f"{table}/{_LEDGER}={ledger}/{_BATCH}={batch_id}"
+        folder = _folder(table, ledger, batch_id)
         try:
             # Rows of equal pmid have equal ids, so rows outside the filter cannot be known ones.
             others = _stored(batch.sparkSession, table).where(~own).where(id_filter(articles))
