@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectrail.plans.build import build_articles
-from vectrail.schema import SOURCE_ORDER
+from vectrail.plans.catalog.standins import write_xml
+from vectrail.schema import ARTICLE_COLUMNS, SOURCE_ORDER
 from vectrail.sources.article_xml import bad_records, read_articles, read_records, source_files
+from vectrail.streaming import incremental
 from vectrail.streaming.incremental import ingest_new_files, read_ingested
 
 HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<PubmedArticleSet>\n'
@@ -243,3 +245,67 @@ def test_whole_texts_with_markup_and_sections(spark, tmp_path):
     assert leading["1"] == ("Role of ", "To ") and "2" not in leading
     with pytest.raises(ValueError, match="text_mode"):
         read_articles(spark, str(tmp_path / "x"), text_mode="some")
+
+
+def test_a_batch_adds_the_first_copy_of_new_ids_from_any_task(spark, tmp_path):
+    """Words of 64 rows, several tasks and files; some ids stored, some twice, some records without text."""
+    source, table, ledger = (str(tmp_path / n) for n in ("in", "table", "ledger"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 << 10))
+    try:
+        write(tmp_path / "in", "n1.xml", *(record(str(i), title("stored")) for i in range(0, 900, 3)))
+        ingest_new_files(spark, source, table, ledger)
+        for name in ("n2.xml", "n3.xml.gz"):
+            write(tmp_path / "in", name, *(record(f"{i % 700}", title(f"{name} {i}") if i % 5 else "") for i in range(1500)))
+        ingest_new_files(spark, source, table, ledger)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = {str(i): "stored" for i in range(0, 900, 3)}
+    for name in ("n2.xml", "n3.xml.gz"):
+        for i in range(1500):
+            if i % 5:
+                wanted.setdefault(str(i % 700), f"{name} {i}")
+    rows = [(r["pmid"], r["title"]) for r in read_ingested(spark, table).collect()]
+    assert len(rows) == len(wanted) and dict(rows) == wanted
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_texts_of_rows_to_add_stay_where_they_are(spark, monkeypatch, sent):
+    monkeypatch.setattr(incremental, "SENT_WORDS", sent)
+    batch = spark.range(0, 1000, 1, 3).selectExpr("string(id) AS pmid", "id AS doc_id", "monotonically_increasing_id() AS source_row")
+    # Rows at both ends of a word, too.
+    marks = incremental._marks(batch.where("source_row % 64 in (0, 63) or doc_id % 7 = 0"))
+    added = incremental._rows_at(batch, marks, marks.count())
+    wanted = batch.where("source_row % 64 in (0, 63) or doc_id % 7 = 0")
+    assert sorted(added.collect()) == sorted(wanted.collect())
+    assert not sent or "BroadcastHashJoin" in added._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_an_ingest_shuffles_no_text(spark, tmp_path, monkeypatch):
+    plans = []
+    done = incremental.write_articles
+
+    def written(articles, *args, **kwargs):
+        plans.append(articles.select(*ARTICLE_COLUMNS)._jdf.queryExecution().sparkPlan().toString())
+        done(articles, *args, **kwargs)
+
+    monkeypatch.setattr(incremental, "write_articles", written)
+    write(tmp_path / "in", "n1.xml", *(record(str(i), title("t")) for i in range(100)))
+    source, table, ledger = (str(tmp_path / n) for n in ("in", "table", "ledger"))
+    ingest_new_files(spark, source, table, ledger)
+    # Few new ids among stored ones are packed.
+    write(tmp_path / "in", "n2.xml", *(record(str(i), title("t")) for i in range(110)))
+    ingest_new_files(spark, source, table, ledger)
+    outside = [p.split("InMemoryRelation")[0] for p in plans]
+    assert all("BroadcastHashJoin" in p and "Window" not in p for p in outside)
+    assert ["REBALANCE" in p for p in outside] == [False, True]
+    assert read_ingested(spark, table).count() == 110
+
+
+def test_xml_is_written_where_its_rows_are(spark, tmp_path):
+    fields = spark.range(0, 40, 1, 4).selectExpr(
+        "string(id) AS pmid", "'t' AS title", "'a' AS abstract", "'2000' AS year", "string(NULL) AS medline_date",
+        "array(named_struct('fore_name', 'f', 'last_name', 'l')) AS authors",
+    )
+    write_xml(fields, str(tmp_path / "x"))
+    assert len(list((tmp_path / "x").glob("*.xml"))) == 4
+    assert read_articles(spark, str(tmp_path / "x")).count() == 40

@@ -94,7 +94,7 @@ def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_xml(fields: DataFrame, path: str, compression: str = "none", by: str | None = None) -> None:
-    """Add raw fields to a folder of XML files. Every third title ends with an inline element."""
+    """Add raw fields to a folder of XML files where they are. Every third title ends with an inline element."""
     citation = """named_struct(
         'PMID', pmid,
         'Article', named_struct(
@@ -106,7 +106,7 @@ def write_xml(fields: DataFrame, path: str, compression: str = "none", by: str |
             'AuthorList', named_struct('Author', transform(authors, a ->
                 named_struct('LastName', a.last_name, 'ForeName', a.fore_name)))
         )) AS MedlineCitation"""
-    rows = fields.hint("rebalance").selectExpr(citation, *([by] if by else []))
+    rows = fields.selectExpr(citation, *([by] if by else []))
     writer = rows.write.format("xml").mode("append").option("compression", compression)
     writer = writer.option("rowTag", "PubmedArticle").option("rootTag", "PubmedArticleSet")
     (writer.partitionBy(by) if by else writer).save(path)

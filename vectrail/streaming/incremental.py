@@ -1,6 +1,7 @@
 """Incremental ingest: every new XML file once, first copy of each article wins."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_, or_
 
@@ -46,6 +47,12 @@ _GENERATION = T.StructType(
 # Rows of one file of a merged table, and bytes as they were stored before.
 MERGED_RECORDS_PER_FILE = 1_000_000
 MERGED_BYTES_PER_FILE = 128 << 20
+# The number of a row in its batch, and words of marks that are sent to all tasks at most (of 64 rows
+# each, so 67 million rows).
+_ROW, _WORD = SOURCE_ORDER[-1], "word"
+SENT_WORDS = 1 << 20
+# The rows to add are packed into full files if they are fewer than this share of their batch.
+PACKED_SHARE = 0.25
 # Ids of a batch lie in so many ranges at most, and are first counted in so many cells.
 ID_RANGES, ID_CELLS = 16, 4096
 
@@ -161,6 +168,28 @@ def merge_batches(
     return len(replaced) if len(replaced) >= 2 else 0
 
 
+@contextmanager
+def _persisted(df: DataFrame) -> Iterator[DataFrame]:
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def _marks(positions: DataFrame) -> DataFrame:
+    """The rows of a batch at these positions, as a bit for each row in words of 64 rows."""
+    word = F.expr(f"{_ROW} div 64").alias(_WORD)
+    return positions.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast({_ROW} % 64 AS int)))").alias("bits"))
+
+
+def _rows_at(articles: DataFrame, marks: DataFrame, n_words: int) -> DataFrame:
+    """The marked rows where they are; only of very many words are the articles shuffled."""
+    marks = F.broadcast(marks) if n_words <= SENT_WORDS else marks
+    marked = articles.withColumn(_WORD, F.expr(f"{_ROW} div 64")).join(marks, _WORD)
+    return marked.where(F.expr(f"getbit(bits, cast({_ROW} % 64 AS int)) = 1")).drop(_WORD, "bits")
+
+
 def _ledger_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that a stream keeps in its checkpoint from its first run on."""
     return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").head()[0]
@@ -185,7 +214,9 @@ def ingest_new_files(
     are stored already, whichever ledger brought them, and overwrites a folder named after its
     ledger and its number, so that a batch repeated after a failure replaces what it left behind
     and nothing else. Ids are compared with the stored rows that :func:`id_filter` leaves, so a batch of
-    neighbouring or few ids reads little of a large table, least after :func:`merge_batches`. Ledgers of
+    neighbouring or few ids reads little of a large table, least after :func:`merge_batches`. Only ids
+    and places of the rows are shuffled to find those to add; their texts are written by the tasks that
+    parsed them, or packed into full files if they are few. Ledgers of
     one table must not run at the same time. ``clean_source`` is ``off``, ``archive`` (with a folder) or
     ``delete``, and is applied to files whose batch is committed.
     """
@@ -197,17 +228,19 @@ def ingest_new_files(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         records = positioned(batch)
-        articles = parse_records(records.hint("rebalance") if rebalance else records).persist()
+        parsed = parse_records(records.hint("rebalance") if rebalance else records)
         ledger = _ledger_id(batch.sparkSession, checkpoint)
         own = (F.col(_LEDGER) == ledger) & (F.col(_BATCH) == batch_id)
-        folder = _folder(table, ledger, batch_id)
-        try:
+        with _persisted(parsed) as articles:
             # Rows of equal pmid have equal ids, so rows outside the filter cannot be known ones.
             others = _stored(batch.sparkSession, table).where(~own).where(id_filter(articles))
-            added = insert_or_ignore(others, articles, "pmid", SOURCE_ORDER)
-            write_articles(added, folder, mode="overwrite")
-        finally:
-            articles.unpersist()
+            places = articles.select("pmid", *SOURCE_ORDER)
+            with _persisted(_marks(insert_or_ignore(others, places, "pmid", SOURCE_ORDER))) as marks:
+                n_words, n_added = marks.agg(F.count("*"), F.sum(F.bit_count("bits"))).first()
+                added = _rows_at(articles, marks, n_words)
+                few = (n_added or 0) < PACKED_SHARE * articles.count()
+                folder = _folder(table, ledger, batch_id)
+                write_articles(added.hint("rebalance") if few else added, folder, mode="overwrite")
 
     stream = (
         lines.writeStream.foreachBatch(store)
