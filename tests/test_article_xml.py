@@ -3,12 +3,14 @@
 import gzip
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vectrail.plans.build import build_articles
 from vectrail.plans.catalog.standins import write_xml
 from vectrail.schema import ARTICLE_COLUMNS, SOURCE_ORDER
+from vectrail.sources import article_xml
 from vectrail.sources.article_xml import bad_records, read_articles, read_records, source_files
 from vectrail.streaming import incremental
 from vectrail.streaming.incremental import ingest_new_files, read_ingested
@@ -247,6 +249,17 @@ def test_whole_texts_with_markup_and_sections(spark, tmp_path):
         read_articles(spark, str(tmp_path / "x"), text_mode="some")
 
 
+def test_records_are_parsed_in_pieces_of_few_bytes():
+    sizes = [100] * 50_000 + [5 << 20, 0, 100, 2 << 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in sizes]), pa.array(range(len(sizes)))], names=["record", "row"])
+    pieces = list(article_xml._pieces(batch))
+    assert [i for p in pieces for i in p.column(1).to_pylist()] == list(range(len(sizes)))
+    held = [sum(len(r) for r in p.column(0).to_pylist()) for p in pieces]
+    assert all(p.num_rows == 1 or n <= article_xml.PARSED_BYTES for p, n in zip(pieces, held))
+    assert len(pieces) <= 10 and all(p.num_rows for p in pieces)
+    assert not list(article_xml._pieces(batch.slice(0, 0)))
+
+
 def test_a_batch_adds_the_first_copy_of_new_ids_from_any_task(spark, tmp_path):
     """Words of 64 rows, several tasks and files; some ids stored, some twice, some records without text."""
     source, table, ledger = (str(tmp_path / n) for n in ("in", "table", "ledger"))

@@ -2,15 +2,15 @@
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Callable
+from collections.abc import Iterator
 from html.entities import html5
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vectrail.functions import text as X
@@ -19,6 +19,8 @@ from vectrail.schema import ARTICLE_COLUMNS, RAW_ARTICLE, SOURCE_ORDER
 # The names of the source files, and the element that holds one record.
 FILE_PATTERN = "*.{xml,xml.gz}"
 RECORD_END = "</PubmedArticle>"
+# Bytes of records that a worker parses at a time, or one record if it is longer.
+PARSED_BYTES = 1 << 20
 _RECORD_START = re.compile(r"<PubmedArticle[\s>]")
 
 _XML_ENTITIES = {"amp", "lt", "gt", "quot", "apos"}
@@ -68,20 +70,41 @@ def positioned(lines: DataFrame) -> DataFrame:
     return numbered.where(F.col("value").rlike(_RECORD_START.pattern))
 
 
-def _parser(texts: Callable[[ET.Element], dict]):
-    @arrow_udf(_PARSED)
-    def _parse(records: pa.Array) -> pa.Array:
-        parsed = []
-        for record in records:
-            try:
-                root = _element(record.as_py())
-                parsed.append({**_fields(root), **texts(root), "error": None})
-            except ET.ParseError as error:
-                parsed.append({"error": str(error)})
-        return pa.array(parsed, type=_ARROW_TYPE)
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut where its records, its first column, reach ``PARSED_BYTES``; none is empty."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(0)).to_pylist()):
+        if i > start and size + n > PARSED_BYTES:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
-    # Spark would otherwise parse once for the rows and once more to filter them.
-    return _parse.asNondeterministic()
+
+def _parsed(records: DataFrame, text_mode: str, *others: str) -> DataFrame:
+    """The raw fields of each record, or its ``error``, beside other columns.
+
+    Records are parsed in pieces, so a worker holds the Python objects of one piece and not of a
+    whole Arrow batch.
+    """
+    texts = _TEXTS[text_mode]
+
+    def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for b in batches for p in _pieces(b)):
+            parsed = []
+            for record in piece.column(0):
+                try:
+                    root = _element(record.as_py())
+                    parsed.append({**_fields(root), **texts(root), "error": None})
+                except ET.ParseError as error:
+                    parsed.append({"error": str(error)})
+            fields = pa.array(parsed, type=_ARROW_TYPE).flatten()
+            yield pa.RecordBatch.from_arrays([*fields, *piece.columns[1:]], names=schema.names)
+
+    kept = records.select(F.col("value").alias("record"), *others)
+    schema = T.StructType([*_PARSED.fields, *kept.schema.fields[1:]])
+    return kept.mapInArrow(_parse, schema)
 
 
 def _element(record: str) -> ET.Element:
@@ -137,7 +160,7 @@ def _full_texts(root: ET.Element) -> dict:
     return {"title": _whole(root.find(".//ArticleTitle")), "abstract": "\n".join(lines) or None}
 
 
-_PARSERS = {"leading": _parser(_leading_texts), "full": _parser(_full_texts)}
+_TEXTS = {"leading": _leading_texts, "full": _full_texts}
 
 
 def _fields(root: ET.Element) -> dict:
@@ -166,23 +189,23 @@ def parse_records(
     """
     if on_bad_record not in ("error", "skip"):
         raise ValueError(f"on_bad_record must be 'error' or 'skip', not {on_bad_record!r}")
-    if text_mode not in _PARSERS:
-        raise ValueError(f"text_mode must be one of {sorted(_PARSERS)}, not {text_mode!r}")
-    parsed = records.select(_PARSERS[text_mode](F.col("value")).alias("r"), *SOURCE_ORDER)
-    error = F.col("r.error")
+    if text_mode not in _TEXTS:
+        raise ValueError(f"text_mode must be one of {sorted(_TEXTS)}, not {text_mode!r}")
+    parsed = _parsed(records, text_mode, *SOURCE_ORDER)
+    error = F.col("error")
     if on_bad_record == "error":
         # The guard stands in the id, which every row needs, so that it is never pruned away.
-        pmid = F.when(error.isNotNull(), F.raise_error(error)).otherwise(F.col("r.pmid"))
-        parsed = parsed.withColumn("r", F.col("r").withField("pmid", pmid))
+        pmid = F.when(error.isNotNull(), F.raise_error(error)).otherwise(F.col("pmid"))
+        parsed = parsed.withColumn("pmid", pmid)
     else:
         parsed = parsed.where(error.isNull())
-    return to_articles(parsed.select("r.*", *SOURCE_ORDER).drop("error"))
+    return to_articles(parsed.drop("error"))
 
 
 def bad_records(records: DataFrame) -> DataFrame:
     """The records that are not well-formed, as ``(value, error)`` with their position."""
-    parsed = records.select("value", _PARSERS["leading"](F.col("value"))["error"].alias("error"), *SOURCE_ORDER)
-    return parsed.where(F.col("error").isNotNull())
+    parsed = _parsed(records, "leading", "value", *SOURCE_ORDER)
+    return parsed.where(F.col("error").isNotNull()).select("value", "error", *SOURCE_ORDER)
 
 
 def to_articles(fields: DataFrame) -> DataFrame:
