@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,67 @@ def test_a_merge_is_split_by_bytes_too(spark, tmp_path):
     files = [r["count"] for r in merged.groupBy(F.input_file_name()).count().collect()]
     assert len(files) >= 8 and max(files) < 1500
     assert {tuple(r) for r in merged.collect()} == before and merged.count() == 4000
+
+
+def test_an_ingest_keeps_ids_and_no_texts(spark, tmp_path, monkeypatch):
+    kept, persisted = [], incremental._persisted
+    monkeypatch.setattr(incremental, "_persisted", lambda df: kept.append(df.columns) or persisted(df))
+    for n in range(2):
+        write(tmp_path / "in", f"n{n}.xml", *(record(str(i + n), title(f"t{n}")) for i in range(5)), record(f"x{n}", title("no number")))
+    run(spark, tmp_path, "in", max_files_per_batch=1)
+    assert rows(spark, tmp_path) == sorted([*((str(i), "t0") for i in range(5)), ("5", "t1"), ("x0", "no number"), ("x1", "no number")])
+    assert kept and not {"title", "abstract", "authors"} & {c for columns in kept for c in columns}
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_a_batch_that_reads_other_rows_the_second_time_fails_and_is_repeated(spark, tmp_path, monkeypatch):
+    write(tmp_path / "in", "n.xml", *(record(str(i), title("t")) for i in range(5)))
+    with monkeypatch.context() as patch:
+        rows_at = incremental._rows_at
+        patch.setattr(incremental, "_rows_at", lambda *a: rows_at(*a).where("source_row % 2 = 0"))
+        with pytest.raises(Exception, match="changed while they were read"):
+            run(spark, tmp_path, "in")
+    run(spark, tmp_path, "in")
+    assert rows(spark, tmp_path) == [(str(i), "t") for i in range(5)]
+
+
+@pytest.mark.parametrize("opened", [0, 1 << 18])
+def test_a_merge_shuffles_no_rows_unless_files_are_many(spark, tmp_path, monkeypatch, opened):
+    monkeypatch.setattr(incremental, "OPENED_FILES", opened)
+    monkeypatch.setattr(incremental, "FILES_PER_CORE", 1)
+    jobs, done = [], incremental.write_articles
+    path = str(tmp_path / "table")
+    stored = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, 'x', '') || id AS pmid", "if(id % 3 = 0, NULL, id - 1000) AS doc_id", "'t' AS title", "'' AS authors",
+        "sha2(string(id), 512) AS abstract", "2000 AS publication_year", "'2000' AS publication_year_raw",
+    )
+    for n in range(3):
+        done(stored.where(f"id % 9 div 3 = {n}"), f"{path}/ledger=l/batch_id={n}", mode="overwrite")
+    monkeypatch.setattr(incremental, "write_articles", lambda df, *a, **k: jobs.append(df._jdf.queryExecution().executedPlan().toString()) or done(df, *a, **k))
+    before = sorted(map(str, read_ingested(spark, path).collect()))
+    assert merge_batches(spark, path, records_per_file=150) == 3
+    assert sorted(map(str, read_ingested(spark, path).collect())) == before
+    assert len(jobs) > 1 and all(("Exchange" in plan) == (opened == 0) for plan in jobs)
+    files = read_ingested(spark, path).where("doc_id is not null").groupBy(F.input_file_name())
+    spans = sorted(tuple(r)[1:] for r in files.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).collect())
+    assert len(spans) >= 10 and all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and max(s[2] for s in spans) < 400
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_each_row_lies_in_one_range_of_a_merge(spark):
+    odd = [(None, None), (None, ""), (None, "b"), (None, "b"), (None, "ä"), (None, "\U0001f600"), (-(2**63), "-1"), (2**63 - 1, "9"), (7, "7"), (7, "07"), (7, None)]
+    table = spark.createDataFrame([*odd, *((i, str(i)) for i in range(20)), *((None, f"x{i}") for i in range(20))], "doc_id long, pmid string")
+    for n in (1, 2, 5, 40):
+        ranges = incremental._id_ranges(table, table.count(), n)
+        assert len(ranges) <= n and (n == 1 or len(ranges) > 1)
+        met = table.select(sum(F.coalesce(r, F.lit(False)).cast("int") for r in ranges).alias("n")).distinct().collect()
+        assert [r[0] for r in met] == [1]
+
+
+def test_articles_are_stored_compressed(spark, tmp_path):
+    table = spark.range(9).selectExpr(
+        "string(id) AS pmid", "id AS doc_id", "'t' AS title", "'' AS authors", "'a' AS abstract", "1 AS publication_year", "'1' AS publication_year_raw"
+    )
+    incremental.write_articles(table, str(tmp_path / "table"))
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in (tmp_path / "table").glob("*.parquet")]
+    assert groups and {g.column(i).compression for g in groups for i in range(g.num_columns)} == {"ZSTD"}

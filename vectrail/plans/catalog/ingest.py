@@ -247,7 +247,7 @@ def incremental_merge(spark, sf_dir):
         again = seen.withColumn("title", F.lit(wave))
         fresh = first.withColumn("title", F.lit(wave)).withColumn("pmid", F.concat(F.lit(prefix), "pmid"))
         seen = again.unionByName(fresh)
-        write_xml(seen, source)
+        write_xml(seen, source, compression="gzip")
     ingest_new_files(spark, source, table, ledger)
     merge_batches(spark, table)
     return _trimmed(read_ingested(spark, table).select("pmid", "title", "abstract"))

@@ -46,7 +46,10 @@ _GENERATION = T.StructType(
 )
 # Rows of one file of a merged table, and bytes as they were stored before.
 MERGED_RECORDS_PER_FILE = 1_000_000
-MERGED_BYTES_PER_FILE = 128 << 20
+MERGED_BYTES_PER_FILE = 64 << 20
+# A merge cuts the ids at so many sampled rows per file, writes so many files per core in one job, and reads
+# each range from the stored files as long as it opens no more than so many files in all.
+SAMPLED_PER_FILE, FILES_PER_CORE, OPENED_FILES = 100, 2, 1 << 18
 # The number of a row in its batch, and words of marks that are sent to all tasks at most (of 64 rows
 # each, so 67 million rows).
 _ROW, _WORD = SOURCE_ORDER[-1], "word"
@@ -55,6 +58,11 @@ SENT_WORDS = 1 << 20
 PACKED_SHARE = 0.25
 # Ids of a batch lie in so many ranges at most, and are first counted in so many cells.
 ID_RANGES, ID_CELLS = 16, 4096
+# Settings of Spark: whether shuffled files go when a query ends, whether parts of one task each stay one
+# task when they are united, and how many parts files are cut into.
+_DELETE_SHUFFLED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ONE_TASK = "spark.sql.unionOutputPartitioning"
+_PARTS, _CORES = "spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism"
 
 
 def read_ingested(spark: SparkSession, table: str) -> DataFrame:
@@ -127,6 +135,67 @@ def id_filter(ids: DataFrame, key: str = DOC_ID) -> Column:
     return found if known == n else found | F.col(key).isNull()
 
 
+def _from(column: str, value: int | str) -> Column:
+    if column == DOC_ID:
+        return F.col(DOC_ID) >= value
+    return F.col(DOC_ID).isNotNull() | (F.col("pmid") >= value)
+
+
+def _below(column: str, value: int | str) -> Column:
+    if column == DOC_ID:
+        return F.col(DOC_ID).isNull() | (F.col(DOC_ID) < value)
+    return F.col(DOC_ID).isNull() & (F.col("pmid").isNull() | (F.col("pmid") < value))
+
+
+def _id_ranges(stored: DataFrame, rows: int, n: int) -> list[Column]:
+    """Conditions of about ``n`` ranges of ids of like numbers of rows; each row meets exactly one.
+
+    Rows without a numeric id come first, by ``pmid``; others are cut between numbers only. The cuts are
+    those of a sample of ``SAMPLED_PER_FILE`` rows a range.
+    """
+    if n == 1:
+        return [F.lit(True)]
+    ids = stored.select(DOC_ID, "pmid").sample(min(1.0, n * SAMPLED_PER_FILE / rows), seed=0)
+    found = sorted((r[0] is not None, r[0] or 0, r[1] or "") for r in ids.collect())
+    cuts = (found[i * len(found) // n] for i in range(1, n) if found)
+    cuts = list(dict.fromkeys((DOC_ID, i) if numeric else ("pmid", p) for numeric, i, p in cuts))
+    starts, ends = [F.lit(True), *(_from(*c) for c in cuts)], [*(_below(*c) for c in cuts), F.lit(True)]
+    return [start & end for start, end in zip(starts, ends)]
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _write_in_order(stored: DataFrame, rows: int, n_files: int, n_stored: int, folder: str) -> None:
+    """Write the rows as ``n_files`` ranges of ids, in jobs of a few files per core.
+
+    A task reads the pages of its range out of stored files that are each in id order, so nothing is
+    shuffled. Where files are so many that opening each for each range is too much, a job reads its ranges
+    at once and shuffles their rows, and Spark deletes what it shuffled when the job ends.
+    """
+    spark = stored.sparkSession
+    ranges = _id_ranges(stored, rows, n_files)
+    step = FILES_PER_CORE * spark.sparkContext.defaultParallelism
+    for first in range(0, len(ranges), step):
+        some = ranges[first : first + step]
+        if n_files * n_stored <= OPENED_FILES:
+            part = reduce(DataFrame.unionAll, (stored.where(r).coalesce(1) for r in some))
+        else:
+            part = stored.where(reduce(or_, some)).repartitionByRange(len(some), DOC_ID, "pmid")
+        with _setting(spark, _DELETE_SHUFFLED, "true"), _setting(spark, _ONE_TASK, "false"):
+            write_articles(part, folder, mode="append" if first else "overwrite")
+
+
 def merge_batches(
     spark: SparkSession,
     table: str,
@@ -138,7 +207,8 @@ def merge_batches(
     Returns the number of folders that it replaced; fewer than two are left as they are. Rows are
     split by ranges of ids, so that the ids of a batch meet few files; rows without a numeric id are
     ordered by ``pmid``. There are as many ranges as rows or bytes ask for, whichever is more, so
-    neither many rows nor long ones make a large task. One small file commits the merge: until it is there readers see the old
+    neither many rows nor long ones make a large task. Beside the old and the new files a merge needs no
+    disk, or that of the rows of one job (see :func:`_write_in_order`). One small file commits the merge: until it is there readers see the old
     folders, and from then on the new one alone, so a merge that is stopped loses and repeats
     nothing, and the next one deletes what it left. A batch that is repeated after a merge finds its
     rows stored. Must not run beside an ingest into the same table, nor beside its readers, whose files
@@ -154,9 +224,9 @@ def merge_batches(
         rows = sum(r["count"] for r in replaced)
         size = sum(folder_bytes(spark, _folder(table, r[_LEDGER], r[_BATCH])) for r in replaced)
         n_files = max(-(-rows // records_per_file), -(-size // bytes_per_file))
-        ranges = stored.repartitionByRange(n_files, DOC_ID, "pmid")
         number = max([last, *(r[_BATCH] for r in folders if r[_LEDGER] == _MERGED)]) + 1
-        write_articles(ranges, _folder(table, _MERGED, number), mode="overwrite")
+        n_stored = len(stored.inputFiles())
+        _write_in_order(stored, rows, n_files, n_stored, _folder(table, _MERGED, number))
         ends = {name: max(b for n, b in batches if n == name) for name, _ in batches}
         commit = spark.createDataFrame(list(ends.items()), _GENERATION.fieldNames()[:2]).coalesce(1)
         commit.write.mode("overwrite").json(f"{table}/{_GENERATIONS}/generation={number}")
@@ -180,13 +250,20 @@ def _persisted(df: DataFrame) -> Iterator[DataFrame]:
 def _marks(positions: DataFrame) -> DataFrame:
     """The rows of a batch at these positions, as a bit for each row in words of 64 rows."""
     word = F.expr(f"{_ROW} div 64").alias(_WORD)
-    return positions.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast({_ROW} % 64 AS int)))").alias("bits"))
+    bits = F.expr(f"bit_or(shiftleft(1L, cast({_ROW} % 64 AS int)))").alias("bits")
+    return positions.groupBy(word).agg(bits, _digest().alias("digest"))
+
+
+def _digest() -> Column:
+    """A number that stands for a set of ids."""
+    return F.bit_xor(F.xxhash64("pmid"))
 
 
-def _rows_at(articles: DataFrame, marks: DataFrame, n_words: int) -> DataFrame:
-    """The marked rows where they are; only of very many words are the articles shuffled."""
+def _rows_at(records: DataFrame, marks: DataFrame, n_words: int) -> DataFrame:
+    """The marked rows where they are; only of very many words are the records shuffled."""
+    marks = marks.select(_WORD, "bits")
     marks = F.broadcast(marks) if n_words <= SENT_WORDS else marks
-    marked = articles.withColumn(_WORD, F.expr(f"{_ROW} div 64")).join(marks, _WORD)
+    marked = records.withColumn(_WORD, F.expr(f"{_ROW} div 64")).join(marks, _WORD)
     return marked.where(F.expr(f"getbit(bits, cast({_ROW} % 64 AS int)) = 1")).drop(_WORD, "bits")
 
 
@@ -215,9 +292,10 @@ def ingest_new_files(
     ledger and its number, so that a batch repeated after a failure replaces what it left behind
     and nothing else. Ids are compared with the stored rows that :func:`id_filter` leaves, so a batch of
     neighbouring or few ids reads little of a large table, least after :func:`merge_batches`. Only ids
-    and places of the rows are shuffled to find those to add; their texts are written by the tasks that
-    parsed them, or packed into full files if they are few. Ledgers of
-    one table must not run at the same time. ``clean_source`` is ``off``, ``archive`` (with a folder) or
+    and places of the rows are kept and shuffled to find those to add; then the files are read again, and
+    records to add are parsed and written where they are, or packed into full files if they are few. So no
+    text waits on disk. A batch whose files changed in between fails, and is repeated by the next run.
+    Ledgers of one table must not run at the same time. ``clean_source`` is ``off``, ``archive`` (with a folder) or
     ``delete``, and is applied to files whose batch is committed.
     """
     options = {**record_options(pattern), "cleanSource": clean_source}
@@ -226,26 +304,36 @@ def ingest_new_files(
     options["maxFilesPerTrigger"] = str(max_files_per_batch)
     lines = spark.readStream.options(**options).text(source).select(*record_columns())
 
+    def parsed(records: DataFrame) -> DataFrame:
+        return parse_records(records.hint("rebalance") if rebalance else records)
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        records = positioned(batch)
-        parsed = parse_records(records.hint("rebalance") if rebalance else records)
-        ledger = _ledger_id(batch.sparkSession, checkpoint)
+        session, records = batch.sparkSession, positioned(batch)
+        ledger = _ledger_id(session, checkpoint)
         own = (F.col(_LEDGER) == ledger) & (F.col(_BATCH) == batch_id)
-        with _persisted(parsed) as articles:
+        with _persisted(parsed(records).select("pmid", DOC_ID, *SOURCE_ORDER)) as places:
             # Rows of equal pmid have equal ids, so rows outside the filter cannot be known ones.
-            others = _stored(batch.sparkSession, table).where(~own).where(id_filter(articles))
-            places = articles.select("pmid", *SOURCE_ORDER)
-            with _persisted(_marks(insert_or_ignore(others, places, "pmid", SOURCE_ORDER))) as marks:
-                n_words, n_added = marks.agg(F.count("*"), F.sum(F.bit_count("bits"))).first()
-                added = _rows_at(articles, marks, n_words)
-                few = (n_added or 0) < PACKED_SHARE * articles.count()
+            others = _stored(session, table).where(~own).where(id_filter(places))
+            new = insert_or_ignore(others, places.drop(DOC_ID), "pmid", SOURCE_ORDER)
+            with _persisted(_marks(new)) as marks:
+                n_words, *wanted = marks.agg(
+                    F.count("*"), F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)), F.bit_xor("digest")
+                ).first()
+                added = parsed(_rows_at(records, marks, n_words))
+                few = wanted[0] < PACKED_SHARE * places.count()
                 folder = _folder(table, ledger, batch_id)
                 write_articles(added.hint("rebalance") if few else added, folder, mode="overwrite")
-
-    stream = (
-        lines.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    stream.awaitTermination()
+        stored = session.read.schema(ARTICLES).parquet(folder)
+        if [*stored.agg(F.count("*"), _digest()).first()] != wanted:
+            raise RuntimeError(f"the files of batch {batch_id} of {source} changed while they were read")
+
+    # Both times a batch's files are cut alike, also if executors come or go in between.
+    parts = spark.conf.get(_PARTS, None) or spark.conf.get(_CORES, None) or spark.sparkContext.defaultParallelism
+    with _setting(spark, _PARTS, parts):
+        stream = (
+            lines.writeStream.foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        stream.awaitTermination()
